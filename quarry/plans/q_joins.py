@@ -37,14 +37,15 @@ GROUP BY c.c_name""")(asia_economy_quantity)
 
 
 @query("jn_inner_two", section="2.5", sql="""
-SELECT p.p_type, ROUND(SUM(l.l_extendedprice * (1 - l.l_discount) - l.l_quantity * 1000), 2) AS profit
+SELECT p.p_type, CAST(ROUND(SUM(CAST(l.l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l.l_discount AS DECIMAL(15,2)))
+                         - CAST(l.l_quantity AS DECIMAL(15,2)) * 1000), 2) AS DOUBLE) AS profit
 FROM part p JOIN lineitem l ON p.p_partkey = l.l_partkey
 GROUP BY p.p_type""")
 def jn_inner_two(spark, sf_dir):
     t = Tables(spark, sf_dir)
     j = J.star_join(t.lineitem.select("l_partkey", "l_extendedprice", "l_discount", "l_quantity"),
                     [(t.part.select("p_partkey", "p_type"), "l_partkey", "p_partkey")])
-    return j.groupBy("p_type").agg(F.round(F.sum(profit_col()), 2).alias("profit"))
+    return j.groupBy("p_type").agg(F.round(F.sum(profit_col()), 2).cast("double").alias("profit"))
 
 
 @query("jn_inner_same_key", section="2.5", sql="""

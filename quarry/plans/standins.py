@@ -19,7 +19,15 @@ from quarry.sources.tables import Tables
 # customer = customer + nation + region, profit = revenue - 1000 * quantity
 
 def profit_col() -> F.Column:
-    return F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("l_quantity") * 1000
+    """Exact decimal money arithmetic, so sums round the same on every engine."""
+    price = F.col("l_extendedprice").cast("decimal(15,2)")
+    disc = F.col("l_discount").cast("decimal(15,2)")
+    qty = F.col("l_quantity").cast("decimal(15,2)")
+    return price * (1 - disc) - qty * 1000
+
+
+PROFIT_SQL = ("(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))"
+              " - CAST(l_quantity AS DECIMAL(15,2)) * 1000)")
 
 
 def customers_geo(t: Tables) -> DataFrame:
