@@ -5,4 +5,5 @@ from quarry.functions.scalars import (SEASONS, all_of, any_of, avg_where, bands,
                                       cut, cv, elapsed, eq_ci, first_token, fiscal_year_bounds,
                                       flag, hour_bin, in_fiscal_year, in_range, label_at, ne,
                                       not_sentinel, parse_clock, parse_percent, parse_tenure,
-                                      parse_ts, ratio, round_bin, round_to, season, speed, to_type)
+                                      parse_ts, ratio, round_bin, round_to, season, speed, to_type,
+                                      date_parts)

@@ -195,8 +195,17 @@ def cut(c: ColumnOrName, breaks: Sequence[float], labels: Sequence[str]) -> Colu
 
 # Meteorological seasons by month; the first matching branch wins,
 # so December is Winter.
-SEASONS = (("Winter", (12, 1, 2)), ("Spring", (3, 4, 5)), ("Summer", (6, 7, 8)),
-           ("Fall", (9, 10, 11)))
+SEASONS = (("Winter", (1, 2, 12)), ("Spring", (3, 4, 5)), ("Summer", (6, 7, 8)),
+           ("Fall", (9, 10, 11, 12)))
+
+# 4-hour time slots of a day (right-closed cut, lowest edge kept).
+SLOT_BREAKS = (0, 4, 8, 12, 16, 20, 23)
+SLOT_LABELS = ("LateNight", "EarlyMorning", "Morning", "Afternoon", "Evening", "LateEvening")
+
+# Tip bands [0,5), [5,10), [10,15), [15,20), everything else.
+TIP_EDGES = (0, 5, 10, 15, 20)
+TIP_LABELS = ("0_Bucket_5", "5_Bucket_10", "10_Bucket_15", "15_Bucket_20")
+TIP_OTHER = "20above_Bucket"
 
 
 def season(month: ColumnOrName) -> Column:
@@ -224,3 +233,19 @@ def round_bin(c: ColumnOrName, step: float, mode: str = "half_even") -> Column:
     q = _c(c) / F.lit(step)
     r = F.bround(q, 0) if mode == "half_even" else F.round(q, 0)
     return r * F.lit(step)
+
+
+# --------------------------------------------------------------------------- date parts
+
+_PARTS = {
+    "year": lambda ts: F.year(ts), "month": lambda ts: F.month(ts),
+    "day": lambda ts: F.dayofmonth(ts), "hour": lambda ts: F.hour(ts),
+    "minute": lambda ts: F.minute(ts), "weekday": lambda ts: F.date_format(ts, "EEEE"),
+    "month_text": lambda ts: F.date_format(ts, "MM"), "day_text": lambda ts: F.date_format(ts, "dd"),
+    "date": lambda ts: F.to_date(ts),
+}
+
+
+def date_parts(ts: ColumnOrName, parts=("year", "month", "day", "hour", "weekday")) -> list[Column]:
+    """Named calendar parts of a timestamp, as a list of aliased Columns."""
+    return [_PARTS[p](_c(ts)).alias(p) for p in parts]

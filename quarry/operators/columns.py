@@ -116,3 +116,9 @@ def value_domain(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]) \
         .unpivot([], list(cols), "column", "value")
     return long.distinct()
+
+
+def map_strings(df: DataFrame, fn, cols: Sequence[str] | None = None) -> DataFrame:
+    """Apply a Column function (``F.lower``, ``F.upper``...) to some or all string columns."""
+    cols = set(cols or [f.name for f in df.schema.fields if f.dataType.typeName() == "string"])
+    return df.select(*[fn(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
