@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.windows import deciles
+from quarry.operators.windows import deciles, sorted_with_ids
 
 
 def confusion(df: DataFrame, y: str, pred: str, positive=1) -> DataFrame:
@@ -89,7 +89,7 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], cols: Sequence[str], pre
     partition) become offsets; the running sum inside each partition is a
     window over that partition only.  ``order`` must be total.
     """
-    ordered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    ordered = sorted_with_ids(df, order)
     ordered = ordered.withColumn("_part", F.shiftright("_mid", 33))
     part_tot = ordered.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     wo = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -242,7 +242,7 @@ def svm_multi(df: DataFrame, label: str, features: str = "features", reg: float
               max_iter: int = 50):
     """One-vs-rest linear SVM (the reference's solver is one-vs-one; stated, not copied)."""
     svc = LinearSVC(regParam=reg, maxIter=max_iter)
-    return OneVsRest(classifier=svc, labelCol=label, featuresCol=features).fit(df)
+    return OneVsRest(classifier=svc, labelCol=label, featuresCol=features, parallelism=4).fit(df)
 
 
 def rff(df: DataFrame, array_col: str, dim: int, sigma: float, seed: int = 7,

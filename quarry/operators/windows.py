@@ -70,6 +70,14 @@ def with_grand_total(df: DataFrame, agg: Column, name: str) -> DataFrame:
     return df.withColumn(name, total.scalar())
 
 
+def sorted_with_ids(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Distributed sort tagged with ``_mid`` (partition index << 33 | position), checkpointed."""
+    from quarry.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    tagged = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    return tagged.checkpoint(eager=True)
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
     """1-based row number over the whole table without a one-task window.
 
@@ -77,9 +85,14 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn")
     ``monotonically_increasing_id`` then carries the partition index in its
     upper bits and the position inside the partition in its lower bits.
     Row counts per partition (one row per partition) give the offsets.
-    ``order`` must be a total order so a recomputed task gives the same rows.
+
+    The id-tagged table is read twice (counts, then the join), and AQE may
+    coalesce the sorted partitions differently in two plans, so it is
+    materialised once with a reliable ``checkpoint()`` into the shared
+    ``spark.checkpoint.dir``: both reads see the same ids, and the lineage
+    is cut, so a lost executor does not force the sort to be redone.
     """
-    ordered = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    ordered = sorted_with_ids(df, order)
     part = F.shiftright(F.col("_mid"), 33)
     pos = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     ordered = ordered.withColumn("_part", part).withColumn("_pos", pos)
