@@ -1 +1,144 @@
-"""placeholder"""
+"""Many-series forecasting on the monthly order series
+(region x segment, gap-free month spine)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarry.operators import series as TS
+from quarry.plans.registry import query
+from quarry.plans.standins import MONTHLY_FILLED_SQL, monthly_filled
+from quarry.sources.tables import Tables
+
+KEY = ["market", "segment"]
+H = 6
+MAX_LAG = 12
+
+
+def _series(spark, sf_dir):
+    return monthly_filled(Tables(spark, sf_dir)).select(*KEY, "t", "sales")
+
+
+def _with_holdout(spark, sf_dir):
+    return TS.holdout(_series(spark, sf_dir), KEY, "t", H)
+
+
+@query("ts_holdout", section="2.13", sql=f"""
+WITH {MONTHLY_FILLED_SQL}
+SELECT market, segment, t, CASE WHEN t <= MAX(t) OVER (PARTITION BY market, segment) - {H} THEN 'train' ELSE 'test' END AS part
+FROM monthly_filled""")
+def ts_holdout(spark, sf_dir):
+    return _with_holdout(spark, sf_dir).select(*KEY, "t", "part")
+
+
+_LAGS_SQL = ", ".join(f"LAG(d, {k}) OVER w AS l{k}" for k in range(1, MAX_LAG + 1))
+_SUMS_SQL = ", ".join(f"SUM(d * l{k}) AS a{k}" for k in range(1, MAX_LAG + 1))
+_ACF_COLS = ", ".join(f"a{k}" for k in range(1, MAX_LAG + 1))
+
+
+@query("ts_acf", section="2.13", sql=f"""
+WITH {MONTHLY_FILLED_SQL},
+d AS (SELECT market, segment, t, sales - AVG(sales) OVER (PARTITION BY market, segment) AS d FROM monthly_filled),
+l AS (SELECT *, {_LAGS_SQL} FROM d WINDOW w AS (PARTITION BY market, segment ORDER BY t)),
+s AS (SELECT market, segment, SUM(d * d) AS s0, {_SUMS_SQL} FROM l GROUP BY 1, 2)
+SELECT market, segment, CAST(replace(k, 'a', '') AS INTEGER) AS lag, ROUND(a / s0, 6) AS acf
+FROM s UNPIVOT (a FOR k IN ({_ACF_COLS}))""")
+def ts_acf(spark, sf_dir):
+    a = TS.acf(_series(spark, sf_dir), KEY, "t", "sales", MAX_LAG)
+    return a.withColumn("acf", F.round("acf", 6))
+
+
+@query("ts_pacf", section="2.13")
+def ts_pacf(spark, sf_dir):
+    return TS.pacf(TS.acf(_series(spark, sf_dir), KEY, "t", "sales", MAX_LAG), KEY, MAX_LAG)
+
+
+_KP_PROD = ", ".join(f"e * LAG(e, {s}) OVER w AS p{s}" for s in range(1, TS.KPSS_MAX_LAG + 1))
+_KP_SUMS = ", ".join(f"SUM(p{s}) AS g{s}" for s in range(1, TS.KPSS_MAX_LAG + 1))
+_KP_LR = " + ".join(f"2 * (CASE WHEN {s} <= lags THEN 1 - {s} / (lags + 1) ELSE 0 END) * COALESCE(g{s}, 0)"
+                    for s in range(1, TS.KPSS_MAX_LAG + 1))
+
+
+@query("ts_kpss", section="2.13", sql=f"""
+WITH {MONTHLY_FILLED_SQL},
+e AS (SELECT market, segment, t, sales - AVG(sales) OVER (PARTITION BY market, segment) AS e,
+             COUNT(*) OVER (PARTITION BY market, segment) AS n FROM monthly_filled),
+c AS (SELECT *, SUM(e) OVER (PARTITION BY market, segment ORDER BY t ROWS UNBOUNDED PRECEDING) AS S, {_KP_PROD}
+      FROM e WINDOW w AS (PARTITION BY market, segment ORDER BY t)),
+a AS (SELECT market, segment, ANY_VALUE(n) AS n, CAST(floor(4 * power(ANY_VALUE(n) / 100.0, 0.25)) AS INTEGER) AS lags,
+             SUM(S * S) AS ss, SUM(e * e) AS e0, {_KP_SUMS} FROM c GROUP BY 1, 2),
+k AS (SELECT market, segment, n, lags, ss / (n * n * ((e0 + {_KP_LR}) / n)) AS kpss FROM a)
+SELECT market, segment, CAST(n AS BIGINT) AS n, lags, ROUND(kpss, 6) AS kpss, kpss < {TS.KPSS_LEVEL_5PCT} AS stationary_5pct
+FROM k""")
+def ts_kpss(spark, sf_dir):
+    k = TS.kpss(_series(spark, sf_dir), KEY, "t", "sales")
+    return k.select(*KEY, "n", "lags", F.round("kpss", 6).alias("kpss"), "stationary_5pct")
+
+
+@query("ts_mape", section="2.13", sql=f"""
+WITH {MONTHLY_FILLED_SQL},
+f AS (SELECT market, segment, t, sales,
+             AVG(sales) OVER (PARTITION BY market, segment ORDER BY t ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS yhat,
+             t > MAX(t) OVER (PARTITION BY market, segment) - {H} AS is_test FROM monthly_filled)
+SELECT market, segment, ROUND(AVG(abs(100.0 * (sales - yhat) / NULLIF(sales, 0))), 4) AS mape
+FROM f WHERE is_test GROUP BY 1, 2""")
+def ts_mape(spark, sf_dir):
+    s = _with_holdout(spark, sf_dir)
+    w = Window.partitionBy(*KEY).orderBy("t").rowsBetween(-3, -1)
+    s = s.withColumn("yhat", F.avg("sales").over(w)).where(F.col("part") == "test")
+    return TS.mape(s, KEY, "sales", "yhat").withColumn("mape", F.round("mape", 4))
+
+
+def _seasonal(spark, sf_dir):
+    s = _with_holdout(spark, sf_dir)
+    fitted, _ = TS.seasonal_fit(s, KEY, "t", "sales", train=F.col("part") == "train")
+    return fitted
+
+
+@query("ts_seasonal_fit", section="2.13")
+def ts_seasonal_fit(spark, sf_dir):
+    return _seasonal(spark, sf_dir).select(*KEY, "t", "part", "sales", "fit")
+
+
+@query("ts_residual", section="2.13")
+def ts_residual(spark, sf_dir):
+    f = _seasonal(spark, sf_dir).where(F.col("part") == "train")
+    return TS.residual(f, "sales", "fit").select(*KEY, "t", "resid")
+
+
+def _ar(spark, sf_dir):
+    train = _with_holdout(spark, sf_dir).where(F.col("part") == "train")
+    fits = TS.ar_fit(train, KEY, "t", "sales", max_p=3, max_d=1)
+    return train, fits
+
+
+@query("ts_ar_fit", section="2.13")
+def ts_ar_fit(spark, sf_dir):
+    _, fits = _ar(spark, sf_dir)
+    return fits
+
+
+def _ar_test(spark, sf_dir):
+    train, fits = _ar(spark, sf_dir)
+    fc = TS.ar_forecast(train, fits, KEY, "t", "sales", H)
+    test = _with_holdout(spark, sf_dir).where(F.col("part") == "test").select(*KEY, "t", "sales")
+    return fc.join(test, [*KEY, "t"], "left")
+
+
+@query("ts_forecast", section="2.13")
+def ts_forecast(spark, sf_dir):
+    return _ar_test(spark, sf_dir).select(*KEY, "t", "forecast", "sales")
+
+
+@query("ts_adf", section="2.13")
+def ts_adf(spark, sf_dir):
+    return TS.adf(_series(spark, sf_dir), KEY, "t", "sales")
+
+
+@query("ts_model_pick", section="2.13")
+def ts_model_pick(spark, sf_dir):
+    reg = _seasonal(spark, sf_dir).where(F.col("part") == "test")
+    m_reg = TS.mape(reg, KEY, "sales", "fit").withColumn("method", F.lit("regression"))
+    m_ar = TS.mape(_ar_test(spark, sf_dir), KEY, "sales", "forecast").withColumn("method", F.lit("ar"))
+    return TS.pick_model(m_reg.unionByName(m_ar), KEY)
