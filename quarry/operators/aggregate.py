@@ -76,7 +76,7 @@ def distinct_count(df: DataFrame, cols: Sequence[str], approx: bool = False,
 
 
 def spread(df: DataFrame, col: str, probs: Sequence[float] = (0.25, 0.5, 0.75),
-           accuracy: int = 1_000_000, by: Sequence[str] = ()) -> DataFrame:
+           accuracy: int = 100_000, by: Sequence[str] = ()) -> DataFrame:
     """Average, approximate quantiles and distinct count of one column."""
     aggs = [F.avg(col).alias("avg")]
     aggs += [F.percentile_approx(col, p, accuracy).alias(f"p{int(round(p * 100))}") for p in probs]

@@ -57,12 +57,10 @@ def seasonal_design(df: DataFrame, key: Sequence[str], t: str, scale_from: str |
     base = F.col(t) if scale_from is None else F.when(F.col(scale_from).isNotNull(), F.col(t))
     lo, hi = F.min(base).over(g), F.max(base).over(g)
     ts = (F.lit(2.0) * (F.col(t) - lo) / F.greatest(hi - lo, F.lit(1)) - 1)
-    out = df.withColumn("s", F.sin(0.5 * F.col(t))).withColumn("c", F.cos(0.5 * F.col(t))) \
-        .withColumn("t1", ts).withColumn("t2", ts * ts).withColumn("t3", ts * ts * ts)
-    for a in ("s", "c"):
-        for p in ("t1", "t2", "t3"):
-            out = out.withColumn(f"{a}_{p}", F.col(a) * F.col(p))
-    return out
+    # one projection per dependency level (long withColumn chains re-analyse the plan each time)
+    out = df.withColumns({"s": F.sin(0.5 * F.col(t)), "c": F.cos(0.5 * F.col(t)), "_ts": ts})
+    out = out.withColumns({"t1": F.col("_ts"), "t2": F.col("_ts") ** 2, "t3": F.col("_ts") ** 3}).drop("_ts")
+    return out.withColumns({f"{a}_{p}": F.col(a) * F.col(p) for a in ("s", "c") for p in ("t1", "t2", "t3")})
 
 
 def _dot(cols: Sequence[str], beta: Column) -> Column:
@@ -116,8 +114,7 @@ def acf(df: DataFrame, key: Sequence[str], t: str, x: str, max_lag: int) -> Data
     g = Window.partitionBy(*key)
     d = df.withColumn("_d", F.col(x) - F.avg(x).over(g))
     w = _w(key, t)
-    for k in range(1, max_lag + 1):
-        d = d.withColumn(f"_l{k}", F.lag("_d", k).over(w))
+    d = d.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, max_lag + 1)})
     sums = d.groupBy(*key).agg(F.sum(F.col("_d") * F.col("_d")).alias("_s0"),
                                *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"a{k}") for k in range(1, max_lag + 1)])
     long = sums.select(*key, "_s0", *[(F.col(f"a{k}") / F.col("_s0")).alias(str(k)) for k in range(1, max_lag + 1)]) \
@@ -163,12 +160,11 @@ def kpss(df: DataFrame, key: Sequence[str], t: str, x: str) -> DataFrame:
     key = list(key)
     g = Window.partitionBy(*key)
     w = _w(key, t)
-    d = df.withColumn("_e", F.col(x) - F.avg(x).over(g)) \
-        .withColumn("_n", F.count(F.lit(1)).over(g)) \
-        .withColumn("_S", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    d = d.withColumn("_lags", F.floor(F.lit(4.0) * F.pow(F.col("_n") / 100.0, 0.25)).cast("int"))
-    for s in range(1, KPSS_MAX_LAG + 1):
-        d = d.withColumn(f"_p{s}", F.col("_e") * F.lag("_e", s).over(w))
+    d = df.withColumns({"_e": F.col(x) - F.avg(x).over(g), "_n": F.count(F.lit(1)).over(g)})
+    d = d.withColumns({
+        "_S": F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "_lags": F.floor(F.lit(4.0) * F.pow(F.col("_n") / 100.0, 0.25)).cast("int"),
+        **{f"_p{s}": F.col("_e") * F.lag("_e", s).over(w) for s in range(1, KPSS_MAX_LAG + 1)}})
     agg = d.groupBy(*key).agg(F.first("_n").alias("n"), F.first("_lags").alias("lags"),
                               F.sum(F.col("_S") * F.col("_S")).alias("_ss"),
                               F.sum(F.col("_e") * F.col("_e")).alias("_e0"),
@@ -200,13 +196,12 @@ def adf(df: DataFrame, key: Sequence[str], t: str, x: str, max_k: int = 12) -> D
     key = list(key)
     g = Window.partitionBy(*key)
     w = _w(key, t)
-    d = df.withColumn("_n", F.count(F.lit(1)).over(g)) \
-        .withColumn("_k", F.least(F.floor(F.pow(F.col("_n") - 1.0, 1.0 / 3.0)).cast("int"), F.lit(max_k))) \
-        .withColumn("_i", F.row_number().over(w)) \
-        .withColumn("_y1", F.lag(x, 1).over(w)) \
-        .withColumn("_dy", F.col(x) - F.col("_y1"))
-    for j in range(1, max_k + 1):
-        d = d.withColumn(f"_dl{j}", F.when(F.lit(j) <= F.col("_k"), F.lag("_dy", j).over(w)).otherwise(0.0))
+    d = df.withColumns({"_n": F.count(F.lit(1)).over(g), "_i": F.row_number().over(w),
+                        "_y1": F.lag(x, 1).over(w)})
+    d = d.withColumns({"_k": F.least(F.floor(F.pow(F.col("_n") - 1.0, 1.0 / 3.0)).cast("int"), F.lit(max_k)),
+                       "_dy": F.col(x) - F.col("_y1")})
+    d = d.withColumns({f"_dl{j}": F.when(F.lit(j) <= F.col("_k"), F.lag("_dy", j).over(w)).otherwise(0.0)
+                       for j in range(1, max_k + 1)})
     d = d.where(F.col("_i") > F.col("_k") + 1).withColumn("_tt", F.col("_i").cast("double"))
     terms = ["_tt", "_y1"] + [f"_dl{j}" for j in range(1, max_k + 1)]
     gdf = G.gram(d, terms, "_dy", by=key)
@@ -244,14 +239,13 @@ def ar_fit(df: DataFrame, key: Sequence[str], t: str, x: str, max_p: int = 3, ma
         allx = allx.unionByName(p_)
     sel = allx.join(chosen, [*key, "d"])
     w = Window.partitionBy(*key).orderBy(t)
+    sel = sel.withColumns({f"_l{j}": F.lag("_y", j).over(w) for j in range(1, max_p + 1)})
+    complete = F.col("_y").isNotNull()
     for j in range(1, max_p + 1):
-        sel = sel.withColumn(f"_l{j}", F.lag("_y", j).over(w))
-    sel = sel.where(F.col("_y").isNotNull())
-    for j in range(1, max_p + 1):
-        sel = sel.where(F.col(f"_l{j}").isNotNull())
-    sel = sel.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max_p))))
-    for j in range(1, max_p + 1):
-        sel = sel.withColumn(f"_z{j}", F.when(F.col("p") >= j, F.col(f"_l{j}")).otherwise(0.0))
+        complete = complete & F.col(f"_l{j}").isNotNull()
+    sel = sel.where(complete).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(max_p))))
+    sel = sel.withColumns({f"_z{j}": F.when(F.col("p") >= j, F.col(f"_l{j}")).otherwise(0.0)
+                           for j in range(1, max_p + 1)})
     terms = [f"_z{j}" for j in range(1, max_p + 1)]
     gdf = G.gram(sel, terms, "_y", by=[*key, "d", "p"])
     fits = gram_solve_by(gdf, [*key, "d", "p"], max_p + 1)

@@ -8,8 +8,8 @@ from quarry.functions import avg_where, bands, cv
 from quarry.operators import aggregate as A
 from quarry.plans.registry import query
 from quarry.plans.standins import (CUSTOMERS_GEO_SQL, LOANS_SQL, ORDER_MONTHS_SQL, REQUESTS_SQL,
-                                   TRIPS_SQL, customers_geo, loans, order_months, profit_col, PROFIT_SQL,
-                                   requests, trips)
+                                   PROFIT_SQL, TRIPS_SQL, customers_geo, loans, money, order_months,
+                                   profit_col, requests, trips)
 from quarry.sources.tables import Tables
 
 
@@ -69,8 +69,9 @@ def ag_group_year_month(spark, sf_dir):
          .join(cg, F.col("o_custkey") == F.col("c_custkey"))
          .select("r_name", "c_mktsegment", "o_orderdate", F.col("l_extendedprice").alias("sales"),
                  F.col("l_quantity").alias("qty"), profit_col().alias("profit")))
-    out = A.monthly(j, "o_orderdate", ["r_name", "c_mktsegment"], ["sales", "qty", "profit"], digits=2)
-    return out.withColumn("sum_profit", F.col("sum_profit").cast("double"))
+    out = A.monthly(j, "o_orderdate", ["r_name", "c_mktsegment"], ["sales", "qty", "profit"])
+    return out.select("r_name", "c_mktsegment", "year", "month", F.round("sum_sales", 2).alias("sum_sales"),
+                      F.round("sum_qty", 2).alias("sum_qty"), money(F.col("sum_profit")).alias("sum_profit"))
 
 
 @query("ag_having_max", section="2.6", sql="""

@@ -9,8 +9,8 @@ from quarry.plans import composites as P
 from quarry.plans.q_joins import FINE_RATES
 from quarry.plans.registry import query
 from quarry.plans.standins import (LOANS_SQL, ORDER_MONTHS_SQL, PROFIT_SQL, REQUESTS_SQL,
-                                   TICKETS_SQL, customers_geo, loans, order_months, profit_col,
-                                   requests, tickets)
+                                   TICKETS_SQL, customers_geo, loans, money, order_months,
+                                   profit_col, requests, tickets)
 from quarry.sources.tables import Tables
 
 _SEASON_SQL = """CASE WHEN month(issued) IN (1, 2, 12) THEN 'Winter' WHEN month(issued) BETWEEN 3 AND 5 THEN 'Spring'
@@ -193,7 +193,7 @@ def pl_least_profitable_region(spark, sf_dir):
             .join(cg, F.col("o_custkey") == F.col("c_custkey"))
             .select("p_brand", "r_name", "l_orderkey", profit_col().alias("profit")))
     out = P.least_profitable_by_region(fact, "p_brand", "r_name", "profit", "l_orderkey")
-    return out.withColumn("profit", F.round("profit", 2).cast("double"))
+    return out.withColumn("profit", money(F.col("profit")))
 
 
 @query("pl_default_profile", section="2.11", sql=f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import eq_ci
 from quarry.operators import joins as J
 from quarry.plans.registry import query
-from quarry.plans.standins import CUSTOMERS_GEO_SQL, customers_geo, profit_col
+from quarry.plans.standins import customers_geo, money, profit_col
 from quarry.sources.tables import Tables
 
 
@@ -45,7 +45,7 @@ def jn_inner_two(spark, sf_dir):
     t = Tables(spark, sf_dir)
     j = J.star_join(t.lineitem.select("l_partkey", "l_extendedprice", "l_discount", "l_quantity"),
                     [(t.part.select("p_partkey", "p_type"), "l_partkey", "p_partkey")])
-    return j.groupBy("p_type").agg(F.round(F.sum(profit_col()), 2).cast("double").alias("profit"))
+    return j.groupBy("p_type").agg(money(F.sum(profit_col())).alias("profit"))
 
 
 @query("jn_inner_same_key", section="2.5", sql="""

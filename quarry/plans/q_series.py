@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from quarry.operators import series as TS
 from quarry.plans.registry import query
 from quarry.plans.standins import MONTHLY_FILLED_SQL, monthly_filled
+from quarry.session import ensure_checkpoint_dir
 from quarry.sources.tables import Tables
 
 KEY = ["market", "segment"]
@@ -17,7 +18,10 @@ MAX_LAG = 12
 
 
 def _series(spark, sf_dir):
-    return monthly_filled(Tables(spark, sf_dir)).select(*KEY, "t", "sales")
+    """The monthly series, materialised once: every statistic below reads it
+    several times (per difference order, per lag), and it is a small aggregate."""
+    ensure_checkpoint_dir(spark)
+    return monthly_filled(Tables(spark, sf_dir)).select(*KEY, "t", "sales").checkpoint(eager=True)
 
 
 def _with_holdout(spark, sf_dir):

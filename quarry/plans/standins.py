@@ -19,11 +19,21 @@ from quarry.sources.tables import Tables
 # customer = customer + nation + region, profit = revenue - 1000 * quantity
 
 def profit_col() -> F.Column:
-    """Exact decimal money arithmetic, so sums round the same on every engine."""
-    price = F.col("l_extendedprice").cast("decimal(15,2)")
-    disc = F.col("l_discount").cast("decimal(15,2)")
-    qty = F.col("l_quantity").cast("decimal(15,2)")
-    return price * (1 - disc) - qty * 1000
+    """Profit in units of 1e-4 as an exact 64-bit integer.
+
+    Cents times whole percent stays in long arithmetic (fast, inside
+    codegen) and sums exactly, so totals round the same on every engine;
+    convert a sum back with :func:`money`.
+    """
+    price_c = F.round(F.col("l_extendedprice") * 100).cast("long")
+    disc_p = F.round(F.col("l_discount") * 100).cast("long")
+    qty_c = F.round(F.col("l_quantity") * 100).cast("long")
+    return price_c * (100 - disc_p) - qty_c * 100000
+
+
+def money(total_e4: F.Column, digits: int = 2) -> F.Column:
+    """A sum of :func:`profit_col` values back to money, rounded half-up exactly."""
+    return F.round(total_e4.cast("decimal(38,0)") / F.lit(10000), digits).cast("double")
 
 
 PROFIT_SQL = ("(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2)))"
