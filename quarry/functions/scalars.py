@@ -105,14 +105,18 @@ def parse_ts(c: ColumnOrName, *formats: str) -> Column:
 def parse_clock(c: ColumnOrName) -> Column:
     """``"0752A"`` -> struct(hour=7, minute=52).  ``00xxA`` is just after midnight.
 
-    The text gets its ``M``; an AM hour written ``00`` becomes ``12`` so the
-    12-hour pattern accepts it.  Anything else unparsable is NULL.
+    12-hour clock: hours 01-12, ``12xxA`` is just after midnight, ``12xxP``
+    noon, and an AM hour written ``00`` also means midnight.  Integer
+    arithmetic on the digits (no timestamp parsing); anything else is NULL.
     """
     s = F.upper(F.trim(_c(c)))
-    s = F.when(s.rlike("^[0-9]{4}[AP]$"), F.concat(s, F.lit("M")))
-    s = F.when(s.rlike("^00[0-9]{2}AM$"), F.regexp_replace(s, "^00", "12")).otherwise(s)
-    ts = F.try_to_timestamp(s, F.lit("hhmma"))
-    return F.struct(F.hour(ts).alias("hour"), F.minute(ts).alias("minute"))
+    hh = F.substring(s, 1, 2).try_cast("int")
+    mm = F.substring(s, 3, 2).try_cast("int")
+    ap = F.substring(s, 5, 1)
+    valid = (s.rlike("^[0-9]{4}[AP]M?$") & (mm < 60)
+             & (hh.between(1, 12) | ((hh == 0) & (ap == "A"))))
+    hour = F.when(valid, hh % 12 + F.when(ap == "P", 12).otherwise(0))
+    return F.struct(hour.alias("hour"), F.when(valid, mm).alias("minute"))
 
 
 def clock_text(ts: ColumnOrName) -> Column:

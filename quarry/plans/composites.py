@@ -34,8 +34,10 @@ def ticket_seasonality(tickets: DataFrame, n: int = 3, ts: str = "issued", code:
 def ticket_hour_profile(tickets: DataFrame, n: int = 3, clock: str = "clock", code: str = "code",
                         by: Sequence[str] = ("fy",)) -> DataFrame:
     """Top ``n`` codes per 4-hour bin, the hour parsed from ``hhmm`` + A/P text."""
-    t = tickets.withColumn("hour_bin", S.hour_bin(S.parse_clock(clock)["hour"], 4)) \
-        .where(F.col("hour_bin").isNotNull())
+    t = tickets.withColumn("hour_bin", S.hour_bin(S.parse_clock(clock)["hour"], 4))
+    # unparsable clocks form their own NULL bin (as a CASE without ELSE does).  No
+    # filter on hour_bin: Catalyst would push it to the scan with the whole parsing
+    # expression inlined many times over.
     counts = t.groupBy(*by, "hour_bin", code).agg(F.count(F.lit(1)).alias("n"))
     return W.top_n_per_group(counts, [*by, "hour_bin"], [F.desc("n")], n, ties="keep")
 
