@@ -10,7 +10,6 @@ primitive per key, and the small per-series solves and recursions run in
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -191,7 +190,7 @@ def adf(df: DataFrame, key: Sequence[str], t: str, x: str, max_k: int = 12) -> D
     """Augmented Dickey-Fuller t-ratio (constant + trend), lag k = trunc((n-1)^(1/3)).
 
     Regression of Δy_t on 1, t, y_{t-1}, Δy_{t-1..t-k} per series, one Gram
-    aggregate; lags beyond a series' own k are zero.  Returns (key..., n, k, adf, stationary_5pct).
+    aggregate; lags beyond a series' own k are zero.  Returns (key..., n, lags, adf, stationary_5pct).
     """
     key = list(key)
     g = Window.partitionBy(*key)
@@ -206,9 +205,9 @@ def adf(df: DataFrame, key: Sequence[str], t: str, x: str, max_k: int = 12) -> D
     terms = ["_tt", "_y1"] + [f"_dl{j}" for j in range(1, max_k + 1)]
     gdf = G.gram(d, terms, "_dy", by=key)
     fits = gram_solve_by(gdf, key, len(terms) + 1)
-    ks = d.groupBy(*key).agg(F.first("_k").alias("k"))
+    ks = d.groupBy(*key).agg(F.first("_k").alias("lags"))
     stat = F.get("beta", 2) / F.get("se", 2)
-    return fits.join(ks, key).select(*key, "n", "k", stat.alias("adf")) \
+    return fits.join(ks, key).select(*key, "n", "lags", stat.alias("adf")) \
         .withColumn("stationary_5pct", F.col("adf") < ADF_TREND_5PCT)
 
 
