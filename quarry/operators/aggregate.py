@@ -149,6 +149,8 @@ def share(df: DataFrame, by: Sequence[str], within: Sequence[str] = (), name: st
     """
     keys = list(within) + [b for b in by if b not in within]
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    if not within:  # grand total as a scalar subquery, not a one-partition window
+        return counts.withColumn(share_name, F.col(name) / counts.agg(F.sum(name)).scalar())
     w = Window.partitionBy(*within)
     return counts.withColumn(share_name, F.col(name) / F.sum(name).over(w))
 

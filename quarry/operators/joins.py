@@ -65,10 +65,25 @@ def natural_join(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
     return a.join(b, common, how)
 
 
-def with_group_totals(df: DataFrame, by: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
-    """Attach group aggregates to each detail row without an aggregate + self-join."""
-    w = Window.partitionBy(*by)
-    return df.select("*", *[agg.over(w).alias(name) for name, agg in aggs.items()])
+def with_group_totals(df: DataFrame, by: Sequence[str], aggs: dict[str, Column],
+                      method: str = "join") -> DataFrame:
+    """Attach group aggregates to each detail row.
+
+    ``join`` (default): partial aggregation, then a NULL-safe join of one row
+    per group back to the detail rows; a hot group is split by AQE's skew
+    join instead of landing whole in one window task.  ``window``: a
+    ``partitionBy`` window, one pass, fine when no group is large.
+    """
+    if method == "window":
+        w = Window.partitionBy(*by)
+        return df.select("*", *[agg.over(w).alias(name) for name, agg in aggs.items()])
+    totals = df.groupBy(*by).agg(*[agg.alias(name) for name, agg in aggs.items()])
+    t = totals.select(*[F.col(k).alias(f"_g_{k}") for k in by], *aggs)
+    cond = None
+    for k in by:
+        c = df[k].eqNullSafe(t[f"_g_{k}"])
+        cond = c if cond is None else cond & c
+    return df.join(t, cond, "left").drop(*[f"_g_{k}" for k in by])
 
 
 def keys_missing(a: DataFrame, b: DataFrame, key_a: str, key_b: str | None = None,

@@ -61,7 +61,8 @@ def nth_highest(df: DataFrame, col: str, n: int, ties: str = "value",
     """Row(s) holding the n-th highest value: by distinct value or by row."""
     ranker = F.dense_rank if ties == "value" else F.row_number
     w = Window.partitionBy(*by).orderBy(F.desc(col), *[F.asc(t) for t in tie_break])
-    return df.withColumn("_r", ranker().over(w)).where(F.col("_r") == n).drop("_r")
+    # "<= n" first lets Spark infer a map-side window-group limit
+    return df.withColumn("_r", ranker().over(w)).where(F.col("_r") <= n).where(F.col("_r") == n).drop("_r")
 
 
 def with_grand_total(df: DataFrame, agg: Column, name: str) -> DataFrame:

@@ -19,6 +19,7 @@ from quarry.operators import aggregate as A
 from quarry.operators import windows as W
 from quarry.operators.columns import drop_all_null
 from quarry.operators.reshape import melt_flags
+from quarry.session import ensure_checkpoint_dir
 
 
 def ticket_seasonality(tickets: DataFrame, n: int = 3, ts: str = "issued", code: str = "code",
@@ -95,15 +96,21 @@ def sector_investment(rounds: DataFrame, mapping_wide: DataFrame, lo: float, hi:
     sectors = [c for c in mapping_wide.columns if c != category]
     mapping = melt_flags(mapping_wide, [category], sectors, "sector", "_flag").drop("_flag")
     r = rounds.where(S.in_range(amount, lo, hi)).join(F.broadcast(mapping), category)
-    top_countries = (r.groupBy(country).agg(F.sum(amount).alias("_t"))
+    # one pass over the fact rows: everything below is derived from this small
+    # (country, sector, company) aggregate.  The branches push different filters,
+    # so Spark would not reuse one exchange; the aggregate is checkpointed instead.
+    ensure_checkpoint_dir(rounds.sparkSession)
+    fine = r.groupBy(country, "sector", company).agg(F.count(F.lit(1)).alias("_n"),
+                                                     F.sum(amount).alias("company_amount")) \
+        .checkpoint(eager=True)
+    top_countries = (fine.groupBy(country).agg(F.sum("company_amount").alias("_t"))
                      .orderBy(F.desc("_t"), F.asc(country)).limit(countries_n).select(country))
-    r = r.join(F.broadcast(top_countries), country, "left_semi")
-    per_sector = r.groupBy(country, "sector").agg(F.count(F.lit(1)).alias("n_rounds"),
-                                                  F.sum(amount).alias("total_amount"))
+    fine = fine.join(F.broadcast(top_countries), country, "left_semi")
+    per_sector = fine.groupBy(country, "sector").agg(F.sum("_n").alias("n_rounds"),
+                                                     F.sum("company_amount").alias("total_amount"))
     ranked = W.top_n_per_group(per_sector, [country], [F.desc("n_rounds"), F.asc("sector")],
                                sectors_n, ties="cut", rank_col="sector_rank")
-    per_company = r.groupBy(country, "sector", company).agg(F.sum(amount).alias("company_amount"))
-    best = A.argmax(per_company, "company_amount", [company], by=[country, "sector"], tie=[company])
+    best = A.argmax(fine, "company_amount", [company], by=[country, "sector"], tie=[company])
     return ranked.join(best, [country, "sector"], "left")
 
 
