@@ -276,7 +276,7 @@ def grid_cv(df: DataFrame, label: str, features: str, reg_params: Sequence[float
     Returns one row per grid point: (reg_param, max_iter, accuracy).
     """
     svc = LinearSVC()
-    ovr = OneVsRest(classifier=svc, labelCol=label, featuresCol=features)
+    ovr = OneVsRest(classifier=svc, labelCol=label, featuresCol=features, parallelism=4)
     grid = ParamGridBuilder().addGrid(svc.regParam, list(reg_params)).addGrid(svc.maxIter, list(max_iters)).build()
     ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
     cv = CrossValidator(estimator=Pipeline(stages=[ovr]), estimatorParamMaps=grid, evaluator=ev,

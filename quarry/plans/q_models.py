@@ -84,7 +84,7 @@ def _digits(spark, sf_dir):
 @query("ml_linear_svm_multi", section="2.12")
 def ml_linear_svm_multi(spark, sf_dir):
     d = M.to_vector(_digits(spark, sf_dir), "embedding")
-    model = M.svm_multi(d.where("split = 'train'"), "label")
+    model = M.svm_multi(d.where("split = 'train'"), "label", max_iter=20)
     return model.transform(d.where("split = 'test'")).select("vec_id", "label", "prediction")
 
 
@@ -92,7 +92,7 @@ def ml_linear_svm_multi(spark, sf_dir):
 def ml_rff_svm(spark, sf_dir):
     d = M.rff(_digits(spark, sf_dir), "embedding", dim=256, sigma=1.0, seed=7)
     d = M.to_vector(d, "rff").checkpoint(eager=True)
-    model = M.svm_multi(d.where("split = 'train'"), "label")
+    model = M.svm_multi(d.where("split = 'train'"), "label", max_iter=20)
     return model.transform(d.where("split = 'test'")).select("vec_id", "label", "prediction")
 
 
@@ -100,4 +100,4 @@ def ml_rff_svm(spark, sf_dir):
 def ml_grid_cv(spark, sf_dir):
     d = M.to_vector(M.rff(_digits(spark, sf_dir), "embedding", dim=128, sigma=1.0, seed=7), "rff")
     train = d.where("split = 'train'").select("label", "features").checkpoint(eager=True)
-    return M.grid_cv(train, "label", "features", [0.01, 0.1], [10, 25], folds=3, parallelism=6)
+    return M.grid_cv(train, "label", "features", [0.01, 0.1], [10, 20], folds=3, parallelism=6)
