@@ -113,3 +113,17 @@ def test_mape_and_pick(spark):
     m2 = TS.mape(df, ["k"], "y", "f2").withColumn("method", F.lit("two"))
     assert m1.first().mape == pytest.approx(10.0)
     assert TS.pick_model(m1.unionByName(m2), ["k"]).first().method == "two"
+
+
+def test_binomial_selection_paths(spark):
+    rng = np.random.default_rng(6)
+    n = 1500
+    x1, x2, z = rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(1.5 * x1 - 1.0 * x2)))).astype(int)
+    df = spark.createDataFrame([(int(a), float(b), float(c), float(d)) for a, b, c, d in zip(y, x1, x2, z)],
+                               "y int, x1 double, x2 double, z double")
+    path = M.step_aic(df, "y", ["x1", "x2", "z"], family="binomial").orderBy("step").collect()
+    final = set(path[-1].terms.split(","))
+    assert {"x1", "x2"} <= final and path[-1].aic <= path[0].aic
+    be = M.backward_eliminate(df, "y", ["x1", "x2", "z"], family="binomial").orderBy("step").collect()
+    assert set(be[-1].terms.split(",")) == {"x1", "x2"}
