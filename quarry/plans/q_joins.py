@@ -71,14 +71,14 @@ def jn_left_diff_names(spark, sf_dir):
 
 
 @query("jn_common_columns", section="2.5", sql="""
-SELECT c.conv_id, c.turn, c.role, c.n_words, k.n_turns
-FROM (SELECT conv_id, turn, role, length(text) AS n_words FROM conversations) c
+SELECT c.conv_id, c.turn, c.role, c.n_chars, k.n_turns
+FROM (SELECT conv_id, turn, role, CAST(length(text) AS INTEGER) AS n_chars FROM conversations) c
 JOIN (SELECT conv_id, CAST(COUNT(*) AS BIGINT) AS n_turns FROM conversations GROUP BY conv_id) k
   USING (conv_id)""")
 def jn_common_columns(spark, sf_dir):
     t = Tables(spark, sf_dir)
     conv = t.conversations
-    a = conv.select("conv_id", "turn", "role", F.length("text").alias("n_words"))
+    a = conv.select("conv_id", "turn", "role", F.length("text").alias("n_chars"))
     b = conv.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
     return J.natural_join(a, b)
 
