@@ -6,4 +6,4 @@ from quarry.functions.scalars import (SEASONS, all_of, any_of, avg_where, bands,
                                       flag, hour_bin, in_fiscal_year, in_range, label_at, ne,
                                       not_sentinel, parse_clock, parse_percent, parse_tenure,
                                       parse_ts, ratio, round_bin, round_to, season, speed, to_type,
-                                      date_parts)
+                                      date_parts, century_pivot)

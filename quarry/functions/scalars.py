@@ -102,6 +102,12 @@ def parse_ts(c: ColumnOrName, *formats: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(_c(c), F.lit(f)) for f in formats])
 
 
+def century_pivot(ts: ColumnOrName, pivot: int = 69) -> Column:
+    """Two-digit years: Spark's ``yy`` reads 00-99 as 2000-2099; move years from
+    ``2000 + pivot`` upward back a century (so 69-99 become 1969-1999)."""
+    return F.when(F.year(_c(ts)) >= 2000 + pivot, F.add_months(_c(ts), -1200)).otherwise(_c(ts))
+
+
 def parse_clock(c: ColumnOrName) -> Column:
     """``"0752A"`` -> struct(hour=7, minute=52).  ``00xxA`` is just after midnight.
 

@@ -148,12 +148,18 @@ def rule_breakdown(df: DataFrame, rules: Mapping[str, Column], by: Sequence[str]
     return wide.unpivot(list(by), list(fails), "rule", "failures")
 
 
-def conform(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """Rows that pass every rule (a NULL verdict does not pass)."""
+def conform(df: DataFrame, rules: Mapping[str, Column], skip: Sequence[str] = ()) -> DataFrame:
+    """Rows that pass every rule (a NULL verdict does not pass).
+
+    ``skip`` leaves named rules out, e.g. to reproduce a load filter that
+    forgot one of the report's rules.
+    """
     cond = None
-    for c in rules.values():
+    for name, c in rules.items():
+        if name in skip:
+            continue
         cond = c if cond is None else cond & c
-    return df.where(cond)
+    return df if cond is None else df.where(cond)
 
 
 def period_audit(df: DataFrame, ts: str, name: str = "n") -> DataFrame:
@@ -191,6 +197,11 @@ def impute_mode(df: DataFrame, col: str, invalid: Sequence) -> DataFrame:
     return df.withColumn(col, F.when(F.col(col).isin(*invalid), mode).otherwise(F.col(col)))
 
 
+# A "0" typed for the letters "na" inside a word, but not a real zero
+# such as the one in "2.0" (the zero must touch a letter).
+ZERO_IN_WORD = (r"(?<=[A-Za-z])0|0(?=[A-Za-z])", "na")
+
+
 def recode(df: DataFrame, col: str, mapping: Mapping[str, str] | None = None,
            patterns: Sequence[tuple[str, str]] = ()) -> DataFrame:
     """Fix spellings: whole-value dictionary (a literal map, no join) then regex rules."""

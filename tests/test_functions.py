@@ -80,3 +80,23 @@ def test_fiscal_year_bounds():
 def test_elapsed_exact(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00.9' AS a, TIMESTAMP_NTZ'2024-01-01 00:00:01.1' AS b")
     assert abs(df.select(S.elapsed("a", "b", "seconds")).first()[0] - 0.2) < 1e-9
+
+
+def test_century_pivot(spark):
+    df = spark.createDataFrame([("Dec-11",), ("Jan-85",)], "s string")
+    got = [r[0] for r in df.select(F.date_format(S.century_pivot(S.parse_ts("s", "MMM-yy")), "yyyy-MM")).collect()]
+    assert got == ["2011-12", "1985-01"]
+
+
+def test_zero_in_word_fix(spark):
+    from quarry.operators.quality import ZERO_IN_WORD, recode
+    df = spark.createDataFrame([("A0lytics",), ("2.0",), ("0nline",)], "s string")
+    got = [r.s for r in recode(df, "s", patterns=[ZERO_IN_WORD]).collect()]
+    assert got == ["Analytics", "2.0", "nanline"]
+
+
+def test_conform_skip_rule(spark):
+    from quarry.operators.quality import conform
+    df = spark.createDataFrame([(1, 2), (3, 0)], "a int, b int")
+    rules = {"pos": F.col("b") > 0, "small": F.col("a") < 5}
+    assert conform(df, rules).count() == 1 and conform(df, rules, skip=["pos"]).count() == 2
