@@ -49,14 +49,14 @@ def col_drop_all_zero(spark, sf_dir):
 
 
 @query("col_drop_constant", section="2.2", sql="""
-SELECT 'o_orderstatus' AS "column", CAST(COUNT(DISTINCT o_orderstatus) AS BIGINT) AS n_distinct,
-       COUNT(DISTINCT o_orderstatus) <= 1 AS is_constant FROM orders
+SELECT 'o_orderstatus' AS "column", CAST(COUNT(o_orderstatus) AS BIGINT) AS n_values,
+       COUNT(DISTINCT o_orderstatus) <= 1 AND COUNT(o_orderstatus) IN (0, COUNT(*)) AS is_constant FROM orders
 UNION ALL
-SELECT 'status_len', CAST(COUNT(DISTINCT length(o_orderstatus)) AS BIGINT),
-       COUNT(DISTINCT length(o_orderstatus)) <= 1 FROM orders
+SELECT 'status_len', CAST(COUNT(length(o_orderstatus)) AS BIGINT),
+       COUNT(DISTINCT length(o_orderstatus)) <= 1 AND COUNT(length(o_orderstatus)) IN (0, COUNT(*)) FROM orders
 UNION ALL
-SELECT 'o_orderpriority', CAST(COUNT(DISTINCT o_orderpriority) AS BIGINT),
-       COUNT(DISTINCT o_orderpriority) <= 1 FROM orders""")
+SELECT 'o_orderpriority', CAST(COUNT(o_orderpriority) AS BIGINT),
+       COUNT(DISTINCT o_orderpriority) <= 1 AND COUNT(o_orderpriority) IN (0, COUNT(*)) FROM orders""")
 def col_drop_constant(spark, sf_dir):
     o = Tables(spark, sf_dir).orders.select(
         "o_orderstatus", F.length("o_orderstatus").alias("status_len"), "o_orderpriority")
