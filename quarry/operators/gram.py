@@ -24,17 +24,32 @@ def _names(x: Sequence[str], intercept: bool) -> list[str]:
     return ([INTERCEPT] if intercept else []) + list(x)
 
 
+def column_means(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Means of the complete cases (one small aggregate row)."""
+    base = df
+    for c in cols:
+        base = base.where(F.col(c).isNotNull())
+    row = base.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    return {c: float(row[c] or 0.0) for c in cols}
+
+
 def gram(df: DataFrame, x: Sequence[str], y: str | None = None, by: Sequence[str] = (),
-         intercept: bool = True) -> DataFrame:
+         intercept: bool = True, center: dict[str, float] | None = None) -> DataFrame:
     """Cross-product sums per group: columns ``n``, ``xx_i_j`` (i <= j), ``xy_i``, ``yy``.
 
     Rows with a NULL in any used column are left out (complete cases).
+    ``center`` subtracts a constant per column first (e.g. its mean): the sums
+    stay small at any row count, and with an intercept the slopes, residuals
+    and RSS are unchanged (:func:`ols_table` maps the intercept back).
     """
     names = _names(x, intercept)
     used = list(x) + ([y] if y else [])
     base = df
     for c in used:
         base = base.where(F.col(c).isNotNull())
+    if center:
+        base = base.select(*by, *[(F.col(c) - F.lit(center[c])).alias(c) if c in center else F.col(c)
+                                  for c in used])
 
     def prod(a: str, b: str):
         # the intercept column multiplies nothing: keeps decimal inputs exact
@@ -131,8 +146,24 @@ def ols_solve(xtx: np.ndarray, xty: np.ndarray, yty: float, n: int):
     return beta, max(rss, 0.0), se, k, dof
 
 
-def ols_table(xtx, xty, yty, n, names: Sequence[str]) -> pd.DataFrame:
+def ols_table(xtx, xty, yty, n, names: Sequence[str], shift: tuple | None = None) -> pd.DataFrame:
+    """Coefficient table from a Gram matrix.
+
+    ``shift = (x_means, y_mean)`` when the Gram matrix was built on centered
+    columns (intercept first): the intercept and its standard error are
+    mapped back to the original scale through T = [1, -x_means; 0, I].
+    """
     beta, rss, se, k, dof = ols_solve(xtx, xty, yty, n)
+    if shift is not None and names and names[0] == INTERCEPT:
+        mx, my = np.asarray(shift[0], float), float(shift[1])
+        inv = np.linalg.pinv(xtx)
+        sigma2 = rss / dof if dof > 0 else float("nan")
+        tmat = np.eye(len(names))
+        tmat[0, 1:] = -mx
+        cov = tmat @ (inv * sigma2) @ tmat.T
+        beta = tmat @ beta
+        beta[0] += my
+        se = np.sqrt(np.maximum(np.diag(cov), 0.0))
     t = np.where(se > 0, beta / np.where(se > 0, se, 1), np.nan)
     ybar = xty[0] / n if names and names[0] == INTERCEPT else 0.0
     tss = yty - n * ybar * ybar

@@ -47,10 +47,12 @@ def _assemble(df: DataFrame, x: Sequence[str], out: str = "features") -> DataFra
 def ols(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
     """Linear model: estimate, std error, t, p per term, plus R² and adjusted R²."""
     spark = df.sparkSession
-    g = G.gram(df, x, y).first().asDict()
+    means = G.column_means(df, [*x, y])
+    g = G.gram(df, x, y, center=means).first().asDict()
     names = G._names(x, True)
     xtx, xty, yty, n = G.unpack(g, len(names))
-    return spark.createDataFrame(G.ols_table(xtx, xty, yty, n, names), _COEF_SCHEMA)
+    shift = ([means[c] for c in x], means[y])
+    return spark.createDataFrame(G.ols_table(xtx, xty, yty, n, names, shift), _COEF_SCHEMA)
 
 
 def ols_spark_ml(df: DataFrame, y: str, x: Sequence[str]):
@@ -66,15 +68,18 @@ def ols_by(df: DataFrame, y: str, x: Sequence[str], by: Sequence[str]) -> DataFr
     p = len(names)
     keys = list(by)
 
+    means = G.column_means(df, [*x, y])
+    shift = ([means[c] for c in x], means[y])
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
         xtx, xty, yty, n = G.unpack(row, p)
-        t = G.ols_table(xtx, xty, yty, n, names)
+        t = G.ols_table(xtx, xty, yty, n, names, shift)
         for k in keys:
             t.insert(0, k, row[k])
         return t
 
-    gdf = G.gram(df, x, y, by=keys)
+    gdf = G.gram(df, x, y, by=keys, center=means)
     key_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in gdf.schema.fields if f.name in keys)
     return gdf.groupBy(*keys).applyInPandas(solve, f"{key_schema}, {_COEF_SCHEMA}")
 
@@ -82,7 +87,7 @@ def ols_by(df: DataFrame, y: str, x: Sequence[str], by: Sequence[str]) -> DataFr
 def vif(df: DataFrame, x: Sequence[str]) -> DataFrame:
     """Variance inflation factor per predictor, largest first (one Gram pass)."""
     spark = df.sparkSession
-    g = G.gram(df, x, None).first().asDict()
+    g = G.gram(df, x, None, center=G.column_means(df, x)).first().asDict()
     xtx, _, _, n = G.unpack(g, len(x) + 1, with_y=False)
     v = G.vif_from_gram(xtx, n)
     pdf = pd.DataFrame({"term": list(x), "vif": v}).sort_values("vif", ascending=False)
@@ -105,7 +110,7 @@ def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian",
     spark = df.sparkSession
     x = list(x)
     if family == "gaussian":
-        g = G.gram(df, x, y).first().asDict()
+        g = G.gram(df, x, y, center=G.column_means(df, [*x, y])).first().asDict()
         names = G._names(x, True)
         xtx, xty, yty, n = G.unpack(g, len(names))
 
@@ -176,7 +181,8 @@ def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "g
     """
     spark = df.sparkSession
     x = list(x)
-    g = G.gram(df, x, y if family == "gaussian" else None).first().asDict()
+    cols = [*x, y] if family == "gaussian" else list(x)
+    g = G.gram(df, x, y if family == "gaussian" else None, center=G.column_means(df, cols)).first().asDict()
     names = G._names(x, True)
     xtx, xty, yty, n = G.unpack(g, len(names), with_y=family == "gaussian")
     data = None if family == "gaussian" else _complete(df, [y, *x]).persist()

@@ -30,6 +30,24 @@ def test_ols_recovers_coefficients_and_matches_spark_ml(linear):
     assert list(ml.coefficients) == pytest.approx([tab["x1"].estimate, tab["x2"].estimate], rel=1e-6)
     se = ml.summary.coefficientStandardErrors
     assert se[0] == pytest.approx(tab["x1"].std_error, rel=1e-4)
+    # centered Gram: intercept and its standard error mapped back to the original scale
+    assert ml.intercept == pytest.approx(tab["(Intercept)"].estimate, rel=1e-6)
+    assert se[-1] == pytest.approx(tab["(Intercept)"].std_error, rel=1e-4)
+
+
+def test_ols_large_offsets_stay_exact(spark):
+    """Large offsets: the centered Gram keeps full precision (an uncentered normal
+    equation, e.g. Spark ML's with standardization off, drifts in the 6th digit here)."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    x = 1e6 + rng.normal(size=n) * 10
+    y = 5e5 + 3 * (x - 1e6) + rng.normal(size=n)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, x)], "y double, x double")
+    tab = {r.term: r for r in M.ols(df, "y", ["x"]).collect()}
+    xc, yc = x - x.mean(), y - y.mean()
+    slope = (xc @ yc) / (xc @ xc)
+    assert tab["x"].estimate == pytest.approx(slope, rel=1e-12)
+    assert tab["(Intercept)"].estimate == pytest.approx(y.mean() - slope * x.mean(), rel=1e-9)
 
 
 def test_vif_flags_collinear_pair(linear):
