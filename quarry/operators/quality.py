@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.joins import union_all
-
 
 def null_profile(df: DataFrame, cols: Sequence[str] | None = None, digits: int = 1) -> DataFrame:
     """(column, nulls, rows, pct) for every column, one scan."""
