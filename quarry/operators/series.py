@@ -95,10 +95,19 @@ def seasonal_fit(df: DataFrame, key: Sequence[str], t: str, x: str, train: Colum
     key = list(key)
     flagged = df.withColumn("_train", F.when(train, F.lit(1)) if train is not None else F.lit(1))
     d = seasonal_design(flagged, key, t, scale_from="_train")
-    gdf = G.gram(d.where(F.col("_train") == 1), SEASONAL_TERMS, x, by=key)
+    # center each series on its training means (one bounded series per window), so the
+    # Gram sums stay well conditioned whatever the level of the series
+    cols = SEASONAL_TERMS + [x]
+    g = Window.partitionBy(*key)
+    d = d.withColumns({f"_m_{c}": F.avg(F.when(F.col("_train") == 1, F.col(c))).over(g) for c in cols})
+    d = d.withColumns({f"_c_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
+    centered = [f"_c_{c}" for c in SEASONAL_TERMS]
+    gdf = G.gram(d.where(F.col("_train") == 1), centered, f"_c_{x}", by=key)
     coef = gram_solve_by(gdf, key, len(SEASONAL_TERMS) + 1)
-    out = d.join(coef.select(*key, "beta"), key).withColumn(name, _dot(SEASONAL_TERMS, F.col("beta")))
-    return out.drop("beta", "_train", *SEASONAL_TERMS), coef
+    out = d.join(coef.select(*key, "beta"), key) \
+        .withColumn(name, F.col(f"_m_{x}") + _dot(centered, F.col("beta")))
+    return out.drop("beta", "_train", *SEASONAL_TERMS, *[f"_m_{c}" for c in cols],
+                    *[f"_c_{c}" for c in cols]), coef
 
 
 def residual(df: DataFrame, x: str, fit: str, name: str = "resid") -> DataFrame:
@@ -203,6 +212,8 @@ def adf(df: DataFrame, key: Sequence[str], t: str, x: str, max_k: int = 12) -> D
                        for j in range(1, max_k + 1)})
     d = d.where(F.col("_i") > F.col("_k") + 1).withColumn("_tt", F.col("_i").cast("double"))
     terms = ["_tt", "_y1"] + [f"_dl{j}" for j in range(1, max_k + 1)]
+    # per-series centering (the t-ratio of y_{t-1} is unchanged; the sums stay small)
+    d = d.withColumns({c: F.col(c) - F.avg(c).over(g) for c in terms + ["_dy"]})
     gdf = G.gram(d, terms, "_dy", by=key)
     fits = gram_solve_by(gdf, key, len(terms) + 1)
     ks = d.groupBy(*key).agg(F.first("_k").alias("lags"))
@@ -246,8 +257,18 @@ def ar_fit(df: DataFrame, key: Sequence[str], t: str, x: str, max_p: int = 3, ma
     sel = sel.withColumns({f"_z{j}": F.when(F.col("p") >= j, F.col(f"_l{j}")).otherwise(0.0)
                            for j in range(1, max_p + 1)})
     terms = [f"_z{j}" for j in range(1, max_p + 1)]
-    gdf = G.gram(sel, terms, "_y", by=[*key, "d", "p"])
-    fits = gram_solve_by(gdf, [*key, "d", "p"], max_p + 1)
+    gkeys = [*key, "d", "p"]
+    # center within each (series, d, p) fit; the intercept is mapped back below
+    gw = Window.partitionBy(*gkeys)
+    sel = sel.withColumns({f"_m{c}": F.avg(c).over(gw) for c in terms + ["_y"]})
+    sel = sel.withColumns({c: F.col(c) - F.col(f"_m{c}") for c in terms + ["_y"]})
+    means = sel.groupBy(*gkeys).agg(*[F.first(f"_m{c}").alias(f"_m{c}") for c in terms + ["_y"]])
+    gdf = G.gram(sel, terms, "_y", by=gkeys)
+    fits = gram_solve_by(gdf, gkeys, max_p + 1).join(means, gkeys)
+    b0 = F.get("beta", 0) + F.col("_m_y")
+    for j in range(1, max_p + 1):
+        b0 = b0 - F.get("beta", j) * F.col(f"_m_z{j}")
+    fits = fits.withColumn("beta", F.concat(F.array(b0), F.slice("beta", 2, max_p)))
     k = F.col("p") + 2  # intercept, p coefficients, variance
     n = F.col("n")
     aicc = n * F.log(F.col("rss") / n) + 2 * k + 2 * k * (k + 1) / F.greatest(n - k - 1, F.lit(1))

@@ -145,3 +145,17 @@ def test_binomial_selection_paths(spark):
     assert {"x1", "x2"} <= final and path[-1].aic <= path[0].aic
     be = M.backward_eliminate(df, "y", ["x1", "x2", "z"], family="binomial").orderBy("step").collect()
     assert set(be[-1].terms.split(",")) == {"x1", "x2"}
+
+
+def test_ar_intercept_mapped_back(spark):
+    rng = np.random.default_rng(12)
+    x = [50.0]
+    for _ in range(499):
+        x.append(50 + 0.6 * (x[-1] - 50) + rng.normal())
+    df = _series(spark, x)
+    fit = TS.ar_fit(df, ["k"], "t", "x", max_p=2, max_d=1).first()
+    b = fit.beta
+    assert fit.d == 0 and b[0] / (1 - sum(b[1:fit.p + 1])) == pytest.approx(50, abs=1.0)
+    fc = TS.ar_forecast(df, TS.ar_fit(df, ["k"], "t", "x", 2, 1), ["k"], "t", "x", 1).first()
+    expect = b[0] + sum(b[j] * x[-j] for j in range(1, fit.p + 1))
+    assert fc.forecast == pytest.approx(expect, rel=1e-9)
