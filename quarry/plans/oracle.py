@@ -2,7 +2,8 @@
 
 Used by the tests and by ``tools/oracle_check.py``.  Comparison is by
 column names (sorted), row count and an order-insensitive multiset of
-normalised rows (floats rounded to 6 places).
+normalised rows.  Floats are compared exactly by default (every pair
+matches bit for bit); ``digits`` rounds them first when wanted.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def duck_connect(sf_dir: str):
     return con
 
 
-def _norm(v):
+def _norm(v, digits: int | None = None):
     if v is None:
         return None
     if isinstance(v, float):
@@ -31,10 +32,12 @@ def _norm(v):
             return None
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        r = round(v, 6)
+        if digits is None:  # exact: the bit pattern must agree
+            return repr(v)
+        r = round(v, digits)
         return int(r) if r == int(r) and abs(r) < 1e15 else r
     if isinstance(v, Decimal):
-        return _norm(float(v))
+        return _norm(float(v), digits)
     if isinstance(v, bool):
         return int(v)
     if isinstance(v, int):
@@ -42,21 +45,22 @@ def _norm(v):
     if isinstance(v, (datetime, date)):
         return v.isoformat(sep=" ") if isinstance(v, datetime) else v.isoformat()
     if hasattr(v, "item"):  # numpy scalar
-        return _norm(v.item())
+        return _norm(v.item(), digits)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):
-        return tuple(_norm(x) for x in v)
+        return tuple(_norm(x, digits) for x in v)
     return str(v)
 
 
-def _rows(cols, records):
+def _rows(cols, records, digits=None):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
-    out = [tuple(_norm(r[i]) for i in order) for r in records]
+    out = [tuple(_norm(r[i], digits) for i in order) for r in records]
     return sorted(out, key=repr)
 
 
-def compare(spark_df, con, sql: str) -> dict:
+def compare(spark_df, con, sql: str, digits: int | None = None) -> dict:
+    """``digits=None`` compares floats exactly; an int rounds them first."""
     s_cols = list(spark_df.columns)
     s_rows = [tuple(r) for r in spark_df.collect()]
     rel = con.execute(sql)
@@ -69,7 +73,7 @@ def compare(spark_df, con, sql: str) -> dict:
         res["spark_cols"], res["oracle_cols"] = sorted(s_cols), sorted(d_cols)
         res["values_ok"] = False
         return res
-    a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
+    a, b = _rows(s_cols, s_rows, digits), _rows(d_cols, d_rows, digits)
     res["values_ok"] = a == b
     if not res["values_ok"]:
         sa, sb = set(a), set(b)
