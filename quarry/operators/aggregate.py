@@ -127,7 +127,8 @@ def quantiles_sorted(df: DataFrame, col: str, probs: Sequence[float]) -> DataFra
     n = vals.agg(F.count(F.lit(1))).scalar()
     spark = df.sparkSession
     p_df = spark.createDataFrame([(float(p),) for p in probs], "pct double")
-    h = (n - 1) * F.col("pct")
+    p_df = p_df.withColumn("_h", (n - 1) * F.col("pct"))  # one scalar subquery, used via a column
+    h = F.col("_h")
     p_df = p_df.select("pct", (F.floor(h) + 1).alias("_lo"), (F.ceil(h) + 1).alias("_hi"),
                        (h - F.floor(h)).alias("_frac"))
     lo = ranked.select(F.col("_rn").alias("_lo"), F.col("_x").alias("_xlo"))

@@ -40,9 +40,9 @@ def multiclass_summary(df: DataFrame, y: str, pred: str) -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col(y) == F.col(pred), 1)).alias("_hit"))
     rows = df.groupBy(F.col(y).alias("_k")).agg(F.count(F.lit(1)).alias("_r"))
     cols = df.groupBy(F.col(pred).alias("_k")).agg(F.count(F.lit(1)).alias("_c"))
-    n = total.select("_n").scalar()
-    pe = rows.join(cols, "_k").agg(F.sum(F.col("_r") * F.col("_c")).alias("_s")).select(
-        (F.col("_s") / (n * n)).alias("_pe"))
+    pe = rows.join(cols, "_k").agg(F.sum(F.col("_r") * F.col("_c")).alias("_s")) \
+        .withColumn("_n", total.select("_n").scalar()) \
+        .select((F.col("_s") / (F.col("_n") * F.col("_n"))).alias("_pe"))
     return total.select((F.col("_hit") / F.col("_n")).alias("accuracy"), pe.scalar().alias("_pe")) \
         .select("accuracy", ((F.col("accuracy") - F.col("_pe")) / (1 - F.col("_pe"))).alias("kappa"))
 
@@ -74,8 +74,8 @@ def cutoff_sweep(df: DataFrame, y: str, p: str, lo: float = 0.01, hi: float = 0.
     full = spark.range(-1, n).select(F.col("id").cast("int").alias("i")).join(b, "i", "left").fillna(0)
     w = Window.orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = full.select("i", F.sum("_pos").over(w).alias("tp"), F.sum("_neg").over(w).alias("fp"))
-    j = cuts.join(full, "i")
-    P, N = tot.select("P").scalar(), tot.select("N").scalar()
+    j = cuts.join(full, "i").withColumns({"_P": tot.select("P").scalar(), "_N": tot.select("N").scalar()})
+    P, N = F.col("_P"), F.col("_N")
     tp, fp = F.col("tp"), F.col("fp")
     out = j.select("cutoff", (tp / P).alias("sensitivity"), ((N - fp) / N).alias("specificity"),
                    ((tp + N - fp) / (P + N)).alias("accuracy"))

@@ -118,8 +118,10 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
 def deciles(df: DataFrame, score: str, id_col: str, n: int = 10, name: str = "bucket") -> DataFrame:
     """``ntile(n)`` by descending score (id breaks ties), computed without a one-task window."""
     ranked = global_row_number(df, [F.desc(score), F.asc(id_col)], "_rn")
-    total = df.agg(F.count(F.lit(1)).alias("_t")).scalar()
-    return ranked.withColumn(name, ntile_from_rank(F.col("_rn"), total, n)).drop("_rn")
+    # the total is attached once as a column: a scalar referenced several times
+    # inside one expression would be planned as several subqueries
+    ranked = ranked.withColumn("_total", df.agg(F.count(F.lit(1)).alias("_t")).scalar())
+    return ranked.withColumn(name, ntile_from_rank(F.col("_rn"), F.col("_total"), n)).drop("_rn", "_total")
 
 
 def cumulative(df: DataFrame, order: Sequence[ColumnOrName], col: str, name: str | None = None,
