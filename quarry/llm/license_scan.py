@@ -101,7 +101,12 @@ class Scanner:
                     spans.add((label, word_at(m.start() - (norm[m.start()] != " ")),
                                word_at(m.end() - 1 - (norm[m.end() - 1] == " ")), edits,
                                round(1 - edits / (2 * k + 1), 3), m[0].strip()))
-        return len(words), base, sorted(spans, key=lambda s: (s[1], s[2], s[0], s[3]))
+        # of notices that match the same words, the one with the fewest edits (then the longer one)
+        kept: list[tuple] = []
+        for s in sorted(spans, key=lambda s: (s[3], s[1] - s[2], s[1], s[0])):
+            if all(s[2] < k[1] or k[2] < s[1] for k in kept):
+                kept.append(s)
+        return len(words), base, sorted(kept, key=lambda s: (s[1], s[2], s[0]))
 
 
 _PLACE = pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())])

@@ -67,9 +67,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 good AS (SELECT vec_id, e FROM v WHERE e IS NOT NULL AND len(e) > 0
-         AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+         AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
           ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
 reach(id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id),
@@ -88,7 +88,7 @@ gone AS (SELECT DISTINCT doc_id, text, i + o AS i FROM r, (SELECT UNNEST([0, 1,
 g AS (SELECT doc_id, text, COUNT(*) AS n, list(i) AS xs FROM gone GROUP BY 1, 2)
 SELECT documents.doc_id,
        CASE WHEN g.n IS NULL THEN documents.text ELSE array_to_string(list_filter(
-         string_split(documents.text, chr(10)), (x, p) -> NOT list_contains(g.xs, p - 1)), chr(10)) END AS text,
+         string_split(documents.text, chr(10)), lambda x, p: NOT list_contains(g.xs, p - 1)), chr(10)) END AS text,
        CASE WHEN documents.text IS NULL THEN 0 ELSE len(string_split(documents.text, chr(10))) END AS n_lines,
        COALESCE(g.n, 0) AS n_removed
 FROM documents LEFT JOIN g ON g.doc_id = documents.doc_id AND g.text = documents.text"""

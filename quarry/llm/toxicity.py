@@ -1,22 +1,23 @@
 """Toxicity: two class-conditional Kneser-Ney models over one shared backoff.
 
-Words and word pairs of labelled documents are counted per class.  Absolute discounting takes mass
-from the seen events; the mass goes to a lower order: pairs back off to the class's words, words to
-a continuation distribution (in how many different left contexts a word occurs) that both classes
-share.  A word that neither class has seen, or that is rare, thus says almost nothing about the class.
-
-The document statistic is the difference of the two log-likelihoods per word.  A two-variable
-logistic curve, fitted on labelled documents that were kept out of the counts, turns it into a
-probability at the true class shares.
-
-Fitting uses a bounded sample: at most ``max_per_class`` labelled documents of each class (smallest
-hash of the id), so the list of sampled ids may be broadcast; the tables hold at most ``max_events``
-words and pairs.  Scoring covers every document.
+In each class a word is counted the Kneser-Ney way, by the number of different words it follows, so
+a passage copied into many documents counts once while an insult used everywhere counts often.
+Absolute discounts (one each for counts 1, 2 and 3 or more, from the counts of counts) take mass from
+the seen words; the mass goes to a backoff distribution of the same counts over both classes together.
+A word that is rare, or that neither class has seen, thus says almost nothing about the class.
+
+Two length-normalised differences of the toxic and ordinary log-likelihoods describe a text: the mean
+over all its words, and the mean over its ``PEAK`` most telling words (a long text with a few insults
+is toxic all the same).  A logistic curve, fitted on labelled documents that were kept out of the
+counts, turns them into a probability at the true class shares.
+
+Fitting uses a bounded sample: at most ``max_toxic`` and ``max_ordinary`` labelled documents (smallest
+hash of the id), so the list of sampled ids may be broadcast; the table holds at most ``max_words``
+words.  Scoring covers every document.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,52 +26,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, id_fold, materialize, mix64, text_bytes
+from quarry.llm.common import WordHashes, id_fold, materialize, text_bytes
 
-_NO_WORD = np.uint64(0)  # left context of the first word
-
-
-def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return mix64(left * np.uint64(0x9E3779B97F4A7C15) + right)
+PEAK = 3
 
 
 @dataclass(frozen=True)
 class Model:
-    """Sorted event hashes with log-likelihood parts; scoring is a few array look-ups."""
-    words: np.ndarray        # sorted word hashes
-    word_p: np.ndarray       # (2, n) P_c(word)
-    unknown_p: np.ndarray    # (2,) P_c of any other word
-    context: np.ndarray      # (2, n) count of the word as a left context
-    backoff: np.ndarray      # (2, n) share of a context's mass that backs off
-    pairs: np.ndarray        # sorted pair hashes
-    pair_n: np.ndarray       # (2, m) discounted pair counts
+    """Sorted word hashes with their log-likelihood ratio; scoring is an array look-up."""
+    words: np.ndarray                          # sorted word hashes
+    ratio: np.ndarray                          # log P_toxic / P_ordinary of each
+    unknown: float                             # the same for any other word
     curve: tuple[float, float, float] | float  # logistic weights, or a constant score
 
-    def statistic(self, h: np.ndarray) -> tuple[float, int]:
-        """Mean log-likelihood ratio of a text's word hashes, and its length."""
-        n = len(h)
-        if n == 0 or len(self.words) == 0:
-            return 0.0, n
+    def statistics(self, h: np.ndarray) -> tuple[float, float]:
+        """Mean log-likelihood ratio of a text's word hashes, and of its most telling words."""
+        if len(h) == 0 or len(self.words) == 0:
+            return 0.0, 0.0
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        known = self.words[at] == h
-        p = np.where(known, self.word_p[:, at], self.unknown_p[:, None])
-        if n > 1 and len(self.pairs):
-            ph = pair_hash(h[:-1], h[1:])
-            pat = np.minimum(np.searchsorted(self.pairs, ph), len(self.pairs) - 1)
-            seen = np.where(self.pairs[pat] == ph, self.pair_n[:, pat], 0.0)
-            left = np.where(known[:-1], at[:-1], 0)
-            ctx = np.where(known[:-1], self.context[:, left], 0.0)
-            lam = np.where(ctx > 0, self.backoff[:, left], 1.0)
-            p[:, 1:] = seen / np.maximum(ctx, 1.0) + lam * p[:, 1:]
-        llr = np.log(p[1]) - np.log(p[0])
-        return float(llr.mean()), n
+        r = np.where(self.words[at] == h, self.ratio[at], self.unknown)
+        top = np.partition(r, len(r) - PEAK)[-PEAK:] if len(r) > PEAK else r
+        return float(r.mean()), float(top.mean())
 
     def score(self, h: np.ndarray) -> float:
         if isinstance(self.curve, float):
             return self.curve
-        mean, n = self.statistic(h)
+        mean, peak = self.statistics(h)
         a, b, c = self.curve
-        return float(1 / (1 + np.exp(-np.clip(a + b * mean + c * mean * np.sqrt(n), -40, 40))))
+        return float(1 / (1 + np.exp(-np.clip(a + b * mean + c * peak, -40, 40))))
 
 
 def _labelled(labels: DataFrame, id_col: str, label_col: str, fold: int, folds: int) -> DataFrame:
@@ -80,129 +63,119 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str, fold: int, folds:
             .groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("_y")))
 
 
-def _count_events(train: DataFrame) -> DataFrame:
-    """(kind, a, b, n0, n1): words (kind 1) and pairs (kind 2) counted per class."""
+def _count_contexts(train: DataFrame) -> DataFrame:
+    """(b, c0, c1, c): per word hash, the different left neighbours in class 0, in class 1, in both together."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        counts = (Counter(), Counter())
+        seen: dict[tuple[int, int], int] = {}
 
         def flush():
-            keys = list(set(counts[0]) | set(counts[1]))
             out = pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                pa.array([counts[0][k] for k in keys], pa.int64()),
-                pa.array([counts[1][k] for k in keys], pa.int64())], ["a", "b", "n0", "n1"])
-            counts[0].clear(), counts[1].clear()
+                pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.int64()),
+                pa.array([v & 1 for v in seen.values()], pa.int32()),
+                pa.array([v >> 1 for v in seen.values()], pa.int32())], ["a", "b", "s0", "s1"])
+            seen.clear()
             return out
 
         for b in batches:
             for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = hashes.array(text.lower().split()).view(np.int64).tolist()
-                counts[y].update(zip([0, *h[:-1]], h))
-                if len(counts[0]) + len(counts[1]) > 400_000:
+                for pair in set(zip([0, *h[:-1]], h)):
+                    seen[pair] = seen.get(pair, 0) | (1 << y)
+                if len(seen) > 400_000:
                     yield flush()
         yield flush()
 
-    pairs = train.select("_y", "_text").mapInArrow(work, "a bigint, b bigint, n0 bigint, n1 bigint")
-    return pairs.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    pairs = train.select("_y", "_text").mapInArrow(work, "a bigint, b bigint, s0 int, s1 int")
+    pairs = pairs.groupBy("a", "b").agg(F.max("s0").alias("s0"), F.max("s1").alias("s1"))
+    return pairs.groupBy("b").agg(F.sum("s0").alias("c0"), F.sum("s1").alias("c1"), F.count(F.lit(1)).alias("c"))
+
+
+def _discounts(tally: dict[int, int]) -> np.ndarray:
+    """Discounts for counts 0, 1, 2 and 3 or more, from how many words have counts 1 to 4."""
+    n = [tally.get(i, 0) for i in range(5)]
+    if not (n[1] and n[2]):
+        return np.array([0.0, 0.75, 0.75, 0.75])
+    y = n[1] / (n[1] + 2 * n[2])
+    raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / max(n[3], 1)]
+    return np.array([0.0, *[min(max(d, 0.1), i + 0.95) for i, d in enumerate(raw)]])
 
 
 def _statistics(df: DataFrame, model: Model) -> list:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            res = [model.statistic(hashes.array(t.lower().split())) for t in b.column(1).to_pylist()]
+            res = [model.statistics(hashes.array(t.lower().split())) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in res], pa.float64()),
-                                              pa.array([r[1] for r in res], pa.int64())], ["y", "mean", "n"])
-    return df.select("_y", "_text").mapInArrow(work, "y int, mean double, n bigint").collect()
+                                              pa.array([r[1] for r in res], pa.float64())], ["y", "mean", "peak"])
+    return df.select("_y", "_text").mapInArrow(work, "y int, mean double, peak double").collect()
 
 
 def _fit_curve(rows: list, share: float) -> tuple[float, float, float]:
     """Ridge logistic regression by Newton steps; rows are weighted to the true class shares."""
     y = np.array([r["y"] for r in rows], float)
-    mean = np.array([r["mean"] for r in rows], float)
-    n = np.array([r["n"] for r in rows], float)
-    x = np.stack([np.ones_like(mean), mean, mean * np.sqrt(n)], axis=1)
+    x = np.array([[1.0, r["mean"], r["peak"]] for r in rows])
     scale = np.maximum(x.std(axis=0), 1e-9)
     scale[0] = 1.0
     x = x / scale
     w = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    beta, ridge = np.zeros(3), np.array([1e-6, 1e-2, 1e-2])
-    for _ in range(50):
+    beta, ridge = np.zeros(3), np.array([1e-6, 0.05, 0.05])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -40, 40)))
         g = x.T @ (w * (y - p)) - ridge * beta
         h = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-9 * np.eye(3)
         step = np.linalg.solve(h, g)
-        beta = beta + step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
+        beta = beta + step * min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in beta / scale)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", fold: int = 1, folds: int = 3, max_per_class: int = 4000,
-        discount: float = 0.75, min_count: int = 3, max_events: int = 200_000, order: int = 2) -> Model:
+        label_col: str = "toxic", fold: int = 1, folds: int = 3, max_toxic: int = 5000,
+        max_ordinary: int = 15_000, min_count: int = 3, max_words: int = 200_000) -> Model:
     """Fit the two models and the curve on labelled rows outside fold ``fold``."""
     rows = materialize(_labelled(labels, id_col, label_col, fold, folds), "tox-labels")
     shares = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
     share = shares.get(1, 0) / total if total else 0.0
-    empty = np.zeros(0)
-    none = Model(empty.astype(np.uint64), empty, empty, empty, empty, empty.astype(np.uint64), empty, share)
+    none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, share)
     if not (shares.get(0) and shares.get(1)):
         return none
-    order_key = [F.xxhash64(F.lit(17), "_id"), F.col("_id")]
-    sample = None
-    for y in (0, 1):
-        part = rows.where(F.col("_y") == y).orderBy(*order_key).limit(max_per_class)
-        sample = part if sample is None else sample.union(part)
-    # at most 2 * max_per_class ids: bounded, so it is broadcast
+    by_hash = [F.xxhash64(F.lit(17), "_id"), F.col("_id")]
+    sample = (rows.where("_y = 0").orderBy(*by_hash).limit(max_ordinary)
+              .union(rows.where("_y = 1").orderBy(*by_hash).limit(max_toxic)))
+    # at most max_toxic + max_ordinary ids: bounded, so the list is broadcast
     train = materialize(docs.select(F.col(id_col).alias("_id"), text_bytes(F.col(text_col)).alias("_text"))
                         .join(F.broadcast(sample), "_id").select("_id", "_y", "_text"), "tox-sample")
     apart = F.pmod(F.xxhash64(F.lit(29), "_id"), F.lit(4)) == 0  # for the curve only
-    events = materialize(_count_events(train.where(~apart)), "tox-events")
-
-    tot = events.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("types"),
-                     F.countDistinct("b").alias("words")).first()
+    words = materialize(_count_contexts(train.where(~apart)), "tox-words")
+    tot = words.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     if not (tot["n0"] and tot["n1"]):
         return none
-    n_c = np.array([tot["n0"], tot["n1"]], float)
-    words = (events.groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("cont"))
-             .where(F.col("n0") + F.col("n1") >= min_count)
-             .orderBy(F.desc(F.col("n0") + F.col("n1")), "b").limit(max_events).toPandas())
-    w_hash = words["b"].to_numpy(np.int64).view(np.uint64)
-    by = np.argsort(w_hash)
-    w_hash, words = w_hash[by], words.iloc[by]
-    counts = words[["n0", "n1"]].to_numpy(float).T
-    kept = np.maximum(counts - discount, 0.0)
-    shared = (words["cont"].to_numpy(float) + 1) / (tot["types"] + tot["words"] + 1)
-    unseen = 1.0 / (tot["types"] + tot["words"] + 1)
-    mass = (n_c - kept.sum(axis=1))[:, None]
-    word_p = (kept + mass * shared[None, :]) / n_c[:, None]
-    unknown_p = (mass[:, 0] * unseen) / n_c
-
-    m = len(w_hash)
-    pair_h, pair_n, backoff = np.zeros(0, np.uint64), np.zeros((2, 0)), np.ones((2, m))
-    context = counts.copy()
-    if order >= 2 and m:
-        pairs = (events.where((F.col("n0") + F.col("n1") >= min_count) & (F.col("a") != 0))
-                 .orderBy(F.desc(F.col("n0") + F.col("n1")), "a", "b").limit(max_events).toPandas())
-        left = pairs["a"].to_numpy(np.int64).view(np.uint64)
-        right = pairs["b"].to_numpy(np.int64).view(np.uint64)
-        pk = np.maximum(pairs[["n0", "n1"]].to_numpy(float).T - discount, 0.0)
-        at = np.minimum(np.searchsorted(w_hash, left), m - 1)
-        ok = w_hash[at] == left
-        for c in (0, 1):
-            used = np.bincount(at[ok], weights=pk[c][ok], minlength=m)
-            backoff[c] = np.where(context[c] > 0, 1 - used / np.maximum(context[c], 1), 1.0)
-        ph = pair_hash(left[ok], right[ok])
-        o = np.argsort(ph)
-        pair_h, pair_n = ph[o], pk[:, ok][:, o]
-    model = Model(w_hash, word_p, unknown_p, context, np.maximum(backoff, 1e-6), pair_h, pair_n, share)
+    tallies = words.select(F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.least(f"c{y}", F.lit(5)).alias("k"))
+                                               for y in (0, 1)])).alias("x")).groupBy("x.y", "x.k").agg(F.count(F.lit(1)).alias("n"))
+    tally: list[dict] = [{}, {}]
+    for r in tallies.collect():
+        tally[r["y"]][r["k"]] = r["n"]
+    kept = (words.where(F.col("c0") + F.col("c1") >= min_count)
+            .orderBy(F.desc(F.col("c0") + F.col("c1")), "b").limit(max_words).toPandas())
+    h = kept["b"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(h)
+    shared = (kept["c"].to_numpy(float)[by] + 1) / (tot["n"] + tot["v"] + 1)
+    unseen = 1.0 / (tot["n"] + tot["v"] + 1)
+    log_p, log_unseen = [], []
+    for y in (0, 1):
+        counts = kept[f"c{y}"].to_numpy(np.int64)[by]
+        rest = np.maximum(counts - _discounts(tally[y])[np.minimum(counts, 3)], 0.0)
+        mass = tot[f"n{y}"] - rest.sum()
+        log_p.append(np.log((rest + mass * shared) / tot[f"n{y}"]))
+        log_unseen.append(np.log(mass * unseen / tot[f"n{y}"]))
+    model = Model(h[by], log_p[1] - log_p[0], float(log_unseen[1] - log_unseen[0]), share)
     rest = _statistics(train.where(apart), model)
     if len({r["y"] for r in rest}) < 2:  # too few labels to keep any apart
         rest = _statistics(train, model)
-    return Model(**{**model.__dict__, "curve": _fit_curve(rest, share)})
+    return Model(model.words, model.ratio, model.unknown, _fit_curve(rest, share))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
