@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -70,15 +72,66 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Distinct sorted hashes of all runs of ``n`` words; fewer words: the whole run as one; none: empty."""
-    if len(h) == 0:
-        return h
-    width = min(n, len(h))
+def shingle_sets(texts: list[bytes], n: int, hashes: WordHashes, chunk: int = 200_000) -> Iterator[np.ndarray]:
+    """Per text the distinct sorted hashes of all runs of ``n`` words (A-Z lower-cased).
+
+    Fewer words: the whole run as one; no words: empty.  Runs are hashed for many texts at once.
+    """
+    held: list[list[bytes]] = []
+    size = 0
+    for text in texts:
+        held.append(text.lower().split())
+        size += len(held[-1])
+        if size >= chunk:
+            yield from _shingles(held, n, hashes)
+            held, size = [], 0
+    yield from _shingles(held, n, hashes)
+
+
+def _shingles(held: list[list[bytes]], n: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+    lens = [len(w) for w in held]
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(held)), np.uint64, sum(lens))
+    runs = _run_hash(h, n)
+    at = 0
+    for size in lens:
+        if size >= n:
+            s = np.sort(runs[at:at + size - n + 1])
+            yield s[np.concatenate([[True], s[1:] != s[:-1]])]
+        else:
+            yield _run_hash(h[at:at + size], size) if size else h[:0]
+        at += size
+
+
+def _run_hash(h: np.ndarray, width: int) -> np.ndarray:
+    if len(h) < width:
+        return h[:0]
     out = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k:len(h) - width + 1 + k])
-    return np.unique(out)
+    return out
+
+
+def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> float | None:
+    """The ``k``-th largest non-NULL value, exactly, by narrowing histograms (no sort, no gathering)."""
+    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    if not n or k <= 0:
+        return None
+    k = min(k, n)
+    above = 0  # values over hi
+    while lo < hi:
+        step = (hi - lo) / bins
+        cell: Column = F.least(F.floor((F.col(key) - lo) / step).cast("int"), F.lit(bins - 1)) if step > 0 else F.lit(0)
+        hist = (df.where(F.col(key).between(lo, hi)).groupBy(cell.alias("c"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+                .orderBy(F.desc("c")).collect())
+        for r in hist:
+            if above + r["n"] >= k:
+                lo, hi = r["lo"], r["hi"]
+                break
+            above += r["n"]
+        if len(hist) == 1 and step <= 0:
+            break
+    return hi
 
 
 # --------------------------------------------------------------------------- connected components

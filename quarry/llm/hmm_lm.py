@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_fold, materialize, text_bytes
+from quarry.llm.common import id_fold, kth_largest, materialize, text_bytes
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def count_words(train: DataFrame) -> DataFrame:
         for b in batches:
             for text in b.column(0).to_pylist():
                 counts.update(text.lower().split())
-                if len(counts) > 500_000:
+                if len(counts) > 250_000:
                     yield flush()
         yield flush()
 
@@ -245,7 +245,7 @@ def log_likelihoods(seqs: list[np.ndarray], p: Params, stretch: int) -> np.ndarr
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5,
                 states: int = 5, top_words: int = 8192, hot_words: int = 65_536, tail_classes: int = 1024,
                 warm_share: int = 32, warm_rounds: int = 8, rounds: int = 2, stretch: int = 256,
-                batch_words: int = 200_000) -> DataFrame:
+                batch_words: int = 100_000) -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Learns from rows whose id is not in fold ``fold`` (a NULL id is in none).  NULL and empty texts are
@@ -260,7 +260,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = train.count()
     n_all = (tot["n"] or 0) + ends
     v_all = tot["v"] + (ends > 0)
-    hot = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(hot_words).collect()]
+    # words over the hot_words-th count: fewer than hot_words, so they may travel
+    cut = kth_largest(counts, "c", hot_words + 1) if tot["v"] > hot_words else 0
+    hot = sorted(((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") > F.lit(cut)).collect()), key=lambda x: (-x[1], x[0]))
     vocab = Vocabulary(hot, top_words, tail_classes)
     tail_n, tail_v = _tail_totals(counts, vocab)
     denominator = tail_n + 0.5 * (tail_v + 1)

@@ -4,19 +4,20 @@ A document's set is its distinct word shingles, as 64-bit hashes; two documents
 ``100 * |A & B| >= percent * |A | B|``.  The result is each document's link component.
 
 1. Documents with the same set are one class (copies cost one row each).
-2. Similar classes are partitioned into groups.  If two sets link, at most H of their elements
-   differ, so of more than H hashed parts of the element space at least one holds the same elements
-   in both: equal parts bring every linking pair together, exactly (sizes are cut into bands, and a
-   set near the top of its band also joins the next band).  A class is compared with the leader it
-   shares most parts with; classes that link with one leader, and their leaders' own links, form a
-   group - the current components.
-3. The token-group matrix holds the union of each group's elements, one row per (element, group).
-   For a class and another group that share a part, |A & union| bounds every overlap inside the
-   group; groups under percent * |A| stay closed.
-4. In open groups the class is verified against those members with which it shares a part.
-
-Sets travel only for classes that share a part with another class, filtered first by a bitmap of
-fixed size.  Hubs are cheap: a group is entered through its leader or its union, not pair by pair.
+2. Each set is written as tokens: its elements are dealt by hash into parts, and the hash of a part's
+   content is a token.  Linked sets differ in at most H elements, so with H + 1 + e parts they have
+   at least e + 1 parts in common (sizes are cut into bands, and a set near the top of its band also
+   joins the next band; empty parts make no token, and e leaves room for them).
+3. Similar classes are partitioned into groups: each class joins the leader it shares most tokens
+   with.  Classes are first compared exactly with their leader; linked stars are the group's core.
+4. The token-group matrix has a row for each token and group that holds it.  A class asks groups with
+   which it shares tokens; from the sizes follows how many tokens a link needs at least, and a group
+   whose whole union holds fewer stays closed (as does a group in whose core the class already is).
+5. In an open group the class is verified against the members, block by block: overlaps of many
+   classes at once are one matrix product, and only reached components leave the task, never pairs.
+
+Nothing is lost: the bounds hold for every linking pair.  Sets travel only for classes that share a
+token with another class, filtered first by a bitmap of fixed size.
 """
 
 from __future__ import annotations
@@ -26,14 +27,17 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WordHashes, connected_components, materialize, mix64, shingle_hashes, text_bytes
+from quarry.llm.common import WordHashes, connected_components, materialize, mix64, shingle_sets, text_bytes
 
 _BITS = 1 << 23
+_SEEDS = 16  # cuts of one set; band and cut fill the last ten bits of a token
+_MAX_BANDS = 64
 
 
 def _max_difference(size: int, percent: int) -> int:
@@ -72,6 +76,11 @@ def _parts(band: int, percent: int) -> tuple[int, int]:
     return h + 1 + spare, spare
 
 
+def _tokens(content: np.ndarray, band: int, seed: int) -> np.ndarray:
+    low = np.uint64(band * _SEEDS + seed)
+    return (mix64(content + low) & np.uint64(0xFFFFFFFFFFFFFC00)) | low
+
+
 def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the non-empty parts of a set, for each band it joins.
 
@@ -82,17 +91,17 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     out = []
     for band in _bands_of(len(s), percent):
         parts, spare = _parts(band, percent)
-        for seed in range(256):
-            mixed = mix64(s ^ np.uint64((band * 256 + seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        for seed in range(_SEEDS):
+            mixed = mix64(s ^ np.uint64((band * _SEEDS + seed + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
             if parts == 1:
-                out.append(mix64(mixed.sum(dtype=np.uint64, keepdims=True) + np.uint64(band)))
+                out.append(_tokens(mixed.sum(dtype=np.uint64, keepdims=True), band, seed))
                 break
             part = ((mixed >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
             order = np.argsort(part, kind="stable")
             part, body = part[order], mix64(mixed[order] + np.uint64(1))
             start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             total = np.add.reduceat(body, start)
-            out.append(mix64(total + part[start] * np.uint64(0xD1B54A32D192ED03) + np.uint64(band * 256 + seed)))
+            out.append(_tokens(total + part[start] * np.uint64(0xD1B54A32D192ED03), band, seed))
             if parts - len(start) <= spare:
                 break
         else:
@@ -105,17 +114,12 @@ def _class_key(s: np.ndarray) -> int:
     return int(mix64(mix64(s + np.uint64(0x1234567)).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
-def _sets_of(texts: list[bytes], n: int, hashes: WordHashes) -> Iterator[np.ndarray]:
-    for t in texts:
-        yield shingle_hashes(hashes.array(t.lower().split()), n)
-
-
 def class_of_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """Per row: ``_id``, ``_cls`` (NULL for an empty set) and ``_n`` (set size)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = list(_sets_of(b.column(1).to_pylist(), n, hashes))
+            sets = list(shingle_sets(b.column(1).to_pylist(), n, hashes))
             yield pa.RecordBatch.from_arrays([
                 b.column(0), pa.array([_class_key(s) if len(s) else None for s in sets], pa.int64()),
                 pa.array([len(s) for s in sets], pa.int64())], ["_id", "_cls", "_n"])
@@ -125,12 +129,13 @@ def class_of_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
 
 
 def _shared_parts(docs: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sig, cls) of parts that at least two classes share, and ``lead``, the smallest class among them."""
+    """(sig, cls) of tokens that at least two classes hold, with the number of holders (copies met in
+    different tasks may count twice, which only favours a leader)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for b in batches:
             sig, cls = [], []
-            for s in _sets_of(b.column(0).to_pylist(), n, hashes):
+            for s in shingle_sets(b.column(0).to_pylist(), n, hashes):
                 if not len(s):
                     continue
                 key = _class_key(s)
@@ -148,8 +153,8 @@ def _shared_parts(docs: DataFrame, text_col: str, n: int, percent: int) -> DataF
 
     rows = docs.select(text_bytes(F.col(text_col)).alias("_text")).mapInArrow(work, "sig bigint, cls bigint")
     w = Window.partitionBy("sig")
-    return (rows.withColumn("lead", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w))
-            .where("lead < high").select("sig", "cls", "lead").distinct())
+    return (rows.withColumn("low", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w))
+            .withColumn("held", F.count(F.lit(1)).over(w)).where("low < high").select("sig", "cls", "held").distinct())
 
 
 def _sets_for(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -164,7 +169,7 @@ def _sets_for(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> Data
         hashes, seen = WordHashes(), set()
         for b in batches:
             cls, sets = [], []
-            for s in _sets_of(b.column(0).to_pylist(), n, hashes):
+            for s in shingle_sets(b.column(0).to_pylist(), n, hashes):
                 if not len(s):
                     continue
                 c = _class_key(s)
@@ -192,37 +197,115 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def class_components(docs: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(node, component) over classes that link with another class."""
-    shared = materialize(_shared_parts(docs, text_col, n, percent), "ngram-parts")
-    wanted = materialize(shared.select("cls").distinct(), "ngram-wanted")
-    sets = materialize(_sets_for(docs, text_col, n, wanted), "ngram-sets")
-
-    # groups: each class and the leader it shares most parts with
-    votes = shared.where("cls != lead").groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("n"))
-    star = votes.groupBy(F.col("cls").alias("a")).agg(F.max_by("lead", F.struct("n", "lead")).alias("b"))
-    first = materialize(_verified(star, sets, percent), "ngram-stars")
-    comp = connected_components(first)
-    grouped = materialize(shared.select("sig", "cls").join(comp, shared["cls"] == comp["node"], "left")
-                          .select("sig", "cls", F.coalesce("component", "cls").alias("g")), "ngram-groups")
-
-    # parts shared across groups
-    mixed = grouped.groupBy("sig").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("sig")
-    across = materialize(grouped.join(mixed, "sig"), "ngram-across")
-    ask = materialize(across.join(across.select("sig", F.col("g").alias("other")).distinct(), "sig")
-                      .where("g > other").select("cls", "other").distinct(), "ngram-ask")
-    # the token-group matrix of the groups asked for, and the bound on each overlap
-    members = grouped.select("cls", "g").distinct().join(ask.select(F.col("other").alias("g")).distinct(), "g", "left_semi")
-    matrix = members.join(sets, "cls").select("g", F.explode("s").alias("e")).distinct()
-    asked = ask.join(sets, "cls").select("cls", F.col("other").alias("g"), F.size("s").alias("n"), F.explode("s").alias("e"))
-    hit = asked.join(matrix, ["g", "e"]).groupBy("cls", "g", "n").agg(F.count(F.lit(1)).alias("hits"))
-    opened = hit.where(100 * F.col("hits") >= percent * F.col("n")).select("cls", "g")
-    pairs = (across.select("sig", F.col("cls").alias("a")).join(opened.select(F.col("cls").alias("a"), "g"), "a")
-             .join(across.select("sig", F.col("cls").alias("b"), "g"), ["sig", "g"]).select("a", "b").distinct())
-    second = materialize(_verified(pairs, sets, percent), "ngram-opened")
-    if second.isEmpty():
-        return comp
-    return connected_components(first.union(second))
+def _needed(band, n_a, n_b, percent: int):
+    """Tokens of one band that two linked sets of these sizes share at least (Column)."""
+    top = F.array(*[F.lit(_max_difference(_band(i), percent)).cast("long") for i in range(_MAX_BANDS)])
+    return F.get(top, band) - F.floor((100 - percent) * (n_a + n_b) / (100 + percent)) + 1
+
+
+def _links_of(asking: list[np.ndarray], members: list[np.ndarray], percent: int, chunk: int = 8192) -> np.ndarray:
+    """Which sets of two lists link: overlaps counted as a product of 0/1 rows over shared elements."""
+    na, nb = np.array([len(s) for s in asking]), np.array([len(s) for s in members])
+    ea, eb = np.concatenate(asking), np.concatenate(members)
+    both = np.intersect1d(ea, eb)
+    hits = np.zeros((len(na), len(nb)), np.float32)
+    at = [np.searchsorted(both, e) for e in (ea, eb)]
+    ok = [(np.minimum(k, len(both) - 1) == k) & (both[np.minimum(k, len(both) - 1)] == e) if len(both) else np.zeros(len(e), bool)
+          for k, e in zip(at, (ea, eb))]
+    row = [np.repeat(np.arange(len(n)), n) for n in (na, nb)]
+    for lo in range(0, len(both), chunk):
+        part = []
+        for side, size in ((0, len(na)), (1, len(nb))):
+            x = np.zeros((size, min(chunk, len(both) - lo)), np.float32)
+            use = ok[side] & (at[side] >= lo) & (at[side] < lo + chunk)
+            x[row[side][use], at[side][use] - lo] = 1
+            part.append(x)
+        hits += part[0] @ part[1].T
+    i = hits.astype(np.int64)  # under 2^24, so exact
+    return 100 * i >= percent * (na[:, None] + nb[None, :] - i)
+
+
+def _judge_groups(asked: DataFrame, members: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links between the classes that ask a group and the group's members, as (a, b) rows: each class with
+    the smallest class that it reaches inside its block.
+
+    ``asked`` and ``members``: (cls, fam).  A large group is cut into blocks of asking classes and blocks of
+    members; each pair of blocks is a task's group of its own, so neither sets nor links of a whole group meet.
+    """
+    sizes = (asked.groupBy("fam").agg(F.count(F.lit(1)).alias("q"))
+             .join(members.groupBy("fam").agg(F.count(F.lit(1)).alias("m")), "fam")
+             .select("fam", F.ceil(F.col("q") / block).alias("nq"), F.ceil(F.col("m") / block).alias("nm")))
+
+    def dealt(side: DataFrame, own: str, other: str, role: int) -> DataFrame:
+        return (side.join(sizes, "fam").withColumn("role", F.lit(role))
+                .withColumn(own, F.pmod(F.xxhash64("cls"), F.col("nq" if role == 0 else "nm")).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), (F.col("nm" if role == 0 else "nq") - 1).cast("int"))))
+                .select("fam", "i", "j", "role", "cls"))
+
+    rows = dealt(asked, "i", "j", 0).union(dealt(members, "j", "i", 1)).join(sets, "cls")
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cls", kind="stable")
+        q, m = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
+        if not (len(q) and len(m)):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        one, two = np.nonzero(_links_of(list(q["s"]), list(m["s"]), percent))
+        names, back = np.unique(np.concatenate([q["cls"].to_numpy(), m["cls"].to_numpy()]), return_inverse=True)
+        low = np.arange(len(names))
+        left, right = back[one], back[len(q) + two]
+        while True:
+            was = low.copy()
+            np.minimum.at(low, left, was[right])
+            np.minimum.at(low, right, was[left])
+            if (low == was).all():
+                break
+        some = low != np.arange(len(names))
+        return pd.DataFrame({"a": names[some], "b": names[low[some]]})
+
+    return rows.groupBy("fam", "i", "j").applyInPandas(judge, "a bigint, b bigint")
+
+
+def class_components(docs: DataFrame, text_col: str, n: int, percent: int, sizes: DataFrame) -> DataFrame:
+    """(node, component) over classes that link with another class.  ``sizes``: cls, n."""
+    if not 80 <= percent <= 100:  # below, parts get too small to leave few of them empty
+        raise ValueError("percent must be from 80 to 100")
+    cut, band = F.col("sig").bitwiseAND(1023).cast("int"), F.shiftright(F.col("cut"), 4)
+    shared = materialize(_shared_parts(docs, text_col, n, percent).withColumn("cut", cut), "ngram-parts")
+    # the original of a family shares every token with some copy: it scores highest and leads
+    wanted = shared.groupBy("cls").agg(F.sum(F.col("held") - 1).alias("score"))
+    wanted = materialize(wanted.join(sizes, "cls").select("cls", "n", "score"), "ngram-wanted")
+    sets = materialize(_sets_for(docs, text_col, n, wanted.select("cls")), "ngram-sets")
+
+    # groups: each class with the leader it shares most tokens with
+    held = shared.join(wanted, "cls")
+    lead = held.groupBy("sig").agg(F.max(F.struct("score", "cls")).alias("l"))
+    votes = (held.join(lead, "sig").where("cls != l.cls")
+             .groupBy(F.col("cls").alias("a"), F.col("l.cls").alias("b")).agg(F.count(F.lit(1)).alias("hits")))
+    star = materialize(votes.groupBy("a").agg(F.max_by("b", F.struct("hits", "b")).alias("b")), "ngram-star")
+    edges = materialize(_verified(star, sets, percent), "ngram-stars")
+    comp = connected_components(edges)
+    named = (wanted.join(star, wanted["cls"] == star["a"], "left").join(comp, wanted["cls"] == comp["node"], "left")
+             .select("cls", "n", F.coalesce("b", "cls").alias("fam"), F.coalesce("component", "cls").alias("g")))
+    named = materialize(named, "ngram-groups")
+
+    # the token-group matrix, and the groups that hold enough of a class's tokens
+    tokens = shared.select("sig", "cut", "cls").join(named, "cls")
+    matrix = tokens.select("sig", F.col("fam").alias("of")).distinct()
+    most = F.floor(100 * F.col("n") / percent)  # no partner is larger
+    opened = (tokens.join(matrix, "sig").groupBy("cls", "n", "g", "of", "cut").agg(F.count(F.lit(1)).alias("hits"))
+              .where(F.col("hits") >= _needed(band, F.col("n"), most, percent))
+              .select("cls", "g", F.col("of").alias("fam")).distinct())
+    # the leader's component needs no second look: its members link already, the others ask for themselves
+    heads = named.select(F.col("cls").alias("fam"), F.col("g").alias("head"))
+    asked = materialize(opened.join(heads, "fam").where("g != head").select("cls", "fam"), "ngram-asked")
+    members = named.select("cls", "fam").union(named.where("cls != fam").join(
+        named.select(F.col("fam").alias("cls")).distinct(), "cls", "left_semi").select("cls", F.col("cls").alias("fam")))
+    more = materialize(_judge_groups(asked, members.distinct(), sets, percent), "ngram-opened")
+    return comp if more.isEmpty() else connected_components(edges.union(more))
+
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("_cls").isNotNull()).groupBy(F.col("_cls").alias("cls")).agg(F.max("_n").alias("n"))
 
 
 def _row_components(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -240,7 +323,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     An empty table gives an empty result.
     """
     rows = materialize(class_of_rows(docs, id_col, text_col, n), "ngram-rows")
-    named = materialize(_row_components(rows, class_components(docs, text_col, n, percent)), "ngram-named")
+    named = materialize(_row_components(rows, class_components(docs, text_col, n, percent, _sizes(rows))), "ngram-named")
     names = named.where(F.col("_comp").isNotNull()).groupBy("_comp").agg(F.min("_id").alias("component_id"))
     return named.join(names, "_comp", "left").select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
@@ -257,16 +340,23 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            cls = [_class_key(s) if len(s) else None for s in _sets_of(b.column(b.num_columns - 1).to_pylist(), n, hashes)]
+            cls = [_class_key(s) if len(s) else None for s in shingle_sets(b.column(b.num_columns - 1).to_pylist(), n, hashes)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cls, pa.int64())], [*cols, "__cls"])
 
     from pyspark.sql.types import LongType, StructType
     schema = StructType([*docs.schema.fields]).add("__cls", LongType())
-    rows = materialize(class_of_rows(docs, id_col, text_col, n).where(F.col("_cls").isNotNull()).distinct(), "ngram-rows")
-    named = _row_components(rows, class_components(docs, text_col, n, percent))
+    rows = materialize(class_of_rows(docs, id_col, text_col, n).where(F.col("_cls").isNotNull()), "ngram-rows")
+    named = _row_components(rows, class_components(docs, text_col, n, percent, _sizes(rows)))
     first = F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("id"), F.col("_cls").alias("cls")))
-    keep = materialize(named.groupBy("_comp").agg(first.alias("k")).select("k.cls", F.col("k.id").alias("__keep")), "ngram-keep")
-    marked = docs.withColumn("__text", text_bytes(F.col(text_col))).mapInArrow(work, schema)
-    kept = (marked.join(keep, (marked["__cls"] == keep["cls"]) & marked[id_col].eqNullSafe(keep["__keep"]))
-            .dropDuplicates(["__cls"]).select(*cols))
-    return kept.unionByName(marked.where(F.col("__cls").isNull()).select(*cols))
+    keep = materialize(named.groupBy("_comp").agg(first.alias("k"))
+                       .select(F.col("k.cls").alias("__of"), F.col("k.id").alias("__keep")), "ngram-keep")
+    # rows without a set meet nothing: a hash of their id spreads them over the join
+    marked = (docs.withColumn("__text", text_bytes(F.col(text_col))).mapInArrow(work, schema)
+              .withColumn("__at", F.coalesce("__cls", F.xxhash64(id_col))))
+    kept = (marked.join(keep, (marked["__at"] == keep["__of"]) & marked[id_col].eqNullSafe(keep["__keep"]), "left")
+            .where(F.col("__cls").isNull() | F.col("__of").isNotNull()))
+    if not rows.groupBy("_id", "_cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        # repeated rows: one of each, and every row without a set
+        kept = (kept.withColumn("__row", F.when(F.col("__cls").isNull(), F.monotonically_increasing_id()))
+                .dropDuplicates(["__cls", "__row"]))
+    return kept.select(*cols)

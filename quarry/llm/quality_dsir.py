@@ -12,10 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, materialize, mix64, text_bytes
+from quarry.llm.common import WordHashes, kth_largest, materialize, mix64, text_bytes
 
 
 def _ngrams(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -88,29 +88,6 @@ def log_weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text
                       (F.col("log_weight") - F.log(-F.log("u"))).alias("key"))
 
 
-def kth_largest(df: DataFrame, key: str, k: int, bins: int = 4096) -> float | None:
-    """The ``k``-th largest non-NULL value, exactly, by narrowing histograms (no sort, no gathering)."""
-    lo, hi, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if not n or k <= 0:
-        return None
-    k = min(k, n)
-    above = 0  # values over hi
-    while lo < hi:
-        step = (hi - lo) / bins
-        cell: Column = F.least(F.floor((F.col(key) - lo) / step).cast("int"), F.lit(bins - 1)) if step > 0 else F.lit(0)
-        hist = (df.where(F.col(key).between(lo, hi)).groupBy(cell.alias("c"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"))
-                .orderBy(F.desc("c")).collect())
-        for r in hist:
-            if above + r["n"] >= k:
-                lo, hi = r["lo"], r["hi"]
-                break
-            above += r["n"]
-        if len(hist) == 1 and step <= 0:
-            break
-    return hi
-
-
 def resample(weights: DataFrame, share: float) -> DataFrame:
     """Adds ``selected``: the ``round(share * rows)`` largest keys (rows tied at the cut are all taken)."""
     w = materialize(weights, "dsir")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, id_fold, materialize, text_bytes
+from quarry.llm.common import WordHashes, id_fold, kth_largest, materialize, text_bytes
 
 PEAK = 3
 
@@ -158,8 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tally: list[dict] = [{}, {}]
     for r in tallies.collect():
         tally[r["y"]][r["k"]] = r["n"]
-    kept = (words.where(F.col("c0") + F.col("c1") >= min_count)
-            .orderBy(F.desc(F.col("c0") + F.col("c1")), "b").limit(max_words).toPandas())
+    # the words over the max_words-th count: fewer than max_words, so they may travel
+    words = words.withColumn("both", F.col("c0") + F.col("c1"))
+    cut = max(min_count - 1, kth_largest(words, "both", max_words + 1) if tot["v"] > max_words else 0)
+    kept = words.where(F.col("both") > F.lit(cut)).toPandas()
     h = kept["b"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(h)
     shared = (kept["c"].to_numpy(float)[by] + 1) / (tot["n"] + tot["v"] + 1)
