@@ -22,7 +22,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = F.split(F.col("_text"), "\n")
     src = (docs.where(F.col(text_col).isNotNull() & F.col(text_col).contains("\n"))
            .select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
-    at = lambda c, k: F.get(c, F.col("_i") + k)
     numbered = (src.select("_id", F.xxhash64("_text").alias("_th"), lines.alias("_l"))
                 .where(F.size("_l") >= SPAN)
                 .select("_id", "_th", F.posexplode(F.transform(
@@ -32,7 +31,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows = (numbered.where(sum((F.length(c) for c in cells), F.lit(0)) >= min_chars)
                .select("_id", "_th", F.col("pos").alias("_i"),
                        F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit(7), *reversed(cells)).alias("_h2")))
-    del at
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_th").alias("th"),
                      F.col("_i").alias("i"))
     # counted map-side first, so a window in a third of all documents is a few partial rows
@@ -49,16 +47,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
-    """``docs`` with repeated runs cut out of the text, plus ``n_lines`` and ``n_removed``.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
+                lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
+    """``docs`` with repeated runs cut out of the text, plus the counts of its lines and of those removed.
 
     Lines end at a newline.  Documents under three lines, and windows of under ``min_chars``
     characters, repeat nothing.  Rows of equal id and text count as one document and get equal
     results; a NULL id comes after all others.  NULL texts stay NULL with 0 lines; a text that
     loses all lines becomes empty.  An empty table gives an empty result.  Columns of the input
-    named ``n_lines`` or ``n_removed`` are replaced.
+    named like ``lines_col`` or ``removed_col`` are replaced.
     """
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop(lines_col, removed_col)
     runs = materialize(repeated_runs(docs, id_col, text_col, min_chars), "lines-runs")
     left = docs.withColumn("__th", F.xxhash64(text_col))
     right = runs.select(F.col("_id").alias("__id"), F.col("_th").alias("__rth"), F.col("runs").alias("__runs"))
@@ -69,13 +68,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stretch = lambda i: F.slice(
         F.col("__lines"),
         F.when(i == 0, 0).otherwise(F.get(F.col("__runs"), i - 1)["e"] + 1) + 1,
-        F.coalesce(F.get(F.col("__runs"), i)["s"], F.col("n_lines"))
+        F.coalesce(F.get(F.col("__runs"), i)["s"], F.size("__lines"))
         - F.when(i == 0, 0).otherwise(F.get(F.col("__runs"), i - 1)["e"] + 1))
     kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), stretch))
     gone = F.aggregate("__runs", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1)
-    out = (both.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(n))
+    out = (both.withColumn(lines_col, F.when(F.col(text_col).isNull(), 0).otherwise(n))
            .withColumn("__lines", F.when(F.col("__runs").isNotNull(), lines))
-           .withColumn("n_removed", F.coalesce(gone, F.lit(0)))
+           .withColumn(removed_col, F.coalesce(gone, F.lit(0)))
            .withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col))
                        .otherwise(F.array_join(kept, "\n"))))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    return out.select(*docs.columns, lines_col, removed_col)
