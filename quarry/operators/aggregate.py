@@ -8,6 +8,7 @@ on the aggregated result, never with a whole-table window on detail rows.
 
 from __future__ import annotations
 
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -252,7 +253,10 @@ def box_stats(df: DataFrame, x: str, by: Sequence[str] = (), k: float = 1.5,
          .withColumn("_hi", F.col("q3") + k * (F.col("q3") - F.col("q1")))
     joined = df.select(*by, F.col(x).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     if by:
-        joined = joined.join(q, list(by))
+        # null-safe: rows without a group are a group too
+        fences = q.select(*[F.col(b).alias(f"_by_{i}") for i, b in enumerate(by)], *[c for c in q.columns if c not in by])
+        on = [joined[b].eqNullSafe(fences[f"_by_{i}"]) for i, b in enumerate(by)]
+        joined = joined.join(fences, reduce(lambda a, b: a & b, on)).drop(*[f"_by_{i}" for i in range(len(by))])
     else:  # one row of fences: scalar subqueries, evaluated once
         joined = joined.select("_x", *[q.select(c).scalar().alias(c)
                                        for c in ("q1", "median", "q3", "_lo", "_hi")])

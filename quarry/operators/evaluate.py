@@ -55,8 +55,10 @@ def cutoff_sweep(df: DataFrame, y: str, p: str, lo: float = 0.01, hi: float = 0.
     pass, a bounded table of ``n + 1`` bucket counts); suffix sums over the
     buckets give the counts at or above every cut-off.  ``balanced`` marks
     cut-offs where sensitivity and specificity differ by less than ``tol``.
+    Rows without a score or a label are left out; a rate without cases is NULL.
     """
     step = (hi - lo) / (n - 1)
+    df = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     spark = df.sparkSession
     cuts = spark.range(n).select(F.col("id").cast("int").alias("i"),
                                  (F.lit(lo) + F.col("id").cast("double") * F.lit(step)).alias("cutoff"))
@@ -77,8 +79,8 @@ def cutoff_sweep(df: DataFrame, y: str, p: str, lo: float = 0.01, hi: float = 0.
     j = cuts.join(full, "i").withColumns({"_P": tot.select("P").scalar(), "_N": tot.select("N").scalar()})
     P, N = F.col("_P"), F.col("_N")
     tp, fp = F.col("tp"), F.col("fp")
-    out = j.select("cutoff", (tp / P).alias("sensitivity"), ((N - fp) / N).alias("specificity"),
-                   ((tp + N - fp) / (P + N)).alias("accuracy"))
+    out = j.select("cutoff", F.try_divide(tp, P).alias("sensitivity"), F.try_divide(N - fp, N).alias("specificity"),
+                   F.try_divide(tp + N - fp, P + N).alias("accuracy"))
     return out.withColumn("balanced", F.abs(F.col("sensitivity") - F.col("specificity")) < tol)
 
 
@@ -103,18 +105,23 @@ def prefix_sums(df: DataFrame, order: Sequence[Column], cols: Sequence[str], pre
 
 
 def roc(df: DataFrame, y: str, p: str, positive=1) -> DataFrame:
-    """TPR and FPR at every distinct score (as the cut-off ``p >= s``)."""
+    """TPR and FPR at every distinct score (as the cut-off ``p >= s``).
+
+    Rows without a score or a label are left out; without a class its rate is NULL.
+    """
+    df = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     pos = F.col(y) == F.lit(positive)
     per = df.groupBy(F.col(p).alias("score")).agg(F.count(F.when(pos, 1)).alias("pos"),
                                                    F.count(F.when(~pos, 1)).alias("neg"))
     tot = per.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = prefix_sums(per, [F.desc("score")], ["pos", "neg"])
-    return c.select("score", (F.col("cum_pos") / tot.select("P").scalar()).alias("tpr"),
-                    (F.col("cum_neg") / tot.select("N").scalar()).alias("fpr"))
+    return c.select("score", F.try_divide(F.col("cum_pos"), tot.select("P").scalar()).alias("tpr"),
+                    F.try_divide(F.col("cum_neg"), tot.select("N").scalar()).alias("fpr"))
 
 
 def auc(df: DataFrame, y: str, p: str, positive=1) -> DataFrame:
-    """Area under the ROC curve by the rank-sum identity (ties count half)."""
+    """Area under the ROC curve by the rank-sum identity (ties count half); NULL with one class only."""
+    df = df.where(F.col(p).isNotNull() & F.col(y).isNotNull())
     pos = F.col(y) == F.lit(positive)
     per = df.groupBy(F.col(p).alias("score")).agg(F.count(F.when(pos, 1)).alias("pos"),
                                                    F.count(F.when(~pos, 1)).alias("neg"))
@@ -122,7 +129,7 @@ def auc(df: DataFrame, y: str, p: str, positive=1) -> DataFrame:
     # negatives strictly below the score = running total minus this score's own
     s = c.agg(F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") + 0.5 * F.col("neg"))).alias("_s"),
               F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    return s.select((F.col("_s") / (F.col("_P") * F.col("_N"))).alias("auc"))
+    return s.select(F.try_divide(F.col("_s"), F.col("_P") * F.col("_N")).alias("auc"))
 
 
 def ks(df: DataFrame, y: str, p: str, positive=1) -> DataFrame:

@@ -37,14 +37,19 @@ def levels(df: DataFrame, col: str) -> list:
     return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
 
 
-def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True, sep: str = "_") -> DataFrame:
+def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True, sep: str = "_",
+            max_levels: int = 1000) -> DataFrame:
     """k-1 indicator columns per categorical (first level dropped), named ``col_level``.
 
     Column names must exist when the plan is built, so the levels are
-    fetched once (a distinct over one column).
+    fetched once (a distinct over one column).  More than ``max_levels`` levels
+    raise an error before anything is fetched.
     """
     out = df
     for c in cols:
+        count = df.agg(F.countDistinct(c)).first()[0]
+        if count > max_levels:
+            raise ValueError(f"{c!r} has {count} levels, more than max_levels={max_levels}")
         lv = levels(df, c)
         keep = lv[1:] if drop_first else lv
         out = out.select("*", *[F.when(F.col(c) == v, 1).otherwise(0).alias(f"{c}{sep}{v}") for v in keep]) \
@@ -59,7 +64,7 @@ def zscore(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) ->
     for c in cols:
         mu = src.agg(F.avg(c)).scalar()
         sd = src.agg(F.stddev_samp(c)).scalar()
-        out = out.withColumn(c, (F.col(c) - mu) / sd)
+        out = out.withColumn(c, F.try_divide(F.col(c) - mu, sd))  # a constant column has no z-score: NULL
     return out
 
 
@@ -83,7 +88,8 @@ def stratified_split(df: DataFrame, label: str, p: float, id_col: str, seed=42,
     h = _hash(seed, id_col)
     ranked = global_row_number(df.withColumn("_h", h), [F.asc(label), F.asc("_h"), F.asc(id_col)], "_rn")
     stats = ranked.groupBy(label).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_nc"))
-    j = ranked.join(stats, label)
+    stats = stats.withColumnRenamed(label, "_label")  # null-safe: rows without a label are a class too
+    j = ranked.join(stats, ranked[label].eqNullSafe(stats["_label"])).drop("_label")
     within = F.col("_rn") - F.col("_first") + 1
     return j.withColumn(name, F.when(within <= F.round(F.col("_nc") * F.lit(p)), "train")
                         .otherwise("test")).drop("_h", "_rn", "_first", "_nc")

@@ -183,9 +183,13 @@ def vif_from_gram(xtx: np.ndarray, n: int) -> np.ndarray:
     sums = xtx[0, 1:]
     cross = xtx[1:, 1:]
     cov = cross - np.outer(sums, sums) / n
-    sd = np.sqrt(np.diag(cov))
-    corr = cov / np.outer(sd, sd)
-    return np.diag(np.linalg.pinv(corr))
+    var = np.diag(cov)
+    live = var > 1e-12 * np.maximum(np.diag(cross) / n, 1e-300)  # a constant column has no VIF
+    out = np.full(len(var), np.nan)
+    if live.any():
+        sd = np.sqrt(var[live])
+        out[live] = np.diag(np.linalg.pinv(cov[np.ix_(live, live)] / np.outer(sd, sd)))
+    return out
 
 
 def subset(xtx, xty, idx: Sequence[int]):

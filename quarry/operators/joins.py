@@ -20,8 +20,8 @@ from pyspark.sql.window import Window
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """Mark a table as small by construction (fixed rows or a top-k result)."""
-    return F.broadcast(df)
+    """A table that is small by construction; its measured size decides on a broadcast at run time."""
+    return df
 
 
 def _cond(left: DataFrame, right: DataFrame, lk: str, rk: str):

@@ -9,6 +9,7 @@ Results come back as small DataFrames (one row per term or per step).
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -38,8 +39,13 @@ def _complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out
 
 
-def _assemble(df: DataFrame, x: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(x), outputCol=out, handleInvalid="skip").transform(df)
+def _assemble(df: DataFrame, x: Sequence[str], out: str = "features", invalid: str = "skip") -> DataFrame:
+    """``skip`` drops rows with NULL parts (fits), ``keep`` makes them NaN (scoring)."""
+    return VectorAssembler(inputCols=list(x), outputCol=out, handleInvalid=invalid).transform(df)
+
+
+def _no_nan(c: str):
+    return F.when(~F.isnan(c), F.col(c))
 
 
 # --------------------------------------------------------------------------- linear
@@ -99,12 +105,12 @@ def _aic_gaussian(rss: float, n: int, k: int) -> float:
     return n * math.log(rss / n) + 2 * k
 
 
-def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian",
-             max_steps: int = 50) -> DataFrame:
+def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian") -> DataFrame:
     """Both-direction stepwise selection by AIC, starting from the full model.
 
     Gaussian: every candidate is scored from one Gram matrix.  Binomial:
     each candidate is a Spark GLM fit on the persisted input.
+    Runs until no candidate lowers the AIC (each step lowers it, so it ends).
     Returns the path: (step, action, term, aic, terms).
     """
     spark = df.sparkSession
@@ -128,7 +134,7 @@ def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian",
     current = list(x)
     best = score(current)
     path = [(0, "start", None, best, ",".join(current))]
-    for step in range(1, max_steps + 1):
+    for step in itertools.count(1):
         cands = [("-", t, [c for c in current if c != t]) for t in current]
         cands += [("+", t, current + [t]) for t in x if t not in current]
         scored = [(score(terms), act, t, terms) for act, t, terms in cands]
@@ -146,10 +152,13 @@ def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian",
 
 # --------------------------------------------------------------------------- binomial
 
+_GLM_ITER = 200
+
+
 def _glm(data: DataFrame, y: str, x: Sequence[str]):
     feats = _assemble(data, x) if x else data.withColumn("features", array_to_vector(F.array()))
     glr = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="features",
-                                      labelCol=y, maxIter=50)
+                                      labelCol=y, maxIter=_GLM_ITER)
     return glr.fit(feats)
 
 
@@ -158,20 +167,21 @@ def _glm_aic(data: DataFrame, y: str, x: Sequence[str]) -> float:
 
 
 def logit(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
-    """Binomial GLM: estimate, std error, z, p per term, and the model AIC."""
+    """Binomial GLM: estimate, std error, z, p per term, the model AIC, and whether the fit converged."""
     spark = df.sparkSession
     m = _glm(_complete(df, [y, *x]), y, x)
     s = m.summary
     names = list(x) + ["(Intercept)"]
     est = list(m.coefficients) + [m.intercept]
-    rows = [(t, float(e), float(se), float(z), float(p), float(s.aic))
+    rows = [(t, float(e), float(se), float(z), float(p), float(s.aic),
+             int(s.numIterations), int(s.numIterations) < _GLM_ITER)
             for t, e, se, z, p in zip(names, est, s.coefficientStandardErrors, s.tValues, s.pValues)]
     return spark.createDataFrame(rows, "term string, estimate double, std_error double, z_value double, "
-                                       "p_value double, aic double")
+                                       "p_value double, aic double, iterations int, converged boolean")
 
 
 def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian",
-                       max_vif: float = 2.0, max_p: float = 0.05, max_steps: int = 100) -> DataFrame:
+                       max_vif: float = 2.0, max_p: float = 0.05) -> DataFrame:
     """Drop one term at a time: the highest-VIF term above ``max_vif`` that is not
     significant, else the least significant term above ``max_p``; stop when none.
 
@@ -188,7 +198,7 @@ def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "g
     data = None if family == "gaussian" else _complete(df, [y, *x]).persist()
     current = list(x)
     path = [(0, None, "start", None, None, ",".join(current))]
-    for step in range(1, max_steps + 1):
+    for step in itertools.count(1):
         if not current:
             break
         idx = [0] + [names.index(t) for t in current]
@@ -219,8 +229,9 @@ def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "g
 # --------------------------------------------------------------------------- scoring
 
 def predict(model, df: DataFrame, x: Sequence[str], out: str = "prediction") -> DataFrame:
-    data = _assemble(df, x)
-    return model.transform(data).withColumnRenamed("prediction", out).drop("features")
+    """Every row comes back; a row with a NULL feature has a NULL prediction."""
+    scored = model.transform(_assemble(df, x, invalid="keep"))
+    return scored.withColumn("prediction", _no_nan("prediction")).withColumnRenamed("prediction", out).drop("features")
 
 
 def r2_holdout(df: DataFrame, y: str, yhat: str) -> DataFrame:
@@ -229,12 +240,13 @@ def r2_holdout(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def predict_prob(model, df: DataFrame, x: Sequence[str], out: str = "prob") -> DataFrame:
-    """P(y = 1) for held-out rows (GLM: the mean response; classifiers: probability[1])."""
-    scored = model.transform(_assemble(df, x))
+    """P(y = 1) for held-out rows (GLM: the mean response; classifiers: probability[1]); NULL where a feature is NULL."""
+    scored = model.transform(_assemble(df, x, invalid="keep"))
     if "probability" in scored.columns:
         scored = scored.withColumn(out, vector_to_array("probability")[1])
     else:
         scored = scored.withColumnRenamed("prediction", out)
+    scored = scored.withColumn(out, _no_nan(out))
     return scored.drop("features", "rawPrediction", "probability", "prediction")
 
 

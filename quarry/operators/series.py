@@ -24,8 +24,6 @@ from quarry.operators import gram as G
 KPSS_LEVEL_5PCT = 0.463          # KPSS level-stationarity test
 ADF_TREND_5PCT = -3.45           # Dickey-Fuller with constant and trend, n about 50-100
 
-KPSS_MAX_LAG = 12                # trunc(4 (n/100)^(1/4)) stays <= 12 for n < 8100 months
-
 
 def _w(key: Sequence[str], t: str):
     return Window.partitionBy(*key).orderBy(t)
@@ -117,7 +115,10 @@ def residual(df: DataFrame, x: str, fit: str, name: str = "resid") -> DataFrame:
 # --------------------------------------------------------------------------- autocorrelation
 
 def acf(df: DataFrame, key: Sequence[str], t: str, x: str, max_lag: int) -> DataFrame:
-    """Sample autocorrelation per series and lag (overall mean, divisor n): (key..., lag, acf)."""
+    """Sample autocorrelation per series and lag (overall mean, divisor n): (key..., lag, acf).
+
+    A constant series has NULL autocorrelations.
+    """
     key = list(key)
     g = Window.partitionBy(*key)
     d = df.withColumn("_d", F.col(x) - F.avg(x).over(g))
@@ -125,7 +126,7 @@ def acf(df: DataFrame, key: Sequence[str], t: str, x: str, max_lag: int) -> Data
     d = d.withColumns({f"_l{k}": F.lag("_d", k).over(w) for k in range(1, max_lag + 1)})
     sums = d.groupBy(*key).agg(F.sum(F.col("_d") * F.col("_d")).alias("_s0"),
                                *[F.sum(F.col("_d") * F.col(f"_l{k}")).alias(f"a{k}") for k in range(1, max_lag + 1)])
-    long = sums.select(*key, "_s0", *[(F.col(f"a{k}") / F.col("_s0")).alias(str(k)) for k in range(1, max_lag + 1)]) \
+    long = sums.select(*key, "_s0", *[F.try_divide(F.col(f"a{k}"), F.col("_s0")).alias(str(k)) for k in range(1, max_lag + 1)]) \
         .unpivot([*key, "_s0"], [str(k) for k in range(1, max_lag + 1)], "lag", "acf")
     return long.select(*key, F.col("lag").cast("int").alias("lag"), "acf")
 
@@ -163,7 +164,8 @@ def pacf(acf_df: DataFrame, key: Sequence[str], max_lag: int) -> DataFrame:
 def kpss(df: DataFrame, key: Sequence[str], t: str, x: str) -> DataFrame:
     """KPSS level-stationarity statistic per series with a Bartlett long-run variance.
 
-    Lag truncation l = trunc(4 (n/100)^(1/4)).  Returns (key..., n, lags, kpss, stationary_5pct).
+    Lag truncation l = trunc(4 (n/100)^(1/4)), each series to its own l.  A constant series has a
+    NULL statistic.  Returns (key..., n, lags, kpss, stationary_5pct).
     """
     key = list(key)
     g = Window.partitionBy(*key)
@@ -171,18 +173,22 @@ def kpss(df: DataFrame, key: Sequence[str], t: str, x: str) -> DataFrame:
     d = df.withColumns({"_e": F.col(x) - F.avg(x).over(g), "_n": F.count(F.lit(1)).over(g)})
     d = d.withColumns({
         "_S": F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_lags": F.floor(F.lit(4.0) * F.pow(F.col("_n") / 100.0, 0.25)).cast("int"),
-        **{f"_p{s}": F.col("_e") * F.lag("_e", s).over(w) for s in range(1, KPSS_MAX_LAG + 1)}})
+        "_lags": F.floor(F.lit(4.0) * F.pow(F.col("_n") / 100.0, 0.25)).cast("int")})
     agg = d.groupBy(*key).agg(F.first("_n").alias("n"), F.first("_lags").alias("lags"),
                               F.sum(F.col("_S") * F.col("_S")).alias("_ss"),
                               F.sum(F.col("_e") * F.col("_e")).alias("_e0"),
-                              *[F.sum(f"_p{s}").alias(f"_g{s}") for s in range(1, KPSS_MAX_LAG + 1)])
-    lr = F.col("_e0")
-    for s in range(1, KPSS_MAX_LAG + 1):
-        wt = F.when(F.lit(s) <= F.col("lags"), 1 - F.lit(s) / (F.col("lags") + 1)).otherwise(0.0)
-        lr = lr + 2 * wt * F.coalesce(F.col(f"_g{s}"), F.lit(0.0))
+                              F.transform(F.array_sort(F.collect_list(F.struct(t, "_e"))), lambda r: r["_e"]).alias("_es"))
+
+    def lagged(s):  # sum of e_t e_{t-s} over one series, whose months are one array
+        m = F.size("_es") - s
+        return F.aggregate(F.zip_with(F.slice("_es", 1, m), F.slice("_es", s + 1, m), lambda a, b: a * b),
+                           F.lit(0.0), lambda a, v: a + v)
+
+    lr = F.when(F.col("lags") < 1, F.col("_e0")).otherwise(F.aggregate(
+        F.sequence(F.lit(1), F.greatest("lags", F.lit(1))), F.col("_e0"),
+        lambda a, s: a + 2 * (1 - s / (F.col("lags") + 1)) * lagged(s)))
     lr = lr / F.col("n")
-    stat = F.col("_ss") / (F.col("n") * F.col("n") * lr)
+    stat = F.try_divide(F.col("_ss"), F.col("n") * F.col("n") * lr)
     return agg.select(*key, "n", "lags", stat.alias("kpss")) \
         .withColumn("stationary_5pct", F.col("kpss") < KPSS_LEVEL_5PCT)
 
@@ -195,18 +201,21 @@ def differenced(df: DataFrame, key: Sequence[str], t: str, x: str, d: int, name:
     return out
 
 
-def adf(df: DataFrame, key: Sequence[str], t: str, x: str, max_k: int = 12) -> DataFrame:
+def adf(df: DataFrame, key: Sequence[str], t: str, x: str) -> DataFrame:
     """Augmented Dickey-Fuller t-ratio (constant + trend), lag k = trunc((n-1)^(1/3)).
 
     Regression of Δy_t on 1, t, y_{t-1}, Δy_{t-1..t-k} per series, one Gram
-    aggregate; lags beyond a series' own k are zero.  Returns (key..., n, lags, adf, stationary_5pct).
+    aggregate; lags beyond a series' own k are zero.  The largest k of all series sets the number
+    of lag columns (one small job while the plan is built).  Returns (key..., n, lags, adf, stationary_5pct).
     """
     key = list(key)
     g = Window.partitionBy(*key)
     w = _w(key, t)
+    lag_order = lambda n: F.floor(F.pow(n - 1.0, 1.0 / 3.0) + 1e-9).cast("int")
+    max_k = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.max(lag_order(F.col("n")))).first()[0] or 0
     d = df.withColumns({"_n": F.count(F.lit(1)).over(g), "_i": F.row_number().over(w),
                         "_y1": F.lag(x, 1).over(w)})
-    d = d.withColumns({"_k": F.least(F.floor(F.pow(F.col("_n") - 1.0, 1.0 / 3.0)).cast("int"), F.lit(max_k)),
+    d = d.withColumns({"_k": lag_order(F.col("_n")),
                        "_dy": F.col(x) - F.col("_y1")})
     d = d.withColumns({f"_dl{j}": F.when(F.lit(j) <= F.col("_k"), F.lag("_dy", j).over(w)).otherwise(0.0)
                        for j in range(1, max_k + 1)})
@@ -217,7 +226,7 @@ def adf(df: DataFrame, key: Sequence[str], t: str, x: str, max_k: int = 12) -> D
     gdf = G.gram(d, terms, "_dy", by=key)
     fits = gram_solve_by(gdf, key, len(terms) + 1)
     ks = d.groupBy(*key).agg(F.first("_k").alias("lags"))
-    stat = F.get("beta", 2) / F.get("se", 2)
+    stat = F.try_divide(F.get("beta", 2), F.get("se", 2))
     return fits.join(ks, key).select(*key, "n", "lags", stat.alias("adf")) \
         .withColumn("stationary_5pct", F.col("adf") < ADF_TREND_5PCT)
 
@@ -271,7 +280,9 @@ def ar_fit(df: DataFrame, key: Sequence[str], t: str, x: str, max_p: int = 3, ma
     fits = fits.withColumn("beta", F.concat(F.array(b0), F.slice("beta", 2, max_p)))
     k = F.col("p") + 2  # intercept, p coefficients, variance
     n = F.col("n")
-    aicc = n * F.log(F.col("rss") / n) + 2 * k + 2 * k * (k + 1) / F.greatest(n - k - 1, F.lit(1))
+    # too few points, or a perfect fit: NULL, the candidate is not eligible
+    spare = F.when(n - k - 1 > 0, n - k - 1)
+    aicc = n * F.log(F.col("rss") / n) + 2 * k + 2 * k * (k + 1) / spare
     fits = fits.withColumn("aicc", aicc).withColumn("sigma2", F.col("rss") / n)
     best = fits.groupBy(*key).agg(F.min_by(F.struct("d", "p", "beta", "sigma2", "aicc"), "aicc").alias("m"))
     return best.select(*key, "m.d", "m.p", "m.beta", "m.sigma2", "m.aicc")
@@ -291,6 +302,12 @@ def ar_forecast(df: DataFrame, fits: DataFrame, key: Sequence[str], t: str, x: s
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_t")
         y = pdf["_x"].to_numpy(dtype=float)
+        if pd.isna(pdf["d"].iloc[0]):  # no eligible fit: the months come back without a forecast
+            out = pd.DataFrame({t: np.arange(int(pdf["_t"].iloc[-1]) + 1, int(pdf["_t"].iloc[-1]) + h + 1, dtype="int32"),
+                                name: np.full(h, np.nan)})
+            for k_ in key:
+                out.insert(0, k_, pdf[k_].iloc[0])
+            return out
         d, p, beta = int(pdf["d"].iloc[0]), int(pdf["p"].iloc[0]), np.asarray(pdf["beta"].iloc[0], float)
         levels = [y]
         for _ in range(d):

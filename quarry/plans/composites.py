@@ -62,7 +62,7 @@ def fines_by_year(tickets: DataFrame, rates: DataFrame, n: int = 3, code: str =
     t = tickets.withColumn("band", (F.col(code) / 10).cast("int"))
     counts = t.groupBy(year, code, "band").agg(F.count(F.lit(1)).alias("tickets"))
     top = W.top_n_per_group(counts, [year], [F.desc("tickets"), F.asc(code)], n, ties="cut")
-    out = top.join(F.broadcast(rates), list(rate_key), "left")
+    out = top.join(rates, list(rate_key), "left")
     return out.select(year, code, "tickets", "fine", (F.col("tickets") * F.col("fine")).cast("long").alias("collected"))
 
 
@@ -91,11 +91,11 @@ def sector_investment(rounds: DataFrame, mapping_wide: DataFrame, lo: float, hi:
     """Investments inside an amount band, top countries, their top sectors and top company.
 
     ``mapping_wide`` is a category -> 0/1 sector-column table (a fixed code
-    list); it is melted to (category, sector) and broadcast.
+    list); it is melted to (category, sector).
     """
     sectors = [c for c in mapping_wide.columns if c != category]
     mapping = melt_flags(mapping_wide, [category], sectors, "sector", "_flag").drop("_flag")
-    r = rounds.where(S.in_range(amount, lo, hi)).join(F.broadcast(mapping), category)
+    r = rounds.where(S.in_range(amount, lo, hi)).join(mapping, category)
     # one pass over the fact rows: everything below is derived from this small
     # (country, sector, company) aggregate.  The branches push different filters,
     # so Spark would not reuse one exchange; the aggregate is checkpointed instead.

@@ -16,7 +16,7 @@ _X = ["l_quantity", "l_discount", "l_tax"]
 
 def _lineitem(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem
-    return li.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_linenumber", *_X,
+    return li.select("l_orderkey", "l_linenumber", "l_extendedprice", *_X,
                      (F.col("l_returnflag") == "R").cast("int").alias("is_r"))
 
 
@@ -53,6 +53,16 @@ def ml_backward_eliminate(spark, sf_dir):
                                 "gaussian", max_vif=2.0, max_p=0.05)
 
 
+@query("ml_step_aic_binomial", section="2.12")
+def ml_step_aic_binomial(spark, sf_dir):
+    return M.step_aic(_lineitem(spark, sf_dir), "is_r", _X, "binomial")
+
+
+@query("ml_backward_eliminate_binomial", section="2.12")
+def ml_backward_eliminate_binomial(spark, sf_dir):
+    return M.backward_eliminate(_lineitem(spark, sf_dir), "is_r", _X, "binomial", max_vif=2.0, max_p=0.05)
+
+
 def _split_lineitem(spark, sf_dir):
     li = Tables(spark, sf_dir).lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
@@ -84,7 +94,7 @@ def _digits(spark, sf_dir):
 @query("ml_linear_svm_multi", section="2.12")
 def ml_linear_svm_multi(spark, sf_dir):
     d = M.to_vector(_digits(spark, sf_dir), "embedding")
-    model = M.svm_multi(d.where("split = 'train'"), "label", max_iter=20)
+    model = M.svm_multi(d.where("split = 'train'"), "label", max_iter=50)
     return model.transform(d.where("split = 'test'")).select("vec_id", "label", "prediction")
 
 
@@ -92,7 +102,7 @@ def ml_linear_svm_multi(spark, sf_dir):
 def ml_rff_svm(spark, sf_dir):
     d = M.rff(_digits(spark, sf_dir), "embedding", dim=256, sigma=1.0, seed=7)
     d = M.to_vector(d, "rff").checkpoint(eager=True)
-    model = M.svm_multi(d.where("split = 'train'"), "label", max_iter=20)
+    model = M.svm_multi(d.where("split = 'train'"), "label", max_iter=50)
     return model.transform(d.where("split = 'test'")).select("vec_id", "label", "prediction")
 
 
@@ -100,4 +110,4 @@ def ml_rff_svm(spark, sf_dir):
 def ml_grid_cv(spark, sf_dir):
     d = M.to_vector(M.rff(_digits(spark, sf_dir), "embedding", dim=128, sigma=1.0, seed=7), "rff")
     train = d.where("split = 'train'").select("label", "features").checkpoint(eager=True)
-    return M.grid_cv(train, "label", "features", [0.01, 0.1], [10, 20], folds=3, parallelism=6)
+    return M.grid_cv(train, "label", "features", [0.01, 0.1], [10, 25], folds=3, parallelism=6)

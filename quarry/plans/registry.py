@@ -1,7 +1,7 @@
 """Named queries: a Spark builder and, where SQL can say it, an oracle SQL text.
 
-Each builder takes ``(spark, sf_dir)`` and returns an unexecuted DataFrame
-over the driver tables.  The SQL is written separately, for DuckDB, over
+Each builder takes ``(spark, sf_dir)`` and returns a DataFrame over the driver tables.  Some run jobs
+while building: model fits, checkpoints, scratch files, and plans that need column contents or levels.  The SQL is written separately, for DuckDB, over
 the same tables; computed columns carry the same names on both sides.
 """
 

@@ -177,10 +177,9 @@ LOANS_SQL = """loans AS (
 
 # ---------------------------------------------------------------- monthly series
 def order_months(t: Tables) -> DataFrame:
-    """Order value by (region, segment, year, month); the one-day last month dropped."""
+    """Order value by (region, segment, year, month)."""
     cg = customers_geo(t).select("c_custkey", "r_name", "c_mktsegment")
-    o = t.orders.where(F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz"))
-    j = o.join(cg, F.col("o_custkey") == F.col("c_custkey"))
+    j = t.orders.join(cg, F.col("o_custkey") == F.col("c_custkey"))
     return (j.groupBy(F.col("r_name").alias("market"), F.col("c_mktsegment").alias("segment"),
                       F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
             .agg(F.sum("o_totalprice").alias("sales"), F.count(F.lit(1)).alias("quantity")))
@@ -192,7 +191,6 @@ ORDER_MONTHS_SQL = """order_months AS (
          SUM(o.o_totalprice) AS sales, COUNT(*) AS quantity
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE o.o_orderdate < TIMESTAMP '2001-08-01'
   GROUP BY 1, 2, 3, 4)"""
 
 
@@ -208,21 +206,23 @@ def monthly_filled(t: Tables) -> DataFrame:
     spine = (om.select("market", "segment").distinct()
              .withColumn("_t", F.explode(F.sequence(lo, hi)))
              .withColumn("year", F.floor(F.col("_t") / 12).cast("int"))
-             .withColumn("month", (F.col("_t") % 12 + 1).cast("int")).drop("_t"))
+             .withColumn("month", (F.col("_t") % 12 + 1).cast("int"))
+             .withColumn("t", (F.col("_t") - lo + 1).cast("int")).drop("_t"))
     out = spine.join(om.drop("_t"), ["market", "segment", "year", "month"], "left")
     return out.select("market", "segment", "year", "month",
                       F.coalesce("sales", F.lit(0.0)).alias("sales"),
-                      F.coalesce("quantity", F.lit(0)).alias("quantity"),
-                      ((F.col("year") - 1995) * 12 + F.col("month")).cast("int").alias("t"))
+                      F.coalesce("quantity", F.lit(0)).alias("quantity"), "t")
 
 
 MONTHLY_FILLED_SQL = ORDER_MONTHS_SQL + """,
 monthly_filled AS (
   SELECT k.market, k.segment, m.year, m.month,
          COALESCE(om.sales, 0.0) AS sales, COALESCE(om.quantity, 0) AS quantity,
-         CAST((m.year - 1995) * 12 + m.month AS INTEGER) AS t
+         CAST(m.year * 12 + m.month - 1 - m.lo + 1 AS INTEGER) AS t
   FROM (SELECT DISTINCT market, segment FROM order_months) k
-  CROSS JOIN (SELECT DISTINCT year, month FROM order_months) m
+  CROSS JOIN (SELECT CAST(x // 12 AS INTEGER) AS year, CAST(x % 12 + 1 AS INTEGER) AS month, lo
+              FROM (SELECT MIN(year * 12 + month - 1) AS lo, UNNEST(range(MIN(year * 12 + month - 1), MAX(year * 12 + month - 1) + 1)) AS x
+                    FROM order_months)) m
   LEFT JOIN order_months om ON om.market = k.market AND om.segment = k.segment
         AND om.year = m.year AND om.month = m.month)"""
 

@@ -87,9 +87,10 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "o
     """Dynamic-partition overwrite: only the partitions present in ``df`` are replaced.
 
     Rows are clustered by the partition columns first, so each task writes
-    few files instead of one per partition value it happens to see.
+    few files instead of one per partition value it happens to see; adaptive
+    execution splits a large partition value over several tasks.
     """
-    w = (df.repartition(*by).write.mode(mode).format(fmt).partitionBy(*by)
+    w = (df.hint("rebalance", *by).write.mode(mode).format(fmt).partitionBy(*by)
          .option("compression", compression).option("partitionOverwriteMode", "dynamic"))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", max_records_per_file)

@@ -9,23 +9,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-_READERS: dict[tuple[SparkSession, str], DataFrame] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, refresh: bool = False) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table.  Parquet keeps filters and column pruning at the scan.
 
-    The relation (file listing + footer schema) is resolved once per session
-    and path; a DataFrame is an immutable plan, so sharing it is safe.
-    ``refresh=True`` lists the files again (new files landed).
+    Files are listed on each call, so files that have landed since are seen.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark, path)  # the key holds the session, so it is never a stale id
-    if refresh or key not in _READERS:
-        _READERS[key] = spark.read.parquet(path)
-    return _READERS[key]
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 class Tables:
