@@ -17,7 +17,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +40,10 @@ def hash_plan(n: int, threshold: float, recall: float) -> tuple[float, int, int]
     return width, k, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
 
-def _bucket_links(a: np.ndarray, ka: np.ndarray, b: np.ndarray, kb: np.ndarray, table: int, threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold in double precision and share no key in an earlier table."""
+def _bucket_links(a: np.ndarray, ka: np.ndarray, b: np.ndarray, kb: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold in double precision and share none of the earlier tables' keys."""
     ok = a @ b.T >= threshold
-    for t in range(table):
+    for t in range(ka.shape[1]):
         ok &= ka[:, t][:, None] != kb[:, t][None, :]
     return ok
 
@@ -60,6 +59,82 @@ def _smallest_reached(c: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray
             return low
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]  # keeps the squares finite
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    return x
+
+
+def _large_group(x: np.ndarray, keys: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one group, a stripe of rows at a time: members ``first`` against members ``second``."""
+    a, b = np.flatnonzero(first), np.flatnonzero(second)
+    one, two = [], []
+    for at in range(0, len(a), 512):
+        part = a[at:at + 512]
+        i, j = np.nonzero(_bucket_links(x[part], keys[part], x[b], keys[b], threshold))
+        one.append(part[i])
+        two.append(b[j])
+    return np.concatenate(one), np.concatenate(two)
+
+
+def _reached(c: np.ndarray, many: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    """Per linked row its links (copies counted) and the smallest class it reaches."""
+    apart = left != right
+    left, right = left[apart], right[apart]
+    links = np.bincount(left, weights=many[right], minlength=len(c)).astype(np.int64)
+    low = _smallest_reached(c, left, right)
+    some = links > 0
+    return pa.RecordBatch.from_arrays([pa.array(c[some]), pa.array(links[some]), pa.array(low[some])], ["c", "links", "low"])
+
+
+def _judge_rows(rows: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links inside the groups of a table sorted by group; groups of one size are one stacked product."""
+    t, key, i, j = (rows.column(name).to_numpy() for name in ("t", "key", "i", "j"))
+    c, many, own = (rows.column(name).to_numpy() for name in ("c", "n", "own"))
+    lists = rows.column("v").combine_chunks()
+    dims, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+    at_v = np.concatenate([[0], np.cumsum(dims)])
+    earlier = rows.column("keys").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    at_k = np.concatenate([[0], np.cumsum(t)])  # a row carries the keys of the t tables before its own
+    fresh = np.concatenate([[True], (t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    start = np.flatnonzero(fresh)
+    size = np.diff(np.append(start, len(t)))
+    left, right = [], []
+    kinds = np.stack([t[start], size, dims[start]], axis=1)
+    for table, many_rows, dim in np.unique(kinds[size > 1], axis=0):
+        heads = start[(kinds == (table, many_rows, dim)).all(axis=1)]
+        step = max(1, 2_000_000 // (many_rows * max(many_rows, dim)))  # groups whose products are held at once
+        for at in range(0, len(heads), step):
+            members = heads[at:at + step, None] + np.arange(many_rows)
+            picked = members.ravel()
+            x = _unit(flat[(at_v[picked][:, None] + np.arange(dim))])
+            k = earlier[(at_k[picked][:, None] + np.arange(table))]
+            if many_rows > 64:
+                for g, rowset in enumerate(members):
+                    part = slice(g * many_rows, (g + 1) * many_rows)
+                    side, head = own[rowset], rowset[0]
+                    one, two = _large_group(x[part], k[part], side == i[head], side == j[head], threshold)
+                    if i[head] != j[head]:
+                        one, two = np.concatenate([one, two]), np.concatenate([two, one])
+                    yield _reached(c[rowset], many[rowset], one, two)
+                continue
+            x = x.reshape(len(members), many_rows, dim)
+            g, one, two = np.nonzero(x @ x.transpose(0, 2, 1) >= threshold)
+            a, b = members[g, one], members[g, two]
+            # two blocks of a bucket meet here; within a block another group judges
+            meet = (i[a] == j[a]) | (own[a] != own[b])
+            k = k.reshape(len(members), many_rows, table)
+            for at_pair in range(0, len(a), 100_000):
+                s = slice(at_pair, at_pair + 100_000)
+                meet[s] &= ~(k[g[s], one[s]] == k[g[s], two[s]]).any(axis=1)
+            left.append(a[meet])
+            right.append(b[meet])
+    left, right = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (left, right))
+    yield _reached(c, many, left, right)
+
+
 def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                            threshold: float = 0.9, recall: float = 0.95, block: int = 2048, seed: int = 13) -> DataFrame:
     """One row per input row: id, ``n_links``, ``component_id``, ``kept``.
@@ -69,7 +144,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     with a multiplicity.  Repeated ids are separate rows; a NULL id gives a NULL component unless it
     links with others.  An empty table gives an empty result.
     """
-    rows = materialize(vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast("array<double>").alias("_v"))
+    # single-precision input travels as it is; all products are made in double precision
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = materialize(vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).cast(kind).alias("_v"))
                        .withColumn("_rid", F.monotonically_increasing_id()), "vec-rows")
     good = rows.where(F.col("_v").isNotNull() & (F.size("_v") > 0)
                       & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -87,9 +164,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             lists = b.column(2).to_pylist()
             for dim in sorted({len(x) for x in lists}):
                 pick = [i for i, x in enumerate(lists) if len(x) == dim]
-                x = np.array([lists[i] for i in pick], np.float64)
-                x /= np.abs(x).max(axis=1)[:, None]  # keeps the squares finite
-                x /= np.sqrt((x * x).sum(axis=1))[:, None]
+                x = _unit(np.array([lists[i] for i in pick], np.float64))
                 if dim not in planes:
                     rng = np.random.default_rng(seed + dim)
                     planes[dim] = rng.standard_normal((dim, k * tables)), rng.random(k * tables) * width
@@ -99,11 +174,11 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                 for j in range(k):
                     key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, j].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(c[pick]), pa.array(many[pick]), pa.array(list(x), pa.list_(pa.float64())),
+                    pa.array(c[pick]), pa.array(many[pick]), b.column(2).take(pa.array(pick)),
                     pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))], ["c", "n", "v", "keys"])
 
     marked = materialize(classes.select("_c", "_n", "_v").mapInArrow(
-        hashed, "c bigint, n bigint, v array<double>, keys array<bigint>"), "vec-keys")
+        hashed, f"c bigint, n bigint, v {classes.schema['_v'].dataType.simpleString()}, keys array<bigint>"), "vec-keys")
     cells = marked.select("c", F.posexplode("keys").alias("t", "key"))
     sizes = cells.groupBy("t", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     sizes = materialize(sizes, "vec-buckets")
@@ -111,30 +186,33 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     # block i of a bucket meets every block: group (min, max); one block: group (0, 0)
     own = F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")
     member = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    member = member.select("c", "t", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    member = member.join(marked, "c")
-
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, i, j = int(pdf["t"].iat[0]), int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        x, keys = np.stack(pdf["v"]), np.stack(pdf["keys"])
-        c, many, side = pdf["c"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy()
-        a, b = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        links, ends = np.zeros(len(c), np.int64), []
-        for at in range(0, len(a), 512):
-            part = a[at:at + 512]
-            ok = _bucket_links(x[part], keys[part], x[b], keys[b], t, threshold)
-            if i == j:
-                ok[np.arange(len(part)), np.arange(at, at + len(part))] = False
-            links[part] += ok @ many[b]
-            if i != j:
-                links[b] += ok.T @ many[part]
-            one, two = np.nonzero(ok)
-            ends.append((part[one], b[two]))
-        low = _smallest_reached(c, np.concatenate([x for x, _ in ends]), np.concatenate([y for _, y in ends]))
-        some = links > 0
-        return pd.DataFrame({"c": c[some], "links": links[some], "low": low[some]})
-
-    found = materialize(member.groupBy("t", "key", "i", "j").applyInPandas(judge, "c bigint, links bigint, low bigint"), "vec-links")
+    member = (member.select("c", "t", "key", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+              .join(marked, "c").withColumn("keys", F.slice("keys", 1, F.col("t"))))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups (each of at most two blocks of rows), some ten thousand rows at a time."""
+        held, size = [], 0
+
+        def last_start(rows: pa.Table) -> int:
+            cols = [rows.column(name).to_numpy() for name in ("t", "key", "i", "j")]
+            same = np.logical_and.reduce([x == x[-1] for x in cols])
+            return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= 16_384:
+                rows = pa.Table.from_batches(held)
+                cut = last_start(rows)  # the last group may go on in the next batch
+                if cut:
+                    yield from _judge_rows(rows.slice(0, cut).combine_chunks(), threshold)
+                held, size = rows.slice(cut).combine_chunks().to_batches(), rows.num_rows - cut
+        if size:
+            yield from _judge_rows(pa.Table.from_batches(held).combine_chunks(), threshold)
+
+    group = ["t", "key", "i", "j"]
+    found = materialize(member.repartition(*group).sortWithinPartitions(*group)
+                        .mapInArrow(judge, "c bigint, links bigint, low bigint"), "vec-links")
     links = found.groupBy("c").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("c").alias("a"), F.col("low").alias("b")))
     # back to rows: copies of one vector link with each other
