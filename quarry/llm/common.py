@@ -36,6 +36,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_by_key(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialize``, as an external table bucketed and sorted by ``key``: joins on it need no shuffle of ``df``.
+
+    There are as many buckets as shuffle partitions; the table's files lie in the shared checkpoint folder.
+    ``df`` should come partitioned by ``key`` into as many partitions, so that each bucket is one file.
+    """
+    spark = df.sparkSession
+    label = f"{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarry-llm/{label}"
+    table = f"quarry_llm_{label.replace('-', '_')}"
+    (df.write.format("parquet").option("path", path)
+     .bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortBy(key).saveAsTable(table))
+    return spark.table(table)
+
+
 def id_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds`` (NULL id: NULL)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WordHashes, connected_components, materialize, mix64, shingle_sets, text_bytes
+from quarry.llm.common import WordHashes, connected_components, materialize, materialize_by_key, mix64, shingle_sets, text_bytes
 
 _BITS = 1 << 23
 _SEEDS = 16  # cuts of one set; band and cut fill the last ten bits of a token
@@ -158,7 +158,7 @@ def _shared_parts(docs: DataFrame, text_col: str, n: int, percent: int) -> DataF
 
 
 def _sets_for(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
-    """(cls, s) for the wanted classes only; a bitmap of fixed size drops most others before the shuffle."""
+    """(cls, s) for the wanted classes only, bucketed by class; a bitmap of fixed size drops most others before the shuffle."""
     slot = F.col("cls").bitwiseAND(F.lit(_BITS - 1))
     words = (wanted.select(F.shiftright(slot, 5).alias("w"), F.expr("shiftleft(1L, cast(cls & 31 as int))").alias("m"))
              .groupBy("w").agg(F.bit_or("m").alias("m")).toPandas())
@@ -183,16 +183,25 @@ def _sets_for(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "s"])
 
     rows = docs.select(text_bytes(F.col(text_col)).alias("_text")).mapInArrow(work, "cls bigint, s array<bigint>")
-    return rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
+    # the sets move once, into the buckets of the table; every later join on the class finds them there
+    rows = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cls")
+    return materialize_by_key(rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "ngram-sets", "cls")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose sets link."""
-    one = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-    two = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-    # the few right-hand classes first, so that only their sets move twice
-    two = two.join(pairs.select("b").distinct(), "b", "left_semi")
-    both = pairs.join(one, "a").join(two, "b")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Pairs (a, b) of classes whose sets link.
+
+    ``sets`` is bucketed by class, so both look-ups read it in place.  A right-hand class with over
+    ``block`` partners is repeated once for each block of them, so a large family is many tasks' work.
+    """
+    large = (pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).where("blocks > 1"))
+    pairs = pairs.join(large, "b", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    one = (pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("blocks")))
+           .join(sets.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a"))
+    two = (pairs.select("b", "blocks").distinct()
+           .join(sets.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+           .select("b", "sb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt")))
+    both = one.join(two, ["b", "salt"])
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
     return both.where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
@@ -274,7 +283,7 @@ def class_components(docs: DataFrame, text_col: str, n: int, percent: int, sizes
     # the original of a family shares every token with some copy: it scores highest and leads
     wanted = shared.groupBy("cls").agg(F.sum(F.col("held") - 1).alias("score"))
     wanted = materialize(wanted.join(sizes, "cls").select("cls", "n", "score"), "ngram-wanted")
-    sets = materialize(_sets_for(docs, text_col, n, wanted.select("cls")), "ngram-sets")
+    sets = _sets_for(docs, text_col, n, wanted.select("cls"))
 
     # groups: each class with the leader it shares most tokens with
     held = shared.join(wanted, "cls")
