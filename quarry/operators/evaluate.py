@@ -8,13 +8,11 @@ offsets, so no single task sees all scores.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.windows import deciles, sorted_with_ids
+from quarry.operators.windows import deciles, prefix_sums
 
 
 def confusion(df: DataFrame, y: str, pred: str, positive=1) -> DataFrame:
@@ -43,8 +41,9 @@ def multiclass_summary(df: DataFrame, y: str, pred: str) -> DataFrame:
     pe = rows.join(cols, "_k").agg(F.sum(F.col("_r") * F.col("_c")).alias("_s")) \
         .withColumn("_n", total.select("_n").scalar()) \
         .select((F.col("_s") / (F.col("_n") * F.col("_n"))).alias("_pe"))
-    return total.select((F.col("_hit") / F.col("_n")).alias("accuracy"), pe.scalar().alias("_pe")) \
-        .select("accuracy", ((F.col("accuracy") - F.col("_pe")) / (1 - F.col("_pe"))).alias("kappa"))
+    pe = pe.withColumn("_pe", F.coalesce("_pe", F.lit(0.0)))  # no class on both sides
+    return total.select(F.try_divide("_hit", "_n").alias("accuracy"), pe.scalar().alias("_pe")) \
+        .select("accuracy", F.try_divide(F.col("accuracy") - F.col("_pe"), 1 - F.col("_pe")).alias("kappa"))
 
 
 def cutoff_sweep(df: DataFrame, y: str, p: str, lo: float = 0.01, hi: float = 0.99, n: int = 100,
@@ -84,26 +83,6 @@ def cutoff_sweep(df: DataFrame, y: str, p: str, lo: float = 0.01, hi: float = 0.
     return out.withColumn("balanced", F.abs(F.col("sensitivity") - F.col("specificity")) < tol)
 
 
-def prefix_sums(df: DataFrame, order: Sequence[Column], cols: Sequence[str], prefix: str = "cum_") -> DataFrame:
-    """Running totals of ``cols`` in ``order`` over the whole table, distributed.
-
-    Range partitioning + sort; per-partition totals (one row per
-    partition) become offsets; the running sum inside each partition is a
-    window over that partition only.  ``order`` must be total.
-    """
-    ordered = sorted_with_ids(df, order)
-    ordered = ordered.withColumn("_part", F.shiftright("_mid", 33))
-    part_tot = ordered.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wo = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part_tot.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
-                                         for c in cols])
-    wi = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ordered.join(F.broadcast(offsets), "_part")
-    for c in cols:
-        out = out.withColumn(prefix + c, F.col(f"_o_{c}") + F.sum(c).over(wi))
-    return out.drop("_mid", "_part", *[f"_o_{c}" for c in cols])
-
-
 def roc(df: DataFrame, y: str, p: str, positive=1) -> DataFrame:
     """TPR and FPR at every distinct score (as the cut-off ``p >= s``).
 

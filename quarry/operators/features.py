@@ -1,8 +1,8 @@
 """Feature preparation.
 
 Splits are exact and repeatable: rows are ordered by ``md5(seed || id)``
-and cut by rank, not sampled.  Ranks over a whole table use the
-distributed :func:`~quarry.operators.windows.global_row_number`.
+and cut at a rank, not sampled.  The hash at that rank is found from counts
+per hash prefix, so the rows are never sorted.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from quarry.operators.windows import global_row_number
+from pyspark.sql.window import Window
 
 
 def _hash(seed, id_col: str) -> Column:
-    return F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string")))
+    # a missing id sorts first, as one id
+    return F.coalesce(F.md5(F.concat(F.lit(str(seed)), F.col(id_col).cast("string"))), F.lit("-" * 32))
 
 
 def binary_encode(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -68,28 +68,68 @@ def zscore(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) ->
     return out
 
 
+_DIGITS = 4  # hash digits per refinement: 16**4 counters a class
+
+
+def _hash_cuts(df: DataFrame, id_col: str, seed, share, keys: Sequence[str]) -> DataFrame:
+    """Per class (``keys``), the largest hash that is still ``train``: columns ``_k<i>``, ``_cut``.
+
+    Counts per leading hash digits say in which bucket the wanted count
+    ``share(n)`` is reached; the bucket's rows are counted by their next
+    digits, and only what shares eight digits is ranked by its whole hash.  A
+    count table has at most 16**4 rows a class.  Classes without training rows
+    have no row.
+    """
+    named = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(k).alias(a) for k, a in zip(keys, named)], _hash(seed, id_col).alias("_h"))
+    w = Window.partitionBy(*named)
+
+    def reached(counts: DataFrame, bucket: str) -> DataFrame:
+        cum = counts.withColumn("_cum", F.sum("_n").over(w.orderBy(bucket).rowsBetween(Window.unboundedPreceding, 0)))
+        return cum.withColumn("_before", F.col("_cum") - F.col("_n"))
+
+    def inside(cuts: DataFrame, digits: int) -> DataFrame:
+        c = cuts.select(*[F.col(a).alias("c" + a) for a in named], F.col("_b").alias("_p"), F.col("_want"))
+        on = F.substring("_h", 1, digits) == c["_p"]
+        for a in named:
+            on = on & rows[a].eqNullSafe(c["c" + a])
+        return rows.join(c, on).select(*named, "_h", "_p", "_want")
+
+    first = reached(rows.groupBy(*named, F.substring("_h", 1, _DIGITS).alias("_b")).agg(F.count(F.lit(1)).alias("_n")), "_b")
+    first = first.withColumn("_k", share(F.sum("_n").over(w)).cast("long"))
+    first = first.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_cum"))) \
+        .select(*named, "_b", (F.col("_k") - F.col("_before")).alias("_want"))
+    counts = inside(first, _DIGITS).groupBy(*named, "_want", F.substring("_h", 1, 2 * _DIGITS).alias("_b")) \
+        .agg(F.count(F.lit(1)).alias("_n"))
+    second = reached(counts, "_b").where((F.col("_before") < F.col("_want")) & (F.col("_want") <= F.col("_cum"))) \
+        .select(*named, "_b", (F.col("_want") - F.col("_before")).alias("_want"))
+    counts = inside(second, 2 * _DIGITS).groupBy(*named, "_p", "_want", "_h").agg(F.count(F.lit(1)).alias("_n"))
+    # without a whole id below the cut, the bare prefix sorts before all hashes that begin with it
+    return reached(counts, "_h").groupBy(*named, "_p").agg(
+        F.max(F.when(F.col("_cum") <= F.col("_want"), F.col("_h"))).alias("_m")) \
+        .select(*named, F.coalesce("_m", "_p").alias("_cut"))
+
+
 def random_split(df: DataFrame, p: float, id_col: str, seed=42, name: str = "split") -> DataFrame:
-    """Exactly ``floor(p * n)`` rows marked ``train``, the rest ``test``, by seeded hash order."""
+    """``floor(p * n)`` rows marked ``train``, the rest ``test``, by seeded hash order.
+
+    Exact for distinct ids; rows of one id stay on one side, so an id across
+    the cut leaves ``train`` short.  The rows are compared with one looked-up
+    hash: no sort or shuffle of the table.
+    """
+    cut = _hash_cuts(df, id_col, seed, lambda n: F.floor(n * F.lit(p)), ()).select("_cut")
     h = _hash(seed, id_col)
-    ranked = global_row_number(df.withColumn("_h", h), [F.asc("_h"), F.asc(id_col)], "_rn")
-    n = df.agg(F.count(F.lit(1))).scalar()
-    return ranked.withColumn(name, F.when(F.col("_rn") <= F.floor(n * F.lit(p)), "train")
-                             .otherwise("test")).drop("_h", "_rn")
+    return df.withColumn(name, F.when(h <= cut.scalar(), "train").otherwise("test"))
 
 
 def stratified_split(df: DataFrame, label: str, p: float, id_col: str, seed=42,
                      name: str = "split") -> DataFrame:
-    """Per class, exactly ``round(p * n_class)`` rows go to ``train``.
+    """Per class (a missing label is one), ``round(p * n_class)`` rows go to ``train``.
 
-    One distributed sort by (label, hash) gives global row numbers; each
-    class's first row number and size (one row per class) turn them into
-    ranks within the class.  No window holds a whole class in one task.
+    Exact for distinct ids; rows of one id stay together.  One looked-up hash
+    per class is joined to the rows, so no window or sort holds a class.
     """
-    h = _hash(seed, id_col)
-    ranked = global_row_number(df.withColumn("_h", h), [F.asc(label), F.asc("_h"), F.asc(id_col)], "_rn")
-    stats = ranked.groupBy(label).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_nc"))
-    stats = stats.withColumnRenamed(label, "_label")  # null-safe: rows without a label are a class too
-    j = ranked.join(stats, ranked[label].eqNullSafe(stats["_label"])).drop("_label")
-    within = F.col("_rn") - F.col("_first") + 1
-    return j.withColumn(name, F.when(within <= F.round(F.col("_nc") * F.lit(p)), "train")
-                        .otherwise("test")).drop("_h", "_rn", "_first", "_nc")
+    cuts = _hash_cuts(df, id_col, seed, lambda n: F.round(n * F.lit(p)), (label,))
+    j = df.join(cuts, df[label].eqNullSafe(cuts["_k0"]), "left")
+    return j.select(*[df[c] for c in df.columns],
+                    F.when(_hash(seed, id_col) <= F.col("_cut"), "train").otherwise("test").alias(name))

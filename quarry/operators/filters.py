@@ -23,18 +23,15 @@ def cap_at_quantile(df: DataFrame, col: str, p: float | None = None, cutoff: flo
                     method: str = "sort", accuracy: int = 1_000_000) -> DataFrame:
     """Keep rows at or under the ``p`` quantile of ``col`` (or a literal cut-off).
 
-    The cut-off is a scalar subquery computed once.  ``sort``: exact type-7
-    quantile by a distributed sort (any number of distinct values);
-    ``exact``: Spark ``percentile`` (one count per distinct value, for coded
-    columns); ``approx``: the bounded-memory sketch.
+    The cut-off is a scalar subquery computed once.  ``sort`` or ``exact``:
+    type-7 quantile from counts per value and distributed prefix sums (any
+    number of distinct values); ``approx``: the bounded-memory sketch.
     """
     if cutoff is not None:
         return df.where(F.col(col) <= F.lit(cutoff))
-    if method == "sort":
+    if method in ("sort", "exact"):
         from quarry.operators.aggregate import quantiles_sorted
         q = quantiles_sorted(df, col, [p]).select("value").scalar()
-    elif method == "exact":
-        q = df.agg(F.percentile(F.col(col), F.lit(p))).scalar()
     else:
         q = df.agg(F.percentile_approx(col, p, accuracy)).scalar()
     return df.where(F.col(col) <= q)

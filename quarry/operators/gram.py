@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +71,46 @@ def gram(df: DataFrame, x: Sequence[str], y: str | None = None, by: Sequence[str
     return base.groupBy(*by).agg(*aggs)
 
 
+WIDE = 12  # predictors from which one matrix product per Arrow batch beats p²/2 sum expressions
+
+
+def gram_matrix(df: DataFrame, x: Sequence[str], y: str | None = None, center: dict[str, float] | None = None):
+    """XᵀX, Xᵀy, yᵀy, n of the complete cases as numpy, with an intercept.
+
+    Few predictors: the aggregate of :func:`gram`.  Many: each task multiplies
+    its Arrow batches and emits one triangle of sums, added up per cell, so
+    neither the plan nor the generated code grows with p².
+    """
+    p = len(x) + 1
+    if len(x) < WIDE:
+        return unpack(gram(df, x, y, center=center).first().asDict(), p, with_y=y is not None)
+    used = list(x) + ([y] if y else [])
+    base = df
+    for c in used:
+        base = base.where(F.col(c).isNotNull())
+    base = base.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(used)])
+    shift = np.array([float((center or {}).get(c, 0.0)) for c in used])
+    rows, cols = np.triu_indices(len(used) + 1)
+
+    def products(batches):
+        total = np.zeros((len(shift) + 1, len(shift) + 1))
+        for batch in batches:
+            m = np.ones((batch.num_rows, len(shift) + 1))
+            for i in range(len(shift)):
+                m[:, i + 1] = batch.column(i).to_numpy(zero_copy_only=False) - shift[i]
+            total += m.T @ m
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array(total[rows, cols])],
+                                         names=["i", "j", "v"])
+
+    full = np.zeros((len(used) + 1, len(used) + 1))
+    for r in base.mapInArrow(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        full[r.i, r.j] = full[r.j, r.i] = r.v
+    n = int(full[0, 0])
+    if y is None:
+        return full, None, None, n
+    return full[:p, :p], full[:p, p], float(full[p, p]), n
+
+
 def unpack(row, p: int, with_y: bool = True):
     """Gram row (mapping) -> (XtX, Xty, yty, n) as numpy."""
     xtx = np.zeros((p, p))

@@ -12,20 +12,19 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from quarry.operators import evaluate as E
 from quarry.operators import gram as G
 
 _COEF_SCHEMA = ("term string, estimate double, std_error double, t_value double, p_value double, "
@@ -54,9 +53,8 @@ def ols(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
     """Linear model: estimate, std error, t, p per term, plus R² and adjusted R²."""
     spark = df.sparkSession
     means = G.column_means(df, [*x, y])
-    g = G.gram(df, x, y, center=means).first().asDict()
     names = G._names(x, True)
-    xtx, xty, yty, n = G.unpack(g, len(names))
+    xtx, xty, yty, n = G.gram_matrix(df, x, y, center=means)
     shift = ([means[c] for c in x], means[y])
     return spark.createDataFrame(G.ols_table(xtx, xty, yty, n, names, shift), _COEF_SCHEMA)
 
@@ -93,8 +91,7 @@ def ols_by(df: DataFrame, y: str, x: Sequence[str], by: Sequence[str]) -> DataFr
 def vif(df: DataFrame, x: Sequence[str]) -> DataFrame:
     """Variance inflation factor per predictor, largest first (one Gram pass)."""
     spark = df.sparkSession
-    g = G.gram(df, x, None, center=G.column_means(df, x)).first().asDict()
-    xtx, _, _, n = G.unpack(g, len(x) + 1, with_y=False)
+    xtx, _, _, n = G.gram_matrix(df, x, None, center=G.column_means(df, x))
     v = G.vif_from_gram(xtx, n)
     pdf = pd.DataFrame({"term": list(x), "vif": v}).sort_values("vif", ascending=False)
     return spark.createDataFrame(pdf, "term string, vif double")
@@ -116,9 +113,8 @@ def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian")
     spark = df.sparkSession
     x = list(x)
     if family == "gaussian":
-        g = G.gram(df, x, y, center=G.column_means(df, [*x, y])).first().asDict()
         names = G._names(x, True)
-        xtx, xty, yty, n = G.unpack(g, len(names))
+        xtx, xty, yty, n = G.gram_matrix(df, x, y, center=G.column_means(df, [*x, y]))
 
         def score(terms):
             idx = [0] + [names.index(t) for t in terms]
@@ -192,9 +188,8 @@ def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "g
     spark = df.sparkSession
     x = list(x)
     cols = [*x, y] if family == "gaussian" else list(x)
-    g = G.gram(df, x, y if family == "gaussian" else None, center=G.column_means(df, cols)).first().asDict()
     names = G._names(x, True)
-    xtx, xty, yty, n = G.unpack(g, len(names), with_y=family == "gaussian")
+    xtx, xty, yty, n = G.gram_matrix(df, x, y if family == "gaussian" else None, center=G.column_means(df, cols))
     data = None if family == "gaussian" else _complete(df, [y, *x]).persist()
     current = list(x)
     path = [(0, None, "start", None, None, ",".join(current))]
@@ -287,20 +282,33 @@ def rff(df: DataFrame, array_col: str, dim: int, sigma: float, seed: int = 7,
     return df.withColumn(out, project(F.col(array_col)))
 
 
-def grid_cv(df: DataFrame, label: str, features: str, reg_params: Sequence[float],
-            max_iters: Sequence[int], folds: int = 3, parallelism: int = 6, seed: int = 42) -> DataFrame:
-    """k-fold cross-validated grid search of a one-vs-rest linear SVM, by accuracy.
+def grid_cv(df: DataFrame, label: str, array_col: str, id_col: str, sigmas: Sequence[float], costs: Sequence[float],
+            dim: int = 128, folds: int = 3, max_iter: int = 50, seed: int = 42, parallelism: int = 4) -> DataFrame:
+    """k-fold grid over kernel width and cost of the RBF classifier (:func:`rff` and one-vs-rest linear SVM).
 
-    Returns one row per grid point: (reg_param, max_iter, accuracy).
+    Folds come from a hash of the id.  A cost C is the penalty weight on the
+    summed hinge loss, which is ``regParam = 1 / (C n)`` in Spark's mean form.
+    Returns one row per grid point, means over the folds: (sigma, cost,
+    accuracy, kappa).  Random features have no fitted part, so one projection
+    per width serves all folds.
     """
-    svc = LinearSVC()
-    ovr = OneVsRest(classifier=svc, labelCol=label, featuresCol=features, parallelism=4)
-    grid = ParamGridBuilder().addGrid(svc.regParam, list(reg_params)).addGrid(svc.maxIter, list(max_iters)).build()
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    cv = CrossValidator(estimator=Pipeline(stages=[ovr]), estimatorParamMaps=grid, evaluator=ev,
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    model = cv.fit(df)
-    rows = [(float(pm[svc.regParam]), int(pm[svc.maxIter]), float(m))
-            for pm, m in zip(grid, model.avgMetrics)]
+    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(folds)).alias("_fold")
+    base = df.where(F.col(label).isNotNull() & F.col(array_col).isNotNull()) \
+        .select(F.col(label).cast("double").alias("_y"), F.col(array_col).alias("_a"), fold)
+    widths = {s: to_vector(rff(base, "_a", dim, s, seed), "rff").select("_y", "_fold", "features").checkpoint(eager=True)
+              for s in sigmas}
+
+    def point(task: tuple) -> tuple:
+        sigma, cost, k = task
+        data = widths[sigma]
+        train = data.where(F.col("_fold") != k)
+        reg = 1.0 / (cost * max(train.count(), 1))
+        scored = svm_multi(train, "_y", reg=reg, max_iter=max_iter).transform(data.where(F.col("_fold") == k))
+        got = E.multiclass_summary(scored, "_y", "prediction").first()
+        return float(sigma), float(cost), got.accuracy, got.kappa
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        rows = list(pool.map(point, itertools.product(sigmas, costs, range(folds))))
     spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, "reg_param double, max_iter int, accuracy double")
+    return spark.createDataFrame(rows, "sigma double, cost double, accuracy double, kappa double") \
+        .groupBy("sigma", "cost").agg(F.avg("accuracy").alias("accuracy"), F.avg("kappa").alias("kappa"))

@@ -7,9 +7,11 @@ Scale notes
   to ``n`` rows per map task before it moves.  :func:`top_n_per_group`
   keeps that shape.
 * A window with no ``partitionBy`` runs in one task.  The only such
-  windows here run on already aggregated, bounded tables (deciles, a few
-  bins).  Row numbers over a whole table use :func:`global_row_number`,
-  which is a distributed sort plus per-partition offsets.
+  windows here run on already aggregated, bounded tables (a few bins).
+  Ranks come from counts per value and :func:`prefix_sums`; buckets and
+  splits compare rows with looked-up cut points.  Row numbers for every row
+  of a table use :func:`global_row_number`, a distributed sort plus
+  per-partition offsets.
 """
 
 from __future__ import annotations
@@ -106,6 +108,26 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn")
     return out.withColumn(name, F.col("_off") + F.col("_pos") + 1).drop("_mid", "_part", "_pos", "_off")
 
 
+def prefix_sums(df: DataFrame, order: Sequence[Column], cols: Sequence[str], prefix: str = "cum_") -> DataFrame:
+    """Running totals of ``cols`` in ``order`` over the whole table, distributed.
+
+    Range partitioning + sort; per-partition totals (one row per
+    partition) become offsets; the running sum inside each partition is a
+    window over that partition only.  ``order`` must be total.
+    """
+    ordered = sorted_with_ids(df, order)
+    ordered = ordered.withColumn("_part", F.shiftright("_mid", 33))
+    part_tot = ordered.groupBy("_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    wo = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part_tot.select("_part", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}")
+                                         for c in cols])
+    wi = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ordered.join(F.broadcast(offsets), "_part")
+    for c in cols:
+        out = out.withColumn(prefix + c, F.col(f"_o_{c}") + F.sum(c).over(wi))
+    return out.drop("_mid", "_part", *[f"_o_{c}" for c in cols])
+
+
 def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
     """SQL ``ntile(k)`` bucket of 1-based row ``rn`` among ``total`` rows (larger buckets first)."""
     q = F.floor(total / k)
@@ -116,12 +138,69 @@ def ntile_from_rank(rn: Column, total: Column, k: int) -> Column:
 
 
 def deciles(df: DataFrame, score: str, id_col: str, n: int = 10, name: str = "bucket") -> DataFrame:
-    """``ntile(n)`` by descending score (id breaks ties), computed without a one-task window."""
-    ranked = global_row_number(df, [F.desc(score), F.asc(id_col)], "_rn")
-    # the total is attached once as a column: a scalar referenced several times
-    # inside one expression would be planned as several subqueries
-    ranked = ranked.withColumn("_total", df.agg(F.count(F.lit(1)).alias("_t")).scalar())
-    return ranked.withColumn(name, ntile_from_rank(F.col("_rn"), F.col("_total"), n)).drop("_rn", "_total")
+    """``ntile(n)`` by descending score (NULL last), ties by ascending id (NULL first).
+
+    The last (score, id) of each bucket is looked up first (:func:`rank_cuts`,
+    jobs on narrow aggregates, run while the plan is built); the bucket is then
+    a comparison with at most ``n - 1`` literals, so the rows themselves are
+    neither sorted nor written.  Rows equal in score and id share a bucket.
+    """
+    x, i = F.col(score), F.col(id_col)
+    bucket = F.lit(1)
+    for last_score, whole, last_id in rank_cuts(df, score, id_col, n):
+        if last_score is None:
+            tied, below = x.isNull(), F.lit(False)
+        else:
+            tied, below = x == F.lit(last_score), x.isNull() | (x < F.lit(last_score))
+        if whole:
+            after = below
+        else:
+            after = below | (tied & (i.isNotNull() if last_id is None else i > F.lit(last_id)))
+        bucket = bucket + F.when(after, 1).otherwise(0)
+    return df.withColumn(name, bucket.cast("int"))
+
+
+def rank_cuts(df: DataFrame, score: str, id_col: str, n: int) -> list[tuple]:
+    """Last row of each of the first ``n - 1`` ntile buckets: (score, all of that score?, id).
+
+    Counts per score are ranked by distributed prefix sums; only rows of the
+    scores that a bucket end falls into are ranked by id.  The driver sees one
+    row per bucket end.
+    """
+    per = prefix_sums(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), [F.desc_nulls_last(score)], ["_n"], "_cum")
+    total = per.agg(F.sum("_n")).first()[0] or 0
+    q, rem = divmod(total, n)
+    ends = sorted({b * q + min(b, rem) for b in range(1, n)} - {0, total})
+    if not ends:
+        return []
+
+    def covering(ranked: DataFrame, ranks: Sequence[int]) -> list:
+        hit = F.lit(False)
+        for r in ranks:
+            hit = hit | ((F.col("_cum_n") >= r) & (F.col("_cum_n") - F.col("_n") < r))
+        return sorted(ranked.where(hit).collect(), key=lambda row: row["_cum_n"])
+
+    at = {}
+    split_scores, before = [], 0  # scores cut in the middle, and the rows of such scores so far
+    for row in covering(per, ends):
+        inside = [r for r in ends if row["_cum_n"] - row["_n"] < r <= row["_cum_n"]]
+        middle = [r for r in inside if r < row["_cum_n"]]
+        at.update({r: (row[score], True, None) for r in inside if r == row["_cum_n"]})
+        if middle:
+            start = row["_cum_n"] - row["_n"]
+            split_scores.append((row[score], {r: before + r - start for r in middle}))
+            before += row["_n"]
+    if split_scores:
+        wanted = F.lit(False)
+        for s, _ in split_scores:
+            wanted = wanted | F.col(score).eqNullSafe(F.lit(s))
+        by_id = df.where(wanted).groupBy(score, id_col).agg(F.count(F.lit(1)).alias("_n"))
+        by_id = prefix_sums(by_id, [F.desc_nulls_last(score), F.asc(id_col)], ["_n"], "_cum")
+        ranks = {g: r for _, m in split_scores for r, g in m.items()}
+        for row in covering(by_id, sorted(ranks)):
+            at.update({r: (row[score], False, row[id_col]) for g, r in ranks.items()
+                       if row["_cum_n"] - row["_n"] < g <= row["_cum_n"]})
+    return [at[r] for r in ends]
 
 
 def cumulative(df: DataFrame, order: Sequence[ColumnOrName], col: str, name: str | None = None,

@@ -108,6 +108,5 @@ def ml_rff_svm(spark, sf_dir):
 
 @query("ml_grid_cv", section="2.12")
 def ml_grid_cv(spark, sf_dir):
-    d = M.to_vector(M.rff(_digits(spark, sf_dir), "embedding", dim=128, sigma=1.0, seed=7), "rff")
-    train = d.where("split = 'train'").select("label", "features").checkpoint(eager=True)
-    return M.grid_cv(train, "label", "features", [0.01, 0.1], [10, 25], folds=3, parallelism=6)
+    train = _digits(spark, sf_dir).where("split = 'train'")
+    return M.grid_cv(train, "label", "embedding", "vec_id", sigmas=[0.5, 1.0], costs=[0.1, 1.0], folds=3)

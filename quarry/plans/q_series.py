@@ -95,45 +95,43 @@ def ts_mape(spark, sf_dir):
     return TS.mape(s, KEY, "sales", "yhat").withColumn("mape", F.round("mape", 4))
 
 
-def _seasonal(spark, sf_dir):
-    s = _with_holdout(spark, sf_dir)
-    fitted, _ = TS.seasonal_fit(s, KEY, "t", "sales", train=F.col("part") == "train")
+def _seasonal(held):
+    fitted, _ = TS.seasonal_fit(held, KEY, "t", "sales", train=F.col("part") == "train")
     return fitted
 
 
 @query("ts_seasonal_fit", section="2.13")
 def ts_seasonal_fit(spark, sf_dir):
-    return _seasonal(spark, sf_dir).select(*KEY, "t", "part", "sales", "fit")
+    return _seasonal(_with_holdout(spark, sf_dir)).select(*KEY, "t", "part", "sales", "fit")
 
 
 @query("ts_residual", section="2.13")
 def ts_residual(spark, sf_dir):
-    f = _seasonal(spark, sf_dir).where(F.col("part") == "train")
+    f = _seasonal(_with_holdout(spark, sf_dir)).where(F.col("part") == "train")
     return TS.residual(f, "sales", "fit").select(*KEY, "t", "resid")
 
 
-def _ar(spark, sf_dir):
-    train = _with_holdout(spark, sf_dir).where(F.col("part") == "train")
+def _ar(held):
+    train = held.where(F.col("part") == "train")
     fits = TS.ar_fit(train, KEY, "t", "sales", max_p=3, max_d=1)
     return train, fits
 
 
 @query("ts_ar_fit", section="2.13")
 def ts_ar_fit(spark, sf_dir):
-    _, fits = _ar(spark, sf_dir)
+    _, fits = _ar(_with_holdout(spark, sf_dir))
     return fits
 
 
-def _ar_test(spark, sf_dir):
-    train, fits = _ar(spark, sf_dir)
+def _ar_test(held):
+    train, fits = _ar(held)
     fc = TS.ar_forecast(train, fits, KEY, "t", "sales", H)
-    test = _with_holdout(spark, sf_dir).where(F.col("part") == "test").select(*KEY, "t", "sales")
-    return fc.join(test, [*KEY, "t"], "left")
+    return fc.join(held.where(F.col("part") == "test").select(*KEY, "t", "sales"), [*KEY, "t"], "left")
 
 
 @query("ts_forecast", section="2.13")
 def ts_forecast(spark, sf_dir):
-    return _ar_test(spark, sf_dir).select(*KEY, "t", "forecast", "sales")
+    return _ar_test(_with_holdout(spark, sf_dir)).select(*KEY, "t", "forecast", "sales")
 
 
 @query("ts_adf", section="2.13")
@@ -143,7 +141,8 @@ def ts_adf(spark, sf_dir):
 
 @query("ts_model_pick", section="2.13")
 def ts_model_pick(spark, sf_dir):
-    reg = _seasonal(spark, sf_dir).where(F.col("part") == "test")
+    held = _with_holdout(spark, sf_dir)  # built once for both methods
+    reg = _seasonal(held).where(F.col("part") == "test")
     m_reg = TS.mape(reg, KEY, "sales", "fit").withColumn("method", F.lit("regression"))
-    m_ar = TS.mape(_ar_test(spark, sf_dir), KEY, "sales", "forecast").withColumn("method", F.lit("ar"))
+    m_ar = TS.mape(_ar_test(held), KEY, "sales", "forecast").withColumn("method", F.lit("ar"))
     return TS.pick_model(m_reg.unionByName(m_ar), KEY)

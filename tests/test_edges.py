@@ -97,3 +97,50 @@ print("rows", e.queries()["ml_ols_by_group"](s, "{SF_SMALL}").count())
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240,
                          env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert "rows 12" in out.stdout, out.stderr[-800:]
+
+
+def test_deciles_ties_nulls_and_small_tables(spark):
+    from quarry.operators import windows as W
+    rows = [(i, None if i % 7 == 0 else (2.0 if i % 3 else float(i % 5))) for i in range(97)]
+    for n_rows in (97, 7, 1, 0):
+        df = spark.createDataFrame(rows[:n_rows], "id int, s double")
+        got = {r.id: r.b for r in W.deciles(df, "s", "id", 10, "b").collect()}
+        order = sorted(rows[:n_rows], key=lambda r: (r[1] is None, -(r[1] or 0.0), r[0]))
+        q, rem = divmod(n_rows, 10)
+        sizes = [q + (b < rem) for b in range(10)]
+        want = [b + 1 for b, size in enumerate(sizes) for _ in range(size)]
+        assert got == {r[0]: b for r, b in zip(order, want)}
+
+
+def test_splits_with_null_and_repeated_ids(spark):
+    ids = [None] * 30 + [5] * 30 + list(range(100, 140))
+    df = spark.createDataFrame([(i, "a" if j % 2 else None) for j, i in enumerate(ids)], "id int, g string")
+    for out in (FT.random_split(df, 0.5, "id"), FT.stratified_split(df, "g", 0.5, "id")):
+        rows = out.collect()
+        assert len(rows) == 100
+        sides = {}
+        for r in rows:
+            sides.setdefault((r.g, r.id), set()).add(r.split)
+        assert all(len(s) == 1 for s in sides.values())
+    train = FT.random_split(df, 0.5, "id").where("split = 'train'").count()
+    assert train <= 50
+    assert FT.random_split(df.limit(0), 0.5, "id").count() == 0
+    assert FT.random_split(df, 0.0, "id").where("split = 'train'").count() == 0
+    assert FT.random_split(df, 1.0, "id").where("split = 'test'").count() == 0
+
+
+def test_hinges_mad_and_hot_value(spark):
+    import numpy as np
+    xs = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 100.0, 101.0]
+    df = spark.createDataFrame([(v,) for v in xs], "x double")
+    r = A.box_stats(df, "x", method="hinges").first()
+    assert (r.q1, r.median, r.q3) == (4.0, 16.0, 64.0)
+    d = A.describe_numeric(df, ["x"]).first()
+    assert abs(d.mad - 1.4826 * np.median(np.abs(np.array(xs) - np.median(xs)))) < 1e-9
+    assert abs(d.sd - np.std(xs, ddof=1)) < 1e-9
+    hot = spark.createDataFrame([(3.0,)] * 900 + [(float(i),) for i in range(100)] + [(None,)] * 5, "x double")
+    got = {round(r.pct, 2): r.value for r in A.percentile_table(hot, ["x"], 0.25).collect()}
+    v = np.array([3.0] * 900 + list(range(100)))
+    assert got == {p: float(np.quantile(v, p)) for p in (0, 0.25, 0.5, 0.75, 1.0)}
+    one = A.describe_numeric(spark.createDataFrame([(2.0, None)], "x double, y double"), ["x", "y"]).collect()
+    assert {r.column: (r.n, r.nulls, r.sd, r.mad) for r in one} == {"x": (1, 0, None, 0.0), "y": (0, 1, None, None)}

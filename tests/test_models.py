@@ -159,3 +159,30 @@ def test_ar_intercept_mapped_back(spark):
     fc = TS.ar_forecast(df, TS.ar_fit(df, ["k"], "t", "x", 2, 1), ["k"], "t", "x", 1).first()
     expect = b[0] + sum(b[j] * x[-j] for j in range(1, fit.p + 1))
     assert fc.forecast == pytest.approx(expect, rel=1e-9)
+
+
+def test_wide_gram_matches_the_aggregate(spark):
+    from quarry.operators import gram as G
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 14)) + 1000
+    cols = [f"v{i}" for i in range(14)]
+    df = spark.createDataFrame([(*map(float, r),) for r in m] + [(None,) * 14], ", ".join(f"{c} double" for c in cols))
+    center = G.column_means(df, cols)
+    wide = G.gram_matrix(df, cols[:13], cols[13], center)
+    flat = G.unpack(G.gram(df, cols[:13], cols[13], center=center).first().asDict(), 14)
+    assert wide[3] == flat[3] == 400
+    for a, b in zip(wide[:3], flat[:3]):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-6)
+
+
+def test_grid_over_width_and_cost_on_rings(spark):
+    from quarry.operators import models as M
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        r, a = (1.0 if i % 2 else 3.0) + rng.normal() * 0.1, rng.uniform(0, 6.28)
+        rows.append((i, i % 2, [float(r * np.cos(a)), float(r * np.sin(a))]))
+    df = spark.createDataFrame(rows, "id int, y int, v array<double>")
+    got = {r.sigma: r for r in M.grid_cv(df, "y", "v", "id", [1.0, 1000.0], [1.0], dim=64, folds=2, max_iter=20).collect()}
+    assert got[1.0].accuracy > 0.95 and got[1.0].kappa > 0.9  # rings need the kernel
+    assert got[1000.0].accuracy < 0.8  # far too wide: nearly constant features
