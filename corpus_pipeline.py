@@ -20,12 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows cut out; ``n_chars`` follows the text."""
-    out = line_dedup.dedup_lines(docs, lines_col="__lines_had", removed_col="__lines_cut")
+    """Later occurrences of repeated passages cut out; ``n_chars`` follows the text; a text that loses all is dropped."""
+    out = line_dedup.dedup_passages(docs, units_col="__units_had", removed_col="__units_cut")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__lines_cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__units_cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.where((F.col("__units_cut") < F.col("__units_had")) | (F.col("__units_cut") == 0)).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,13 +8,36 @@ only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.common import materialize
 
 SPAN = 3
+SENTENCE_END = r"(?<=\n)|(?<=[.!?\u2026][ \t])|(?<=[\u3002\uff01\uff1f])"
+LONG_UNIT = 100    # characters from which a unit is cut further
+WORDS_A_CUT = 4    # one word in so many ends a piece of a long unit
+MAX_WORDS = 16     # a longer piece (one word over and over) is cut into blocks of so many
+BLANK = " \t\r\n"
+
+
+def _later_runs(windows: DataFrame, name: str) -> DataFrame:
+    """Sorted ``runs`` (s, e) of the windows (``_id``, ``_th``, ``_i``, ``_h1``, ``_h2``) that are not the first of their hash."""
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_th").alias("th"),
+                     F.col("_i").alias("i"))
+    # counted map-side first, so a window in a third of all documents is a few partial rows
+    firsts = materialize(windows.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+                         .where(F.col("_first") != F.col("_last")).drop("_last"), name)
+    later = (windows.join(firsts, ["_h1", "_h2"]).where(place != F.col("_first"))
+             .select("_id", "_th", "_i").distinct())
+    # merge: a start within the lines that earlier starts cover (or next to them) stays in the run
+    w = Window.partitionBy("_id", "_th").orderBy("_i")
+    fresh = F.when(F.col("_i") > F.lag("_i").over(w) + SPAN, 1).otherwise(0)
+    runs = (later.withColumn("_new", fresh)
+            .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("_id", "_th", "_run").agg(F.min("_i").alias("s"), (F.max("_i") + SPAN - 1).alias("e")))
+    return runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40) -> DataFrame:
@@ -31,20 +54,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows = (numbered.where(sum((F.length(c) for c in cells), F.lit(0)) >= min_chars)
                .select("_id", "_th", F.col("pos").alias("_i"),
                        F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit(7), *reversed(cells)).alias("_h2")))
-    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_th").alias("th"),
-                     F.col("_i").alias("i"))
-    # counted map-side first, so a window in a third of all documents is a few partial rows
-    firsts = materialize(windows.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-                         .where(F.col("_first") != F.col("_last")).drop("_last"), "lines-first")
-    later = (windows.join(firsts, ["_h1", "_h2"]).where(place != F.col("_first"))
-             .select("_id", "_th", "_i").distinct())
-    # merge: a start within the lines that earlier starts cover (or next to them) stays in the run
-    w = Window.partitionBy("_id", "_th").orderBy("_i")
-    fresh = F.when(F.col("_i") > F.lag("_i").over(w) + SPAN, 1).otherwise(0)
-    runs = (later.withColumn("_new", fresh)
-            .withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("_id", "_th", "_run").agg(F.min("_i").alias("s"), (F.max("_i") + SPAN - 1).alias("e")))
-    return runs.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("runs"))
+    return _later_runs(windows, "lines-first")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
@@ -78,3 +88,86 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            .withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col))
                        .otherwise(F.array_join(kept, "\n"))))
     return out.select(*docs.columns, lines_col, removed_col)
+
+
+# --------------------------------------------------------------------------- passages
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pieces(unit: Column) -> Column:
+    """A long unit cut behind words picked by their hash, so equal passages are cut at equal places."""
+    def cut(words: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(words)), lambda k: (k == F.size(words)) | (
+            F.pmod(F.xxhash64(F.trim(F.element_at(words, k), F.lit(BLANK))), F.lit(WORDS_A_CUT)) == 0))
+        begin = lambda e, j: F.when(j == 0, 1).otherwise(F.get(e, j - 1) + 1)
+        return _let(ends, lambda e: F.flatten(F.transform(e, lambda k, j: F.transform(
+            F.sequence(begin(e, j), k, F.lit(MAX_WORDS)),
+            lambda b: F.array_join(F.slice(words, b, F.least(k - b + 1, F.lit(MAX_WORDS))), "")))))
+    return _let(F.split(unit, r"(?<=\s)(?=\S)"), cut)
+
+
+def text_units(text: Column) -> Column:
+    """The text as an array of units with their separators; joined without a separator they are the text."""
+    return F.flatten(F.transform(F.split(text, SENTENCE_END), lambda u: F.when(
+        F.length(u) > LONG_UNIT, _pieces(u)).otherwise(F.array(u))))
+
+
+def repeated_unit_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``repeated_runs`` over the units of each text, whatever their length.
+
+    Blanks around a unit do not count.  A text of under three units is one window.
+    """
+    text = F.col(text_col)
+    units = materialize(
+        docs.where(text.isNotNull() & (text != ""))
+        .select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"),
+                F.transform(text_units(text), lambda u: F.xxhash64(F.trim(u, F.lit(BLANK)))).alias("_u")), "passages-units")
+    cells = [F.col(f"col.u{k}") for k in range(SPAN)]
+    windows = (units.select("_id", "_th", F.posexplode(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("_u") - SPAN, F.lit(0))),
+        lambda i: F.struct(*[F.get("_u", i + k).alias(f"u{k}") for k in range(SPAN)]))))
+        .select("_id", "_th", F.col("pos").alias("_i"),
+                F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit(7), *reversed(cells)).alias("_h2")))
+    return _later_runs(windows, "passages-first")
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
+                   min_passage: int = 120, units_col: str = "n_units",
+                   removed_col: str = "n_removed") -> DataFrame:
+    """``docs`` with repeated runs of units cut out of the text, plus the counts of units and of those removed.
+
+    A run goes if it has ``min_chars`` characters and three whole lines, or ``min_passage`` characters.
+    Everything else is as in ``dedup_lines``; what is left of a text keeps its own blanks and newlines,
+    but for a newline before a run that ended the text.
+    """
+    docs = docs.drop(units_col, removed_col)
+    runs = materialize(repeated_unit_runs(docs, id_col, text_col), "passages-runs")
+    left = docs.withColumn("__th", F.xxhash64(text_col))
+    right = runs.select(F.col("_id").alias("__id"), F.col("_th").alias("__rth"), F.col("runs").alias("__runs"))
+    both = left.join(right, left[id_col].eqNullSafe(right["__id"]) & (left["__th"] == right["__rth"]), "left")
+    part = lambda s, e: F.array_join(F.slice("__units", s + 1, e - s), "")
+    size = F.size("__units")
+
+    def goes(r: Column) -> Column:
+        run, ends = part(r["s"], r["e"] + 1), r["e"] + 1 >= size
+        inside = (r["s"] > 0) & ~F.get("__units", r["s"] - 1).endswith("\n")  # begins within a line
+        lines = F.size(F.split(run, "\n")) - inside.cast("int") - (~ends).cast("int")  # a last piece is empty or cut
+        return (F.length(run) >= min_passage) | ((F.length(run) >= min_chars) & (lines >= SPAN))
+
+    last = F.element_at("__runs", -1)["e"] + 1 >= size
+    # the stretches between runs: from the end of one to the start of the next
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("__runs"), i - 1)["e"] + 1)
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__runs")), lambda i: part(
+        F.least(begin(i), size), F.coalesce(F.get(F.col("__runs"), i)["s"], F.greatest(size, begin(i))))), "")
+    gone = F.aggregate("__runs", F.lit(0), lambda a, r: a + F.least(r["e"] + 1, size) - r["s"])
+    out = (both.withColumn("__units", text_units(F.col(text_col)))
+           .withColumn("__runs", F.filter("__runs", goes))
+           .withColumn("__cut", F.coalesce(F.size("__runs") > 0, F.lit(False)))
+           .withColumn(units_col, F.when(F.col(text_col).isNull(), 0).otherwise(size))
+           .withColumn(removed_col, F.when(F.col("__cut"), gone).otherwise(0))
+           .withColumn(text_col, F.when(~F.col("__cut"), F.col(text_col))
+                       .when(last, F.regexp_replace(kept, r"\n\z", "")).otherwise(kept)))
+    return out.select(*docs.columns, units_col, removed_col)

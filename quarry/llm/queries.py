@@ -60,6 +60,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op9_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_passages(docs)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.mark_contaminated(docs, _table(spark, sf_dir, "benchmark"))
@@ -119,5 +124,6 @@ FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_license_scan, op3_hmm_lm, op4_embedding_dedup, op5_ngram_jaccard,
-                            op6_mix_sources, op7_toxicity, op8_quality, op9_line_dedup, op10_decontaminate)}
+                            op6_mix_sources, op7_toxicity, op8_quality, op9_line_dedup, op9_passage_dedup,
+                            op10_decontaminate)}
 SQL: dict[str, str] = {"op4_embedding_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}

@@ -297,6 +297,31 @@ def test_line_runs(spark):
     assert got[3].text == "" and got[4].n_removed == 0 and got[5].n_removed == 0
 
 
+def test_passages_within_lines(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(4000)]
+    say = lambda n: " ".join(rng.choices(words, k=n))
+    sentences = " ".join(say(8).capitalize() + "." for _ in range(9))
+    plain, menu = say(120), "\n".join(f"m{i}" for i in range(60))
+    rows = [(1, f"{say(30)}. {sentences} {say(30)}."), (2, f"{say(20)}. {sentences} {say(20)}."),
+            (3, f"{say(70)} {plain} {say(70)}"), (4, f"{say(60)}\n{say(50)} {plain} {say(50)}"), (5, sentences),
+            (6, f"{menu}\nend"), (7, f"start\n{menu}\nlast"), (8, "One. Two. Three."), (9, "One. Two. Three."),
+            (10, None), (12, "a single short text that is told twice, word for word"),
+            (13, " \n\n"), (13, " \n\n"), (14, f"x {'so ' * 90}y"), (15, f"z {'so ' * 120}"),
+            (16, "a single short text that is told twice, word for word")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    units = docs.where("text is not null").select("text", line_dedup.text_units(docs["text"]).alias("u")).collect()
+    assert all("".join(r.u) == r.text for r in units)
+    got = {r.doc_id: r for r in line_dedup.dedup_passages(docs).collect()}
+    for i in (1, 3, 6, 8, 9, 10, 12, 13, 16):
+        assert (got[i].text, got[i].n_removed) == (dict(rows)[i], 0)
+    assert sentences[:60] not in got[2].text and got[2].n_removed == 9 and got[2].text == rows[1][1].replace(sentences + " ", "")
+    runs = lambda t: {tuple(t.split()[i:i + 50]) for i in range(len(t.split()) - 49)}
+    assert not runs(rows[2][1]) & runs(got[4].text) and set(rows[3][1].split()) - set(plain.split()) <= set(got[4].text.split())
+    assert got[5].text == "" and got[7].text == "start\nlast" and not runs(got[14].text) & runs(got[15].text)
+    assert got[16].text == got[12].text  # under min_passage
+
+
 def test_decontamination_with_substitutions(spark):
     item = [f"t{i}" for i in range(30)]
     changed = list(item)
