@@ -7,9 +7,9 @@ is (c + 0.5) / (N_class + 0.5 (V_class + 1)) with exact counts of every training
 emission tables stay bounded while the vocabulary grows with the corpus.
 
 Training: each task runs forward-backward over its documents and returns expected counts; Spark sums
-them and the driver renormalises tables of fixed size (states x classes).  ``warm_rounds`` rounds
-read a hashed share of the training documents, then ``rounds`` rounds read all of them.  In training
-a document is cut into stretches of ``stretch`` words; a later stretch starts from its own learned
+them and the driver renormalises tables of fixed size (states x classes).  All ``warm_rounds`` +
+``rounds`` rounds read all training documents, written once as class numbers; only a ``warm_share``
+over 1 makes the warm rounds read a hashed share.  In training a document is cut into stretches of ``stretch`` words; a later stretch starts from its own learned
 start distribution.
 
 Scoring is exact for a whole text of any length: stretches are turned into scaled state-transfer
@@ -62,6 +62,11 @@ class Vocabulary:
         out.append(self.end)
         return np.array(out, np.int32)
 
+    @property
+    def kind(self) -> type:
+        """Smallest type that holds every class, for written sequences."""
+        return np.uint16 if self.classes <= 1 << 16 else np.int32
+
 
 # --------------------------------------------------------------------------- counts
 
@@ -123,7 +128,7 @@ def expected_counts(seqs: list[np.ndarray], fresh: np.ndarray, p: Params) -> tup
     grid = np.zeros((lens[0], len(seqs)), np.int32)
     for i, s in enumerate(seqs):
         grid[:len(s), i] = s
-    emit = p.emit.T
+    emit = np.ascontiguousarray(p.emit.T)
     alpha = np.zeros((lens[0], len(seqs), states))
     scale = np.ones((lens[0], len(seqs)))
     cur = np.where(fresh[:, None], p.start, p.cont)
@@ -158,8 +163,18 @@ def _unpack(v: np.ndarray, states: int) -> tuple:
     return v[:k], v[k:2 * k], v[2 * k:2 * k + k * k].reshape(k, k), v[2 * k + k * k], v[2 * k + k * k + 1:].reshape(k, -1)
 
 
+def class_sequences(train: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``_seq`` (class numbers, as bytes) and ``_warm`` of each training text, written once for all rounds."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seqs = [vocab.sequence(text.lower().split()).astype(vocab.kind).tobytes() for text in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary()), b.column(1)], ["_seq", "_warm"])
+
+    return materialize(train.select("_text", "_warm").mapInArrow(work, "_seq binary, _warm boolean"), "lm-seqs")
+
+
 def baum_welch_round(train: DataFrame, vocab: Vocabulary, p: Params, stretch: int, batch_words: int) -> tuple[Params, float]:
-    """One round: expected counts per task, summed by Spark, renormalised here."""
+    """One round: expected counts per task, summed by Spark, renormalised here.  Without text ``p`` stays."""
     states = p.emit.shape[0]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,8 +186,8 @@ def baum_welch_round(train: DataFrame, vocab: Vocabulary, p: Params, stretch: in
             return got if total is None else total + got
 
         for b in batches:
-            for text in b.column(0).to_pylist():
-                s = vocab.sequence(text.lower().split())
+            for seq in b.column(0).to_pylist():
+                s = np.frombuffer(seq, vocab.kind)
                 for at in range(0, len(s), stretch):
                     held.append(s[at:at + stretch])
                     fresh.append(at == 0)
@@ -186,8 +201,10 @@ def baum_welch_round(train: DataFrame, vocab: Vocabulary, p: Params, stretch: in
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["i", "v"])
 
-    rows = (train.select("_text").mapInArrow(work, "i bigint, v double").groupBy("i")
+    rows = (train.select("_seq").mapInArrow(work, "i bigint, v double").groupBy("i")
             .agg(F.sum("v").alias("v")).toPandas())
+    if rows.empty:
+        return p, 0.0
     vec = np.zeros(2 * states + states * states + 1 + states * vocab.classes)
     vec[rows["i"]] = rows["v"]
     start, cont, xi, loglik, emit = _unpack(vec, states)
@@ -244,7 +261,7 @@ def log_likelihoods(seqs: list[np.ndarray], p: Params, stretch: int) -> np.ndarr
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5,
                 states: int = 5, top_words: int = 8192, hot_words: int = 65_536, tail_classes: int = 1024,
-                warm_share: int = 32, warm_rounds: int = 8, rounds: int = 2, stretch: int = 256,
+                warm_share: int = 1, warm_rounds: int = 8, rounds: int = 2, stretch: int = 256,
                 batch_words: int = 100_000) -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
@@ -270,8 +287,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unigram = np.concatenate([[c for _, c in hot[:vocab.first_tail]], tail_n, [ends]]).astype(float) + 0.5
     p = initial_params(vocab, states, unigram / unigram.sum())
     if ends:
-        warm = train.where(F.pmod(F.xxhash64(F.lit(3), "_id", "_text"), F.lit(warm_share)) == 0)
-        for data, times in ((warm, warm_rounds), (train, rounds)):
+        seqs = class_sequences(train.withColumn(
+            "_warm", F.pmod(F.xxhash64(F.lit(3), "_id", "_text"), F.lit(warm_share)) == 0), vocab)
+        for data, times in ((seqs.where("_warm"), warm_rounds), (seqs, rounds)):
             for _ in range(times):
                 p, _loglik = baum_welch_round(data, vocab, p, stretch, batch_words)
 

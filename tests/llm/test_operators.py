@@ -119,6 +119,28 @@ def test_hmm_forward_equals_sum_over_paths():
             assert math.isclose(got, math.log(total), rel_tol=1e-12)
 
 
+def test_hmm_production_parameters_fit_small_tables(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(6)
+    a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
+    rows = [(i, " ".join(rng.choices(a if i % 2 else b, k=40))) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    # none of these is in the 1/32 that most rounds once read
+    docs = docs.where(F.pmod(F.xxhash64(F.lit(3), "doc_id", F.col("text").cast("binary")), F.lit(32)) != 0)
+    held = [r for r in hmm_lm.score_texts(docs).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in held)
+    # two topics of equal size: a fitted model gains most of log10(2) a word
+    assert sum(r.score - r.base_score for r in held) / tokens > 0.15
+
+
+def test_hmm_round_without_text_keeps_parameters(spark):
+    vocab = hmm_lm.Vocabulary([(b"x", 3), (b"y", 2)], 2, 4)
+    p = hmm_lm.initial_params(vocab, 3, np.ones(vocab.classes))
+    train = hmm_lm.class_sequences(spark.createDataFrame([], "_text binary, _warm boolean"), vocab)
+    got, loglik = hmm_lm.baum_welch_round(train, vocab, p, 16, 100)
+    assert got is p and loglik == 0.0
+
+
 def test_hmm_training_raises_likelihood_and_base_is_exact(spark):
     rng = random.Random(5)
     a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
