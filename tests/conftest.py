@@ -14,7 +14,3 @@ def spark():
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="quarry-test-ckpt-")})
     yield s
     s.stop()
-
-
-SF_SMALL = "/root/testdata/sf0.001"
-SF_CHECK = "/root/testdata/sf0.01"

@@ -85,7 +85,7 @@ def test_dummies_refuse_too_many_levels(spark):
 
 
 def test_entry_runs_by_path_from_another_folder(tmp_path):
-    from conftest import SF_SMALL
+    from paths import SF_SMALL
     code = f"""
 import importlib.util, os, tempfile
 spec = importlib.util.spec_from_file_location("entry", {repr(str(__import__('pathlib').Path(__file__).resolve().parents[1] / '__spark_entry__.py'))})

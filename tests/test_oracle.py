@@ -9,7 +9,7 @@ import pytest
 from quarry.plans.oracle import compare, duck_connect
 from quarry.plans.registry import load_all
 
-from conftest import SF_CHECK, SF_SMALL
+from paths import SF_CHECK, SF_SMALL
 
 REG = load_all()
 WITH_SQL = sorted(n for n, q in REG.items() if q.sql)

@@ -7,7 +7,7 @@ from quarry.operators import windows as W
 from quarry.plans.registry import load_all
 from quarry.sources.tables import Tables
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _plan(df) -> str:

@@ -10,7 +10,7 @@ from quarry.plans.standins import trips
 from quarry.sources.tables import Tables
 from quarry.streaming import conform_stream, violation_stream
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_stream_matches_batch(spark, tmp_path):
