@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (decontam, embed_lsh, hmm_lm, license_scan, line_dedup, mixing, ngram_join, pii,
-                        quality_dsir, toxicity)
+from quarry.llm import (decontam, embed_lsh, fim, hmm_lm, license_scan, line_dedup, mixing, ngram_join, nn_descent, pii,
+                        quality_dsir, target_resample, toxicity)
 from quarry.llm.common import id_fold
 
 
@@ -70,6 +70,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.mark_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_target_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return target_resample.resample_to_target(docs, target).drop("n_words")
+
+
 OP4_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -122,8 +135,59 @@ SELECT documents.doc_id, k.n IS NOT NULL AS contaminated, COALESCE(k.n, 0) AS n_
        COALESCE(k.ids, '') AS item_ids, COALESCE(k.best, 0.0) AS best
 FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id"""
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, sha256('7:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS l,
+             [CAST('0x' || substr(h, 8 * i + 1, 8) AS UBIGINT) for i in range(4)] AS r FROM d),
+v AS (SELECT *, len(l) AS n, least(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) AS a, greatest(r[1] % (len(l) + 1), r[2] % (len(l) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+                  WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+w AS (SELECT *, COALESCE(array_to_string(l[1:a], ''), '') AS p, COALESCE(array_to_string(l[a + 1:b], ''), '') AS m,
+             COALESCE(array_to_string(l[b + 1:], ''), '') AS s FROM v)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM w"""
+
+# all pairs: what the search returns whole where a table is one block (up to 2,048 distinct vectors)
+OP12_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0
+      AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0.0::DOUBLE, [q.e[i] * c.e[i] for i in range(1, len(q.e) + 1)]), lambda x, y: x + y) AS score
+      FROM g q JOIN g c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+# CRC-32 by its defining steps, bytes from the hexadecimal form of the UTF-8 text
+OP13_SQL = r"""
+WITH steps AS (SELECT list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+                                  lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v, b
+               FROM (SELECT UNNEST(range(256)) AS b)),
+tab AS MATERIALIZED (SELECT list(v ORDER BY b) AS t FROM steps),
+src AS (SELECT 'd' AS k, doc_id, text FROM documents UNION ALL SELECT 'b', NULL, text FROM benchmark),
+words AS (SELECT k, doc_id, row_number() OVER () AS rid, COALESCE(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM src),
+runs AS (SELECT k, rid, array_to_string(w[i:i + n - 1], ' ') AS f
+         FROM (SELECT k, rid, w, n, UNNEST(range(1, len(w) - n + 2)) AS i FROM words, (SELECT UNNEST([1, 2, 3]) AS n))),
+per AS (SELECT k, rid, f, COUNT(*) AS c FROM runs GROUP BY ALL),
+feats AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM per)),
+crc AS (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT) for i in range(len(h) // 2)]),
+                                  lambda x, y: xor(x >> 8, t[(xor(x, y) & 255) + 1])), 4294967295) % 10000 AS bucket FROM feats, tab),
+tot AS (SELECT bucket, SUM(c) FILTER (k = 'd') AS s, SUM(c) FILTER (k = 'b') AS t FROM per JOIN crc USING (f) GROUP BY 1),
+sums AS (SELECT SUM(COALESCE(s, 0)) AS s_all, SUM(COALESCE(t, 0)) AS t_all FROM tot),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((COALESCE(t, 0) + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((COALESCE(s, 0) + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS g FROM tot, sums),
+wt AS (SELECT rid, CAST(SUM(c) AS BIGINT) AS n_features, CAST(SUM(c * g) AS BIGINT) AS weight FROM per JOIN crc USING (f) JOIN gain USING (bucket) WHERE k = 'd' GROUP BY 1),
+sc AS (SELECT doc_id, len(w) AS n_words, COALESCE(n_features, 0) AS n_features, COALESCE(weight, 0) AS weight,
+              COALESCE(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8) AS UBIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+       FROM words LEFT JOIN wt USING (rid) WHERE k = 'd'),
+r AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS place,
+             COUNT(*) FILTER (n_words >= 20) OVER () AS able FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * able // 100 THEN place END AS rank FROM r"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_license_scan, op3_hmm_lm, op4_embedding_dedup, op5_ngram_jaccard,
                             op6_mix_sources, op7_toxicity, op8_quality, op9_line_dedup, op9_passage_dedup,
-                            op10_decontaminate)}
-SQL: dict[str, str] = {"op4_embedding_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL}
+                            op10_decontaminate, op11_fill_in_middle, op12_nn_descent, op13_target_resample)}
+SQL: dict[str, str] = {"op4_embedding_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op10_decontaminate": OP10_SQL,
+                       "op11_fill_in_middle": OP11_SQL, "op12_nn_descent": OP12_SQL, "op13_target_resample": OP13_SQL}
