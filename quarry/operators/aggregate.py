@@ -9,13 +9,13 @@ on the aggregated result, never with a whole-table window on detail rows.
 from __future__ import annotations
 
 from functools import reduce
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.operators.windows import prefix_sums
+from quarry.operators.selection import bounded, quantiles
 
 
 def _col(c):
@@ -85,30 +85,6 @@ def spread(df: DataFrame, col: str, probs: Sequence[float] = (0.25, 0.5, 0.75),
     return df.groupBy(*by).agg(*aggs)
 
 
-def ranked_counts(df: DataFrame, x: str, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct values with their counts and ranks: ``_by<i>``, ``_x``, ``_n``, ``_lo``, ``_hi``, ``_tot``.
-
-    ``x`` (as double) takes the 0-based ranks ``_lo .. _hi - 1`` among the
-    ``_tot`` values of its group.  A value that fills the table is one row
-    here, and running totals are distributed prefix sums, so neither a hot
-    value, a hot group nor many distinct values land in one task.  NULL values
-    are kept as a row that takes no ranks; groups may be NULL.
-    """
-    named = [f"_by{i}" for i in range(len(by))]
-    counts = df.select(*[F.col(b).alias(a) for b, a in zip(by, named)], F.col(x).cast("double").alias("_x")) \
-        .groupBy(*named, "_x").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_w", F.when(F.col("_x").isNotNull(), F.col("_n")).otherwise(F.lit(0)))
-    cum = prefix_sums(counts, [*[F.asc(a) for a in named], F.asc("_x")], ["_w"], "_cum")
-    cum = cum.withColumn("_start", F.col("_cum_w") - F.col("_w"))
-    groups = cum.groupBy(*named).agg(F.min("_start").alias("_first"), F.sum("_w").alias("_tot"))
-    if named:
-        cum = _join_groups(cum, groups, named)
-    else:
-        cum = cum.withColumns({"_first": F.lit(0), "_tot": groups.select("_tot").scalar()})
-    return cum.select(*named, "_x", "_n", (F.col("_start") - F.col("_first")).alias("_lo"),
-                      (F.col("_cum_w") - F.col("_first")).alias("_hi"), "_tot")
-
-
 def _join_groups(rows: DataFrame, groups: DataFrame, named: Sequence[str], how: str = "inner") -> DataFrame:
     """NULL-safe join of one row per group; a group without a value is a group too."""
     right = groups.withColumnsRenamed({a: f"_r{a}" for a in named})
@@ -116,53 +92,37 @@ def _join_groups(rows: DataFrame, groups: DataFrame, named: Sequence[str], how:
     return rows.join(right, reduce(lambda p, q: p & q, on), how).drop(*[f"_r{a}" for a in named])
 
 
-def values_at(ranked: DataFrame, positions: dict[float, Column], by: Sequence[str] = ()) -> DataFrame:
-    """Values at fractional 0-based positions (from ``_tot``), between neighbours linearly: (by, pct, value)."""
-    want = F.array(*[F.struct(F.lit(float(p)).alias("pct"), h.cast("double").alias("h")) for p, h in positions.items()])
-    hits = ranked.where(F.col("_hi") > F.col("_lo")).select(*by, "_x", "_lo", "_hi", F.explode(F.filter(
-        want, lambda s: (F.ceil(s["h"]) >= F.col("_lo")) & (F.floor(s["h"]) < F.col("_hi")))).alias("_s"))
-    h = F.col("_s.h")
-    under = F.when((F.floor(h) >= F.col("_lo")) & (F.floor(h) < F.col("_hi")), F.col("_x"))
-    over = F.when((F.ceil(h) >= F.col("_lo")) & (F.ceil(h) < F.col("_hi")), F.col("_x"))
-    out = hits.groupBy(*by, F.col("_s.pct").alias("pct"), (h - F.floor(h)).alias("_frac")) \
-        .agg(F.max(under).alias("_a"), F.max(over).alias("_b"))
-    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
-        F.col("_a") + F.col("_frac") * (F.col("_b") - F.col("_a")))
-    return out.select(*by, "pct", value.alias("value"))
-
-
-def _type7(probs: Sequence[float]) -> dict[float, Column]:
-    return {p: (F.col("_tot") - 1) * F.lit(float(p)) for p in probs}
+def _type7(probs: Sequence[float]) -> dict[float, Callable[[Column], Column]]:
+    return {p: lambda n, p=p: (n - 1) * F.lit(float(p)) for p in probs}
 
 
-def _hinges() -> dict[float, Column]:
+def _hinges() -> dict[float, Callable[[Column], Column]]:
     """Tukey's hinges: the medians of both halves, the middle value in each when n is odd."""
-    depth = F.floor((F.col("_tot") + 3) / 2) / 2
-    return {0.25: depth - 1, 0.5: (F.col("_tot") - 1) / 2, 0.75: F.col("_tot") - depth}
+    depth = lambda n: F.floor((n + 3) / 2) / 2
+    return {0.25: lambda n: depth(n) - 1, 0.5: lambda n: (n - 1) / 2, 0.75: lambda n: n - depth(n)}
 
 
 def percentile_table(df: DataFrame, cols: Sequence[str], step: float = 0.01,
                      method: str = "exact") -> DataFrame:
     """Percentiles 0..1 in ``step`` for each column: (column, pct, value).
 
-    ``exact`` (``sort`` is the same) is R type 7 / ``quantile_cont`` from
-    :func:`ranked_counts`, for any number of distinct values; ``approx`` is the
-    bounded-memory sketch.
+    ``exact`` (``sort`` is the same) is R type 7 / ``quantile_cont`` by
+    :func:`selection.quantiles`, for any number of distinct values; ``approx``
+    is the bounded-memory sketch.
     """
     n_steps = int(round(1 / step))
     probs = [round(i * step, 10) for i in range(n_steps + 1)]
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "column", "x")
     if method in ("exact", "sort"):
-        return values_at(ranked_counts(long, "x", ["column"]), _type7(probs), ["_by0"]) \
-            .withColumnRenamed("_by0", "column")
+        return quantiles(long, "x", _type7(probs), ["column"]).withColumnRenamed("_by0", "column")
     sketch = F.percentile_approx("x", F.array(*[F.lit(p) for p in probs]), 1_000_000)
     out = long.groupBy("column").agg(sketch.alias("_v")).select("column", F.posexplode("_v").alias("_i", "value"))
     return out.select("column", F.round(F.col("_i") * step, 6).alias("pct"), "value")
 
 
 def quantiles_sorted(df: DataFrame, col: str, probs: Sequence[float]) -> DataFrame:
-    """Exact type-7 quantiles of one column: (pct, value), see :func:`ranked_counts`."""
-    return values_at(ranked_counts(df, col), _type7(probs))
+    """Exact type-7 quantiles of one column: (pct, value), see :func:`selection.quantiles`."""
+    return quantiles(df, col, _type7(probs))
 
 
 def pair_corr(df: DataFrame, x: str, y: str, by: Sequence[str] = (), name: str = "corr") -> DataFrame:
@@ -230,8 +190,8 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], method: str = "exact")
     """Per column: n, nulls, distinct, zeros, mean, sd, min, quartiles, max, IQR, MAD
     (1.4826 times the median distance from the median), population skewness and excess kurtosis.
 
-    All of it comes from one table of counts per value, moments weighted by the
-    counts and taken about the mean.  ``method="approx"`` uses the
+    Quartiles and MAD come from :func:`selection.quantiles`, moments are taken
+    about the mean.  ``method="approx"`` uses the
     bounded-memory quantile sketch on the rows instead, without a MAD.  Moments
     that need more values or some spread are NULL.
     """
@@ -247,19 +207,16 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], method: str = "exact")
         return out.select("column", "n", "nulls", "n_distinct", "zeros", "mean", "sd", "min", q[0].alias("q1"),
                           q[1].alias("median"), q[2].alias("q3"), "max", (q[2] - q[0]).alias("iqr"),
                           F.lit(None).cast("double").alias("mad"), "skew", "kurt")
-    r = ranked_counts(long, "x", ["column"])
-    x, n, some = F.col("_x"), F.col("_n"), F.col("_x").isNotNull()
-    base = r.groupBy("_by0").agg(
-        F.max("_tot").alias("n"), F.coalesce(F.sum(F.when(~some, n)), F.lit(0)).alias("nulls"),
-        F.count("_x").alias("n_distinct"), F.coalesce(F.sum(F.when(x == 0, n)), F.lit(0)).alias("zeros"),
-        F.try_divide(F.sum(x * n), F.max("_tot")).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
-    q = _quartile_columns(values_at(r, _type7((0.25, 0.5, 0.75)), ["_by0"]), ["_by0"])
-    base = _join_groups(base, q, ["_by0"], "left")
-    about = _join_groups(r.where(some), base.select("_by0", "mean", "median"), ["_by0"])
+    x = F.col("x")
+    base = long.groupBy(F.col("column").alias("_by0")).agg(
+        F.count(x).alias("n"), F.count_if(x.isNull()).alias("nulls"), F.count_distinct(x).alias("n_distinct"),
+        F.count_if(x == 0).alias("zeros"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = _quartile_columns(quantiles(long, "x", _type7((0.25, 0.5, 0.75)), ["column"]), ["_by0"])
+    base = bounded(_join_groups(base, q, ["_by0"], "left"))
+    about = _join_groups(long.where(x.isNotNull()).withColumnRenamed("column", "_by0"), base.select("_by0", "mean", "median"), ["_by0"])
     d = x - F.col("mean")
-    moments = about.groupBy("_by0").agg(*[F.sum(n * d ** k).alias(f"_m{k}") for k in (2, 3, 4)])
-    away = about.select("_by0", F.abs(x - F.col("median")).alias("_d"), "_n")
-    away = values_at(_ranked_again(away, "_d", ["_by0"]), _type7((0.5,)), ["_by0"])
+    moments = about.groupBy("_by0").agg(*[F.sum(d ** k).alias(f"_m{k}") for k in (2, 3, 4)])
+    away = quantiles(about.select("_by0", F.abs(x - F.col("median")).alias("_d")), "_d", _type7((0.5,)), ["_by0"])
     out = _join_groups(_join_groups(base, moments, ["_by0"], "left"), away, ["_by0"], "left")
     var = F.try_divide("_m2", "n")
     return out.select(
@@ -270,17 +227,6 @@ def describe_numeric(df: DataFrame, cols: Sequence[str], method: str = "exact")
         (F.try_divide(F.try_divide("_m4", "n"), var ** 2) - 3).alias("kurt"))
 
 
-def _ranked_again(counts: DataFrame, x: str, named: Sequence[str]) -> DataFrame:
-    """:func:`ranked_counts` for (group, value, ``_n``) rows without NULL values."""
-    counts = counts.groupBy(*named, F.col(x).alias("_x")).agg(F.sum("_n").alias("_n"))
-    cum = prefix_sums(counts, [*[F.asc(a) for a in named], F.asc("_x")], ["_n"], "_cum")
-    cum = cum.withColumn("_start", F.col("_cum_n") - F.col("_n"))
-    groups = cum.groupBy(*named).agg(F.min("_start").alias("_first"), F.sum("_n").alias("_tot"))
-    return _join_groups(cum, groups, named).select(
-        *named, "_x", "_n", (F.col("_start") - F.col("_first")).alias("_lo"),
-        (F.col("_cum_n") - F.col("_first")).alias("_hi"), "_tot")
-
-
 def _quartile_columns(long: DataFrame, by: Sequence[str]) -> DataFrame:
     return long.groupBy(*by).agg(*[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(c)
                                    for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
@@ -304,34 +250,30 @@ def box_stats(df: DataFrame, x: str, by: Sequence[str] = (), k: float = 1.5,
               method: str = "exact") -> DataFrame:
     """Five-number summary with 1.5 IQR whiskers and outlier count.
 
-    ``exact`` has type-7 quartiles and ``hinges`` Tukey's hinges, both from
-    :func:`ranked_counts`: whiskers and outliers are then taken over distinct
-    values.  ``approx`` takes the quartiles from the bounded-memory sketch.
+    ``exact`` has type-7 quartiles and ``hinges`` Tukey's hinges, both by
+    :func:`selection.quantiles`; whiskers and outliers are one more aggregate.  ``approx`` takes the quartiles from the bounded-memory sketch.
     Groups without a value of ``x`` have no row.
     """
     named = [f"_by{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(b).alias(a) for b, a in zip(by, named)], F.col(x).cast("double").alias("_x")) \
+        .where(F.col("_x").isNotNull())
     if method == "approx":
-        counts = df.select(*[F.col(b).alias(a) for b, a in zip(by, named)], F.col(x).cast("double").alias("_x")) \
-            .where(F.col("_x").isNotNull())
-        q = counts.groupBy(*named).agg(_sketch("_x").alias("_q")).select(
+        q = rows.groupBy(*named).agg(_sketch("_x").alias("_q")).select(
             *named, *[F.col("_q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
-        counts = counts.withColumn("_n", F.lit(1).cast("long"))
     else:
-        counts = ranked_counts(df, x, by)
-        q = _quartile_columns(values_at(counts, _hinges() if method == "hinges" else _type7((0.25, 0.5, 0.75)), named), named)
-        counts = counts.where(F.col("_x").isNotNull())
+        q = _quartile_columns(quantiles(rows, "_x", _hinges() if method == "hinges" else _type7((0.25, 0.5, 0.75)), named), named)
+    q = bounded(q)
     if named:
-        joined = _join_groups(counts, q, named)
+        joined = _join_groups(rows, q, named)
     else:  # one row: scalar subqueries, evaluated once
-        joined = counts.withColumns({c: q.select(c).scalar() for c in ("q1", "median", "q3")})
+        joined = rows.withColumns({c: q.select(c).scalar() for c in ("q1", "median", "q3")})
     reach = k * (F.col("q3") - F.col("q1"))
     inside = (F.col("_x") >= F.col("q1") - reach) & (F.col("_x") <= F.col("q3") + reach)
     out = joined.groupBy(*named, "q1", "median", "q3").agg(
         F.min("_x").alias("min"), F.max("_x").alias("max"),
         F.min(F.when(inside, F.col("_x"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("_x"))).alias("upper_whisker"),
-        F.sum(F.when(inside, F.lit(0)).otherwise(F.col("_n"))).alias("outliers"),
-        F.sum("_n").alias("n"))
+        F.count_if(~inside).alias("outliers"), F.count(F.lit(1)).alias("n"))
     return out.withColumnsRenamed(dict(zip(named, by)))
 
 

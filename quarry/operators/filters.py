@@ -24,8 +24,7 @@ def cap_at_quantile(df: DataFrame, col: str, p: float | None = None, cutoff: flo
     """Keep rows at or under the ``p`` quantile of ``col`` (or a literal cut-off).
 
     The cut-off is a scalar subquery computed once.  ``sort`` or ``exact``:
-    type-7 quantile from counts per value and distributed prefix sums (any
-    number of distinct values); ``approx``: the bounded-memory sketch.
+    type-7 quantile by rank selection (any number of distinct values); ``approx``: the bounded-memory sketch.
     """
     if cutoff is not None:
         return df.where(F.col(col) <= F.lit(cutoff))

@@ -8,8 +8,8 @@ Scale notes
   keeps that shape.
 * A window with no ``partitionBy`` runs in one task.  The only such
   windows here run on already aggregated, bounded tables (a few bins).
-  Ranks come from counts per value and :func:`prefix_sums`; buckets and
-  splits compare rows with looked-up cut points.  Row numbers for every row
+  Buckets and splits compare rows with cut points looked up by
+  :func:`selection.select_ranks`; running totals are :func:`prefix_sums`.  Row numbers for every row
   of a table use :func:`global_row_number`, a distributed sort plus
   per-partition offsets.
 """
@@ -17,11 +17,14 @@ Scale notes
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators.selection import select_ranks, selectable
+
 ColumnOrName = Column | str
 
 
@@ -163,44 +166,67 @@ def deciles(df: DataFrame, score: str, id_col: str, n: int = 10, name: str = "bu
 def rank_cuts(df: DataFrame, score: str, id_col: str, n: int) -> list[tuple]:
     """Last row of each of the first ``n - 1`` ntile buckets: (score, all of that score?, id).
 
-    Counts per score are ranked by distributed prefix sums; only rows of the
-    scores that a bucket end falls into are ranked by id.  The driver sees one
-    row per bucket end.
+    The scores at the bucket ends come from one multi-rank selection, and so do the ids where an end
+    falls among equal scores (only rows of those scores are read for it).  Scores or ids
+    that are not plain numbers are counted per value and ranked by distributed prefix sums instead.  The
+    driver sees one row per bucket end.
     """
-    per = prefix_sums(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), [F.desc_nulls_last(score)], ["_n"], "_cum")
-    total = per.agg(F.sum("_n")).first()[0] or 0
+    total, valued = df.agg(F.count(F.lit(1)), F.count(score)).first()
     q, rem = divmod(total, n)
     ends = sorted({b * q + min(b, rem) for b in range(1, n)} - {0, total})
     if not ends:
         return []
+    at, split = {}, []  # split: scores cut in the middle, with the ranks wanted inside
+    for value, above, same in _score_spans(df, score, ends, valued, total):
+        inside = [r for r in ends if above < r <= above + same]
+        at.update({r: (value, True, None) for r in inside if r == above + same})
+        if middle := {r: r - above for r in inside if r < above + same}:
+            split.append((value, middle))
+    if split:
+        wanted = reduce(lambda p, q: p | q, [F.col(score).eqNullSafe(F.lit(v)) for v, _ in split])
+        at.update(_tied_ids(df.where(wanted), score, id_col, split))
+    return [at[r] for r in ends]
+
+
+def _score_spans(df: DataFrame, score: str, ends: Sequence[int], valued: int, total: int) -> list[tuple]:
+    """(value, rows above it, rows of it) of every score that holds one of the 1-based descending ranks."""
+    if selectable(df, score):
+        asked = F.array(*[F.lit(r).cast("bigint") for r in ends])
+        got = select_ranks(df, score, lambda m: F.filter(F.transform(asked, lambda r: m - r), lambda r: r >= 0), len(ends))
+        spans = {(r["value"], r["total"] - r["below"] - r["same"], r["same"]) for r in got.collect()}
+        return sorted(spans, key=lambda s: s[1]) + ([(None, valued, total - valued)] if total > valued else [])
+    per = prefix_sums(df.groupBy(score).agg(F.count(F.lit(1)).alias("_n")), [F.desc_nulls_last(score)], ["_n"], "_cum")
+    return [(r[score], r["_cum_n"] - r["_n"], r["_n"]) for r in _covering(per, ends)]
 
-    def covering(ranked: DataFrame, ranks: Sequence[int]) -> list:
-        hit = F.lit(False)
-        for r in ranks:
-            hit = hit | ((F.col("_cum_n") >= r) & (F.col("_cum_n") - F.col("_n") < r))
-        return sorted(ranked.where(hit).collect(), key=lambda row: row["_cum_n"])
-
-    at = {}
-    split_scores, before = [], 0  # scores cut in the middle, and the rows of such scores so far
-    for row in covering(per, ends):
-        inside = [r for r in ends if row["_cum_n"] - row["_n"] < r <= row["_cum_n"]]
-        middle = [r for r in inside if r < row["_cum_n"]]
-        at.update({r: (row[score], True, None) for r in inside if r == row["_cum_n"]})
-        if middle:
-            start = row["_cum_n"] - row["_n"]
-            split_scores.append((row[score], {r: before + r - start for r in middle}))
-            before += row["_n"]
-    if split_scores:
-        wanted = F.lit(False)
-        for s, _ in split_scores:
-            wanted = wanted | F.col(score).eqNullSafe(F.lit(s))
-        by_id = df.where(wanted).groupBy(score, id_col).agg(F.count(F.lit(1)).alias("_n"))
+
+def _covering(ranked: DataFrame, ranks: Sequence[int]) -> list:
+    hit = reduce(lambda p, q: p | q, [(F.col("_cum_n") >= r) & (F.col("_cum_n") - F.col("_n") < r) for r in ranks])
+    return sorted(ranked.where(hit).collect(), key=lambda row: row["_cum_n"])
+
+
+def _tied_ids(tied: DataFrame, score: str, id_col: str, split: Sequence[tuple]) -> dict[int, tuple]:
+    """For each wanted rank the (score, False, id) it falls on, ids ascending with NULL first."""
+    # keyed by text, as NaN does not equal itself here
+    sizes = {str(r[0]): (r[1], r[2]) for r in tied.groupBy(score).agg(
+        F.count(F.lit(1)), F.count_if(F.col(id_col).isNull())).collect()}
+    if not selectable(tied, id_col):
+        by_id = tied.groupBy(score, id_col).agg(F.count(F.lit(1)).alias("_n"))
         by_id = prefix_sums(by_id, [F.desc_nulls_last(score), F.asc(id_col)], ["_n"], "_cum")
-        ranks = {g: r for _, m in split_scores for r, g in m.items()}
-        for row in covering(by_id, sorted(ranks)):
-            at.update({r: (row[score], False, row[id_col]) for g, r in ranks.items()
-                       if row["_cum_n"] - row["_n"] < g <= row["_cum_n"]})
-    return [at[r] for r in ends]
+        ranks, before = {}, 0
+        for value, middle in split:
+            ranks |= {before + k: r for r, k in middle.items()}
+            before += sizes[str(value)][0]
+        return {r: (row[score], False, row[id_col]) for row in _covering(by_id, sorted(ranks)) for g, r in ranks.items()
+                if row["_cum_n"] - row["_n"] < g <= row["_cum_n"]}
+    out = {r: (value, False, None) for value, middle in split for r, k in middle.items() if k <= sizes[str(value)][1]}
+    places = {str(value): {k - sizes[str(value)][1] - 1: r for r, k in middle.items() if r not in out} for value, middle in split}
+    asked = F.array().cast("array<bigint>")
+    for value, _ in split:
+        if ranks := places[str(value)]:
+            asked = F.when(F.col("_by0").eqNullSafe(F.lit(value)), F.array(*[F.lit(k).cast("bigint") for k in sorted(ranks)])).otherwise(asked)
+    for row in select_ranks(tied, id_col, lambda _: asked, max(map(len, places.values())), [score]).collect():
+        out[places[str(row["_by0"])][row["rank"]]] = (row["_by0"], False, row["value"])
+    return out
 
 
 def cumulative(df: DataFrame, order: Sequence[ColumnOrName], col: str, name: str | None = None,
