@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.operators import forecast as FC
 from quarry.operators import series as TS
 from quarry.plans.registry import query
 from quarry.plans.standins import MONTHLY_FILLED_SQL, monthly_filled
@@ -95,20 +96,78 @@ def ts_mape(spark, sf_dir):
     return TS.mape(s, KEY, "sales", "yhat").withColumn("mape", F.round("mape", 4))
 
 
-def _seasonal(held):
-    fitted, _ = TS.seasonal_fit(held, KEY, "t", "sales", train=F.col("part") == "train")
-    return fitted
+WIDTH = 2  # the smoother averages 2 * WIDTH + 1 months
 
 
-@query("ts_seasonal_fit", section="2.13")
+def _fit_sql() -> str:
+    """The seasonal regression in SQL, by successive orthogonalisation instead of normal equations.
+
+    Each step takes the training-month projection on one column off all later columns and off the
+    smoothed series, and adds it to the fit; every month is carried along.
+    """
+    on = "PARTITION BY market, segment"
+    ts = f"(2.0 * (t - MIN(t) OVER g) / greatest(MAX(t) FILTER (tr) OVER g - MIN(t) OVER g, 1) - 1)"
+    powers = {"t1": "u", "t2": "u * u", "t3": "u * u * u"}
+    design = {"s": "sin(0.5 * t)", "c": "cos(0.5 * t)", **powers,
+              **{f"{a}_{p}": f"{f}(0.5 * t) * {e}" for a, f in (("s", "sin"), ("c", "cos")) for p, e in powers.items()}}
+    keep, k, n = "market, segment, t, tr, sales", WIDTH, len(design)
+    ctes = [MONTHLY_FILLED_SQL,
+            f"h AS (SELECT market, segment, t, sales, t <= MAX(t) OVER ({on}) - {H} AS tr FROM monthly_filled)",
+            f"""a AS (SELECT *, CASE WHEN tr AND COUNT(CASE WHEN tr THEN 1 END) OVER w = {2 * k + 1} THEN AVG(sales) OVER w END AS ma,
+                 MAX(t) FILTER (tr) OVER ({on}) AS n FROM h WINDOW w AS ({on} ORDER BY t ROWS BETWEEN {k} PRECEDING AND {k} FOLLOWING))""",
+            f"""e AS (SELECT *, MAX(ma) FILTER (t = n - {k}) OVER g AS rb, MAX(ma) FILTER (t = n - {k + 1}) OVER g AS rp,
+                 MAX(ma) FILTER (t = {k + 1}) OVER g AS lb, MAX(ma) FILTER (t = {k + 2}) OVER g AS ln FROM a WINDOW g AS ({on}))""",
+            f"""m AS (SELECT {keep}, CASE WHEN NOT tr THEN NULL WHEN ma IS NOT NULL THEN ma
+                 WHEN t > n - {k} THEN rb + (t - (n - {k})) * (rb - rp) ELSE lb - ({k + 1} - t) * (ln - lb) END AS smooth,
+                 {ts} AS u FROM e WINDOW g AS ({on}))""",
+            f"d AS (SELECT {keep}, smooth, {', '.join(f'{e} AS x{i}' for i, e in enumerate(design.values()))} FROM m)",
+            f"""q0 AS (SELECT {keep}, {', '.join(f'x{i} - AVG(x{i}) FILTER (tr) OVER g AS x{i}' for i in range(n))},
+                 smooth - AVG(smooth) OVER g AS y, AVG(smooth) OVER g AS fit FROM d WINDOW g AS ({on}))"""]
+    for j in range(n):
+        part = lambda c: f"COALESCE(SUM({c} * x{j}) FILTER (tr) OVER g / NULLIF(SUM(x{j} * x{j}) FILTER (tr) OVER g, 0), 0) * x{j}"
+        later = "".join(f"x{i} - {part(f'x{i}')} AS x{i}, " for i in range(j + 1, n))
+        ctes.append(f"q{j + 1} AS (SELECT {keep}, {later}y - {part('y')} AS y, fit + {part('y')} AS fit FROM q{j} WINDOW g AS ({on}))")
+    return ",\n".join(ctes) + f",\nglobal AS (SELECT {keep}, fit FROM q{n})"
+
+
+_FIT_SQL = _fit_sql()
+
+
+def _parts(spark, sf_dir):
+    return FC.decompose(_series(spark, sf_dir), KEY, "t", "sales", H, WIDTH)
+
+
+@query("ts_seasonal_fit", section="2.13", sql=f"""
+WITH {_FIT_SQL}
+SELECT market, segment, t, CASE WHEN tr THEN 'train' ELSE 'test' END AS part, ROUND(sales, 2) AS sales, ROUND(fit, 2) AS fit FROM global""")
 def ts_seasonal_fit(spark, sf_dir):
-    return _seasonal(_with_holdout(spark, sf_dir)).select(*KEY, "t", "part", "sales", "fit")
+    return _parts(spark, sf_dir).select(*KEY, "t", "part", F.round("sales", 2).alias("sales"), F.round("fit", 2).alias("fit"))
 
 
-@query("ts_residual", section="2.13")
+@query("ts_residual", section="2.13", sql=f"""
+WITH {_FIT_SQL}
+SELECT market, segment, t, ROUND(sales - fit, 2) AS resid FROM global WHERE tr""")
 def ts_residual(spark, sf_dir):
-    f = _seasonal(_with_holdout(spark, sf_dir)).where(F.col("part") == "train")
-    return TS.residual(f, "sales", "fit").select(*KEY, "t", "resid")
+    return _parts(spark, sf_dir).where(F.col("part") == "train").select(*KEY, "t", F.round("local", 2).alias("resid"))
+
+
+@query("ts_mape_regression", section="2.13", sql=f"""
+WITH {_FIT_SQL}
+SELECT market, segment, ROUND(AVG(abs(100.0 * (sales - fit) / NULLIF(sales, 0))), 4) AS mape FROM global WHERE NOT tr GROUP BY 1, 2""")
+def ts_mape_regression(spark, sf_dir):
+    test = _parts(spark, sf_dir).where(F.col("part") == "test")
+    return TS.mape(test, KEY, "sales", "fit").withColumn("mape", F.round("mape", 4))
+
+
+@query("ts_arma_fit", section="2.13")
+def ts_arma_fit(spark, sf_dir):
+    train = _with_holdout(spark, sf_dir).where(F.col("part") == "train")
+    return FC.arma_fit(train, KEY, "t", "sales")
+
+
+@query("ts_residual_tests", section="2.13")
+def ts_residual_tests(spark, sf_dir):
+    return FC.residual_tests(_series(spark, sf_dir), KEY, "t", "sales", H, WIDTH)
 
 
 def _ar(held):
@@ -131,6 +190,12 @@ def _ar_test(held):
 
 @query("ts_forecast", section="2.13")
 def ts_forecast(spark, sf_dir):
+    """Fitted and held-out months of the decomposition and of the ARMA model, with 95 % bands."""
+    return FC.forecast_both(_series(spark, sf_dir), KEY, "t", "sales", H, WIDTH)
+
+
+@query("ts_forecast_ar", section="2.13")
+def ts_forecast_ar(spark, sf_dir):
     return _ar_test(_with_holdout(spark, sf_dir)).select(*KEY, "t", "forecast", "sales")
 
 
@@ -141,8 +206,8 @@ def ts_adf(spark, sf_dir):
 
 @query("ts_model_pick", section="2.13")
 def ts_model_pick(spark, sf_dir):
-    held = _with_holdout(spark, sf_dir)  # built once for both methods
-    reg = _seasonal(held).where(F.col("part") == "test")
-    m_reg = TS.mape(reg, KEY, "sales", "fit").withColumn("method", F.lit("regression"))
-    m_ar = TS.mape(_ar_test(held), KEY, "sales", "forecast").withColumn("method", F.lit("ar"))
-    return TS.pick_model(m_reg.unionByName(m_ar), KEY)
+    series = _series(spark, sf_dir)  # built once for all methods
+    future = FC.forecast_both(series, KEY, "t", "sales", H, WIDTH).where(F.col("part") == "future")
+    both = TS.mape(future, [*KEY, "method"], "actual", "value")
+    ar = TS.mape(_ar_test(TS.holdout(series, KEY, "t", H)), KEY, "sales", "forecast").withColumn("method", F.lit("ar"))
+    return TS.pick_model(both.unionByName(ar), KEY)
