@@ -3,7 +3,8 @@
 Data passes run on executors: Spark ML fits, or one Gram aggregate
 (:mod:`quarry.operators.gram`).  Model selection loops (stepwise AIC,
 backward elimination) work on the p x p Gram matrix after that one pass;
-the binomial path loops over Spark GLM fits on a persisted input.
+binomial fits are reweighted least squares (:mod:`quarry.operators.irls`), all
+candidates of a selection step in the same passes.
 Results come back as small DataFrames (one row per term or per step).
 """
 
@@ -26,6 +27,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from quarry.operators import evaluate as E
 from quarry.operators import gram as G
+from quarry.operators.irls import Batch, both_ways
 
 _COEF_SCHEMA = ("term string, estimate double, std_error double, t_value double, p_value double, "
                 "r2 double, adj_r2 double, n long")
@@ -98,34 +100,35 @@ def vif(df: DataFrame, x: Sequence[str]) -> DataFrame:
 
 
 def _aic_gaussian(rss: float, n: int, k: int) -> float:
-    # R's extractAIC for lm: n log(RSS/n) + 2k
-    return n * math.log(rss / n) + 2 * k
+    # n log(RSS/n) + 2k; nothing is better than a perfect fit
+    return n * math.log(rss / n) + 2 * k if rss > 0 else -math.inf
 
 
 def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian") -> DataFrame:
     """Both-direction stepwise selection by AIC, starting from the full model.
 
-    Gaussian: every candidate is scored from one Gram matrix.  Binomial:
-    each candidate is a Spark GLM fit on the persisted input.
+    Gaussian: every candidate is scored from one Gram matrix; a fit without residual
+    (RSS under 1e-12 of the total) has AIC -infinity and ends the path.  Binomial: all candidates
+    of a step are fitted together (:mod:`quarry.operators.irls`).
     Runs until no candidate lowers the AIC (each step lowers it, so it ends).
     Returns the path: (step, action, term, aic, terms).
     """
     spark = df.sparkSession
     x = list(x)
-    if family == "gaussian":
-        names = G._names(x, True)
-        xtx, xty, yty, n = G.gram_matrix(df, x, y, center=G.column_means(df, [*x, y]))
-
-        def score(terms):
-            idx = [0] + [names.index(t) for t in terms]
-            a, b = G.subset(xtx, xty, idx)
-            _, rss, _, k, _ = G.ols_solve(a, b, yty, n)
-            return _aic_gaussian(rss, n, k)
-    else:
-        data = _complete(df, [y, *x]).persist()
+    schema = "step int, action string, term string, aic double, terms string"
+    if family != "gaussian":
+        batch, path = Batch(df, y, x), []
+        both_ways(batch, x, lambda step, act, t, fit: path.append((step, act, t, float(fit.aic), ",".join(fit.terms))))
+        batch.close()
+        return spark.createDataFrame(path, schema)
+    names = G._names(x, True)
+    xtx, xty, yty, n = G.gram_matrix(df, x, y, center=G.column_means(df, [*x, y]))
 
-        def score(terms):
-            return _glm_aic(data, y, terms)
+    def score(terms):
+        idx = [0] + [names.index(t) for t in terms]
+        a, b = G.subset(xtx, xty, idx)
+        _, rss, _, k, _ = G.ols_solve(a, b, yty, n)
+        return _aic_gaussian(rss if rss > 1e-12 * yty else 0.0, n, k)
 
     current = list(x)
     best = score(current)
@@ -141,9 +144,7 @@ def step_aic(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian")
             break
         best, current = aic, terms
         path.append((step, act, t, aic, ",".join(current)))
-    if family != "gaussian":
-        data.unpersist()
-    return spark.createDataFrame(path, "step int, action string, term string, aic double, terms string")
+    return spark.createDataFrame(path, schema)
 
 
 # --------------------------------------------------------------------------- binomial
@@ -158,22 +159,15 @@ def _glm(data: DataFrame, y: str, x: Sequence[str]):
     return glr.fit(feats)
 
 
-def _glm_aic(data: DataFrame, y: str, x: Sequence[str]) -> float:
-    return float(_glm(data, y, x).summary.aic)
-
-
 def logit(df: DataFrame, y: str, x: Sequence[str]) -> DataFrame:
     """Binomial GLM: estimate, std error, z, p per term, the model AIC, and whether the fit converged."""
-    spark = df.sparkSession
-    m = _glm(_complete(df, [y, *x]), y, x)
-    s = m.summary
-    names = list(x) + ["(Intercept)"]
-    est = list(m.coefficients) + [m.intercept]
-    rows = [(t, float(e), float(se), float(z), float(p), float(s.aic),
-             int(s.numIterations), int(s.numIterations) < _GLM_ITER)
-            for t, e, se, z, p in zip(names, est, s.coefficientStandardErrors, s.tValues, s.pValues)]
-    return spark.createDataFrame(rows, "term string, estimate double, std_error double, z_value double, "
-                                       "p_value double, aic double, iterations int, converged boolean")
+    batch = Batch(df, y, x)
+    m = batch.fit([list(x)])[0]
+    batch.close()
+    rows = [(t, float(e), float(se), float(z), float(p), float(m.aic), m.passes, m.converged)
+            for t, e, se, z, p in zip([*x, "(Intercept)"], m.beta, m.se, m.z, m.p_values)]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, std_error double, z_value double, "
+                                                 "p_value double, aic double, iterations int, converged boolean")
 
 
 def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "gaussian",
@@ -181,16 +175,19 @@ def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "g
     """Drop one term at a time: the highest-VIF term above ``max_vif`` that is not
     significant, else the least significant term above ``max_p``; stop when none.
 
-    Gaussian works entirely from one Gram matrix; binomial refits a GLM per
-    step on the persisted input (VIF still from the Gram matrix).
+    Gaussian works entirely from one Gram matrix; binomial refits by reweighted least
+    squares from the coefficients of the step before, and takes VIFs from the Gram matrix of
+    the same rows (those complete in ``y`` and all of ``x``).
     Returns the path: (step, dropped, reason, vif, p_value, terms).
     """
     spark = df.sparkSession
     x = list(x)
-    cols = [*x, y] if family == "gaussian" else list(x)
     names = G._names(x, True)
-    xtx, xty, yty, n = G.gram_matrix(df, x, y if family == "gaussian" else None, center=G.column_means(df, cols))
-    data = None if family == "gaussian" else _complete(df, [y, *x]).persist()
+    df = _complete(df, [y, *x])
+    xtx, xty, yty, n = G.gram_matrix(df, x, y, center=G.column_means(df, [*x, y]))
+    batch = fit = None
+    if family != "gaussian":
+        batch = Batch(df, y, x)
     current = list(x)
     path = [(0, None, "start", None, None, ",".join(current))]
     for step in itertools.count(1):
@@ -203,8 +200,8 @@ def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "g
             tab = G.ols_table(a, b, yty, n, [G.INTERCEPT] + current)
             pv = dict(zip(current, tab["p_value"].iloc[1:]))
         else:
-            m = _glm(data, y, current)
-            pv = dict(zip(current, m.summary.pValues[:len(current)]))
+            fit = batch.fit([current], [batch.start_of(fit) if fit else None])[0]
+            pv = dict(zip(current, fit.p_values))
         high = [t for t in current if vifs[t] > max_vif and pv[t] > max_p]
         if high:
             drop, reason = max(high, key=lambda t: vifs[t]), "vif"
@@ -215,8 +212,8 @@ def backward_eliminate(df: DataFrame, y: str, x: Sequence[str], family: str = "g
             drop, reason = worst, "p_value"
         current = [t for t in current if t != drop]
         path.append((step, drop, reason, float(vifs[drop]), float(pv[drop]), ",".join(current)))
-    if data is not None:
-        data.unpersist()
+    if batch is not None:
+        batch.close()
     return spark.createDataFrame(path, "step int, dropped string, reason string, vif double, "
                                        "p_value double, terms string")
 
