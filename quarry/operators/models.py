@@ -13,7 +13,6 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -21,11 +20,10 @@ from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quarry.operators import evaluate as E
 from quarry.operators import gram as G
 from quarry.operators.irls import Batch, both_ways
 
@@ -250,7 +248,7 @@ def to_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFrame
 
 def svm_multi(df: DataFrame, label: str, features: str = "features", reg: float = 0.01,
               max_iter: int = 50):
-    """One-vs-rest linear SVM (the reference's solver is one-vs-one; stated, not copied)."""
+    """One-vs-rest linear SVM of Spark ML (one-vs-one is :func:`quarry.operators.svm.svm_pairs`)."""
     svc = LinearSVC(regParam=reg, maxIter=max_iter)
     return OneVsRest(classifier=svc, labelCol=label, featuresCol=features, parallelism=4).fit(df)
 
@@ -277,35 +275,3 @@ def rff(df: DataFrame, array_col: str, dim: int, sigma: float, seed: int = 7,
         return pd.Series(list(z))
 
     return df.withColumn(out, project(F.col(array_col)))
-
-
-def grid_cv(df: DataFrame, label: str, array_col: str, id_col: str, sigmas: Sequence[float], costs: Sequence[float],
-            dim: int = 128, folds: int = 3, max_iter: int = 50, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """k-fold grid over kernel width and cost of the RBF classifier (:func:`rff` and one-vs-rest linear SVM).
-
-    Folds come from a hash of the id.  A cost C is the penalty weight on the
-    summed hinge loss, which is ``regParam = 1 / (C n)`` in Spark's mean form.
-    Returns one row per grid point, means over the folds: (sigma, cost,
-    accuracy, kappa).  Random features have no fitted part, so one projection
-    per width serves all folds.
-    """
-    fold = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(folds)).alias("_fold")
-    base = df.where(F.col(label).isNotNull() & F.col(array_col).isNotNull()) \
-        .select(F.col(label).cast("double").alias("_y"), F.col(array_col).alias("_a"), fold)
-    widths = {s: to_vector(rff(base, "_a", dim, s, seed), "rff").select("_y", "_fold", "features").checkpoint(eager=True)
-              for s in sigmas}
-
-    def point(task: tuple) -> tuple:
-        sigma, cost, k = task
-        data = widths[sigma]
-        train = data.where(F.col("_fold") != k)
-        reg = 1.0 / (cost * max(train.count(), 1))
-        scored = svm_multi(train, "_y", reg=reg, max_iter=max_iter).transform(data.where(F.col("_fold") == k))
-        got = E.multiclass_summary(scored, "_y", "prediction").first()
-        return float(sigma), float(cost), got.accuracy, got.kappa
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = list(pool.map(point, itertools.product(sigmas, costs, range(folds))))
-    spark: SparkSession = df.sparkSession
-    return spark.createDataFrame(rows, "sigma double, cost double, accuracy double, kappa double") \
-        .groupBy("sigma", "cost").agg(F.avg("accuracy").alias("accuracy"), F.avg("kappa").alias("kappa"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import features as FT
 from quarry.operators import models as M
+from quarry.operators import svm as S
 from quarry.plans.registry import query
 from quarry.sources.tables import Tables
 
@@ -93,9 +94,9 @@ def _digits(spark, sf_dir):
 
 @query("ml_linear_svm_multi", section="2.12")
 def ml_linear_svm_multi(spark, sf_dir):
-    d = M.to_vector(_digits(spark, sf_dir), "embedding")
-    model = M.svm_multi(d.where("split = 'train'"), "label", max_iter=50)
-    return model.transform(d.where("split = 'test'")).select("vec_id", "label", "prediction")
+    d = _digits(spark, sf_dir)
+    model = S.svm_pairs(d.where("split = 'train'"), "label", "embedding")
+    return model.predict(d.where("split = 'test'"), "embedding").select("vec_id", "label", "prediction")
 
 
 @query("ml_rff_svm", section="2.12")
@@ -109,4 +110,4 @@ def ml_rff_svm(spark, sf_dir):
 @query("ml_grid_cv", section="2.12")
 def ml_grid_cv(spark, sf_dir):
     train = _digits(spark, sf_dir).where("split = 'train'")
-    return M.grid_cv(train, "label", "embedding", "vec_id", sigmas=[0.5, 1.0], costs=[0.1, 1.0], folds=3)
+    return S.grid_cv(train, "label", "embedding", "vec_id", sigmas=[0.5, 1.0, 2.0], costs=[0.1, 1.0, 10.0], folds=3)

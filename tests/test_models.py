@@ -176,13 +176,13 @@ def test_wide_gram_matches_the_aggregate(spark):
 
 
 def test_grid_over_width_and_cost_on_rings(spark):
-    from quarry.operators import models as M
+    from quarry.operators import svm as S
     rng = np.random.default_rng(5)
     rows = []
     for i in range(240):
         r, a = (1.0 if i % 2 else 3.0) + rng.normal() * 0.1, rng.uniform(0, 6.28)
         rows.append((i, i % 2, [float(r * np.cos(a)), float(r * np.sin(a))]))
     df = spark.createDataFrame(rows, "id int, y int, v array<double>")
-    got = {r.sigma: r for r in M.grid_cv(df, "y", "v", "id", [1.0, 1000.0], [1.0], dim=64, folds=2, max_iter=20).collect()}
+    got = {r.sigma: r for r in S.grid_cv(df, "y", "v", "id", [1.0, 1000.0], [1.0], dim=64, folds=2).collect()}
     assert got[1.0].accuracy > 0.95 and got[1.0].kappa > 0.9  # rings need the kernel
     assert got[1000.0].accuracy < 0.8  # far too wide: nearly constant features
