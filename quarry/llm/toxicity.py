@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,8 +134,14 @@ def _fit_curve(rows: list, share: float) -> tuple[float, float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", fold: int = 1, folds: int = 3, max_toxic: int = 5000,
-        max_ordinary: int = 15_000, min_count: int = 3, max_words: int = 200_000) -> Model:
-    """Fit the two models and the curve on labelled rows outside fold ``fold``."""
+        max_ordinary: int = 15_000, max_words: int | None = None) -> Model:
+    """Fit the two models and the curve on labelled rows outside fold ``fold``.
+
+    All words of the sample are in the models, also those met once (``max_words`` keeps only the most
+    frequent); the sample of at most ``max_toxic`` + ``max_ordinary`` texts bounds them.  NULL texts count
+    as empty, NULL labels and ids as none; without documents or labels of both classes the model gives
+    every text the share of label 1.
+    """
     rows = materialize(_labelled(labels, id_col, label_col, fold, folds), "tox-labels")
     shares = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(shares.values())
@@ -158,10 +165,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tally: list[dict] = [{}, {}]
     for r in tallies.collect():
         tally[r["y"]][r["k"]] = r["n"]
-    # the words over the max_words-th count: fewer than max_words, so they may travel
     words = words.withColumn("both", F.col("c0") + F.col("c1"))
-    cut = max(min_count - 1, kth_largest(words, "both", max_words + 1) if tot["v"] > max_words else 0)
-    kept = words.where(F.col("both") > F.lit(cut)).toPandas()
+    cut = kth_largest(words, "both", max_words + 1) if max_words and tot["v"] > max_words else 0
+    kept = words.where(F.col("both") > F.lit(cut)).select("b", "c", "c0", "c1").toPandas()
     h = kept["b"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(h)
     shared = (kept["c"].to_numpy(float)[by] + 1) / (tot["n"] + tot["v"] + 1)
@@ -180,6 +186,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(model.words, model.ratio, model.unknown, _fit_curve(rest, share))
 
 
+class _FewHashes(WordHashes):
+    """Remembers fewer words: scoring runs beside a table's other columns."""
+
+    LIMIT = 200_000
+
+
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
                    score_col: str = "score") -> DataFrame:
     """``docs`` ids with a score from 0 to 1, one row per input row.
@@ -188,7 +200,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     classes every score is the share of label 1.  Only the text is read for a score.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = _FewHashes()
         for b in batches:
             s = [model.score(hashes.array(t.lower().split())) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64())], ["id", "score"])
@@ -199,15 +211,15 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Rows of ``docs`` scored under ``threshold``, all columns, schema unchanged."""
-    cols = docs.columns
+    """Rows of ``docs`` scored under ``threshold``, all columns, schema unchanged.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            keep = [model.score(hashes.array(t.lower().split())) < threshold for t in texts]
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=cols).filter(pa.array(keep, pa.bool_()))
+    NULL texts count as empty; an empty table gives an empty result.  Only the text goes to Python and
+    only the score comes back; the other columns stay where they are.
+    """
+    @F.pandas_udf("double")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = _FewHashes()
+        for part in texts:
+            yield pd.Series([model.score(hashes.array(t.lower().split())) for t in part], dtype="float64")
 
-    src = docs.withColumn("__tox_text", text_bytes(F.col(text_col)))
-    return src.mapInArrow(work, docs.schema)
+    return docs.where(score(text_bytes(F.col(text_col))) < F.lit(threshold))
