@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, ascii_lower, materialize
+from quarry.llm.common import SPACE, ascii_lower, free_names, materialize
 
 # places of an eight-word window that each mask compares (fixed values)
 MASKS = ((0, 1, 2, 4, 7), (0, 3, 5, 6, 7))
@@ -97,7 +97,8 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       **options) -> DataFrame:
-    """Rows of ``docs`` without a verified benchmark overlap, all columns."""
+    """Rows of ``docs`` without a verified benchmark overlap, all columns (NULL texts and all rows of an empty benchmark stay)."""
+    id_, th_ = free_names(docs, "__id", "__th")
     found = materialize(contaminated_items(docs, benchmark, id_col, text_col, **options)
-                        .select(F.col("_id").alias("__id"), F.col("_th").alias("__th")).distinct(), "bench-found")
-    return docs.join(found, docs[id_col].eqNullSafe(found["__id"]) & (F.xxhash64(docs[text_col]) == found["__th"]), "left_anti")
+                        .select(F.col("_id").alias(id_), F.col("_th").alias(th_)).distinct(), "bench-found")
+    return docs.join(found, docs[id_col].eqNullSafe(found[id_]) & (F.xxhash64(docs[text_col]) == found[th_]), "left_anti")

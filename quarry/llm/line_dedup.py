@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import materialize
+from quarry.llm.common import HashBitmap, free_names, materialize
 
 SPAN = 3
 SENTENCE_END = r"(?<=\n)|(?<=[.!?\u2026][ \t])|(?<=[\u3002\uff01\uff1f])"
@@ -26,7 +26,11 @@ def _later_runs(windows: DataFrame, name: str) -> DataFrame:
     """Sorted ``runs`` (s, e) of the windows (``_id``, ``_th``, ``_i``, ``_h1``, ``_h2``) that are not the first of their hash."""
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col("_th").alias("th"),
                      F.col("_i").alias("i"))
-    # counted map-side first, so a window in a third of all documents is a few partial rows
+    # one hash a window is counted first (map-side, so a window in a third of all documents is a few partial
+    # rows); only windows that may repeat travel with their places
+    often = materialize(windows.groupBy("_h1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_h1"), f"{name}-often")
+    windows = materialize(HashBitmap(often, "_h1", f"{name}-bits").mark(windows, F.col("_h1"), "_may").where("_may").drop("_may"),
+                          f"{name}-again")
     firsts = materialize(windows.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
                          .where(F.col("_first") != F.col("_last")).drop("_last"), name)
     later = (windows.join(firsts, ["_h1", "_h2"]).where(place != F.col("_first"))
@@ -57,6 +61,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _later_runs(windows, "lines-first")
 
 
+def _with_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the ``runs`` to cut (or NULL): only texts that may have some are shuffled."""
+    th, may, other, other_th = free_names(docs, "__th", "__may", "__id", "__rth")
+    bits = HashBitmap(runs.select(F.xxhash64("_id", "_th").alias("h")), "h", "runs-bits")
+    marked = bits.mark(docs.withColumn(th, F.xxhash64(text_col)), F.xxhash64(id_col, th), may)
+    right = runs.select(F.col("_id").alias(other), F.col("_th").alias(other_th), F.col("runs").alias(name))
+    some = marked.where(F.col(may)).join(right.hint("shuffle_merge"), F.col(id_col).eqNullSafe(F.col(other)) & (F.col(th) == F.col(other_th)), "left")
+    rest = marked.where(~F.col(may)).withColumn(name, F.lit(None).cast(right.schema[name].dataType))
+    return some.select(*docs.columns, name).unionByName(rest.select(*docs.columns, name))
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
                 lines_col: str = "n_lines", removed_col: str = "n_removed") -> DataFrame:
     """``docs`` with repeated runs cut out of the text, plus the counts of its lines and of those removed.
@@ -68,24 +83,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named like ``lines_col`` or ``removed_col`` are replaced.
     """
     docs = docs.drop(lines_col, removed_col)
-    runs = materialize(repeated_runs(docs, id_col, text_col, min_chars), "lines-runs")
-    left = docs.withColumn("__th", F.xxhash64(text_col))
-    right = runs.select(F.col("_id").alias("__id"), F.col("_th").alias("__rth"), F.col("runs").alias("__runs"))
-    both = left.join(right, left[id_col].eqNullSafe(right["__id"]) & (left["__th"] == right["__rth"]), "left")
+    runs_, lines_ = free_names(docs, "__runs", "__lines")
+    both = _with_runs(docs, materialize(repeated_runs(docs, id_col, text_col, min_chars), "lines-runs"), id_col, text_col, runs_)
     lines = F.split(F.col(text_col), "\n")
     n = F.size(lines)
     # the stretches between runs: from the end of one to the start of the next
     stretch = lambda i: F.slice(
-        F.col("__lines"),
-        F.when(i == 0, 0).otherwise(F.get(F.col("__runs"), i - 1)["e"] + 1) + 1,
-        F.coalesce(F.get(F.col("__runs"), i)["s"], F.size("__lines"))
-        - F.when(i == 0, 0).otherwise(F.get(F.col("__runs"), i - 1)["e"] + 1))
-    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__runs")), stretch))
-    gone = F.aggregate("__runs", F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1)
+        F.col(lines_),
+        F.when(i == 0, 0).otherwise(F.get(F.col(runs_), i - 1)["e"] + 1) + 1,
+        F.coalesce(F.get(F.col(runs_), i)["s"], F.size(lines_))
+        - F.when(i == 0, 0).otherwise(F.get(F.col(runs_), i - 1)["e"] + 1))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs_)), stretch))
+    gone = F.aggregate(runs_, F.lit(0), lambda a, r: a + r["e"] - r["s"] + 1)
     out = (both.withColumn(lines_col, F.when(F.col(text_col).isNull(), 0).otherwise(n))
-           .withColumn("__lines", F.when(F.col("__runs").isNotNull(), lines))
+           .withColumn(lines_, F.when(F.col(runs_).isNotNull(), lines))
            .withColumn(removed_col, F.coalesce(gone, F.lit(0)))
-           .withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col))
+           .withColumn(text_col, F.when(F.col(runs_).isNull(), F.col(text_col))
                        .otherwise(F.array_join(kept, "\n"))))
     return out.select(*docs.columns, lines_col, removed_col)
 
@@ -135,39 +148,40 @@ def repeated_unit_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
-                   min_passage: int = 120, units_col: str = "n_units",
+                   min_passage: int = 120, units_col: str | None = "n_units",
                    removed_col: str = "n_removed") -> DataFrame:
     """``docs`` with repeated runs of units cut out of the text, plus the counts of units and of those removed.
 
     A run goes if it has ``min_chars`` characters and three whole lines, or ``min_passage`` characters.
     Everything else is as in ``dedup_lines``; what is left of a text keeps its own blanks and newlines,
-    but for a newline before a run that ended the text.
+    but for a newline before a run that ended the text.  With ``units_col=None`` units are counted
+    only where some go, and ``removed_col`` is the number removed, or -1 where all go.
     """
-    docs = docs.drop(units_col, removed_col)
-    runs = materialize(repeated_unit_runs(docs, id_col, text_col), "passages-runs")
-    left = docs.withColumn("__th", F.xxhash64(text_col))
-    right = runs.select(F.col("_id").alias("__id"), F.col("_th").alias("__rth"), F.col("runs").alias("__runs"))
-    both = left.join(right, left[id_col].eqNullSafe(right["__id"]) & (left["__th"] == right["__rth"]), "left")
-    part = lambda s, e: F.array_join(F.slice("__units", s + 1, e - s), "")
-    size = F.size("__units")
+    docs = docs.drop(removed_col, *([units_col] if units_col else []))
+    runs_, units_, cut_ = free_names(docs, "__runs", "__units", "__cut")
+    both = _with_runs(docs, materialize(repeated_unit_runs(docs, id_col, text_col), "passages-runs"), id_col, text_col, runs_)
+    part = lambda s, e: F.array_join(F.slice(F.col(units_), s + 1, e - s), "")
+    size = F.size(units_)
 
     def goes(r: Column) -> Column:
         run, ends = part(r["s"], r["e"] + 1), r["e"] + 1 >= size
-        inside = (r["s"] > 0) & ~F.get("__units", r["s"] - 1).endswith("\n")  # begins within a line
+        inside = (r["s"] > 0) & ~F.get(F.col(units_), r["s"] - 1).endswith("\n")  # begins within a line
         lines = F.size(F.split(run, "\n")) - inside.cast("int") - (~ends).cast("int")  # a last piece is empty or cut
         return (F.length(run) >= min_passage) | ((F.length(run) >= min_chars) & (lines >= SPAN))
 
-    last = F.element_at("__runs", -1)["e"] + 1 >= size
+    last = F.element_at(runs_, -1)["e"] + 1 >= size
     # the stretches between runs: from the end of one to the start of the next
-    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col("__runs"), i - 1)["e"] + 1)
-    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size("__runs")), lambda i: part(
-        F.least(begin(i), size), F.coalesce(F.get(F.col("__runs"), i)["s"], F.greatest(size, begin(i))))), "")
-    gone = F.aggregate("__runs", F.lit(0), lambda a, r: a + F.least(r["e"] + 1, size) - r["s"])
-    out = (both.withColumn("__units", text_units(F.col(text_col)))
-           .withColumn("__runs", F.filter("__runs", goes))
-           .withColumn("__cut", F.coalesce(F.size("__runs") > 0, F.lit(False)))
-           .withColumn(units_col, F.when(F.col(text_col).isNull(), 0).otherwise(size))
-           .withColumn(removed_col, F.when(F.col("__cut"), gone).otherwise(0))
-           .withColumn(text_col, F.when(~F.col("__cut"), F.col(text_col))
-                       .when(last, F.regexp_replace(kept, r"\n\z", "")).otherwise(kept)))
-    return out.select(*docs.columns, units_col, removed_col)
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(F.col(runs_), i - 1)["e"] + 1)
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs_)), lambda i: part(
+        F.least(begin(i), size), F.coalesce(F.get(F.col(runs_), i)["s"], F.greatest(size, begin(i))))), "")
+    gone = F.aggregate(runs_, F.lit(0), lambda a, r: a + F.least(r["e"] + 1, size) - r["s"])
+    units = text_units(F.col(text_col))
+    cut, n_gone = F.col(cut_), F.when(F.col(cut_), gone).otherwise(0)
+    out = (both.withColumn(units_, units if units_col else F.when(F.col(runs_).isNotNull(), units))
+           .withColumn(runs_, F.filter(runs_, goes))
+           .withColumn(cut_, F.coalesce(F.size(runs_) > 0, F.lit(False)))
+           .withColumn(removed_col, n_gone if units_col else F.when(cut & (gone >= size), -1).otherwise(n_gone)))
+    if units_col:
+        out = out.withColumn(units_col, F.when(F.col(text_col).isNull(), 0).otherwise(size))
+    out = out.withColumn(text_col, F.when(~cut, F.col(text_col)).when(last, F.regexp_replace(kept, r"\n\z", "")).otherwise(kept))
+    return out.select(*docs.columns, *([units_col] if units_col else []), removed_col)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import WordHashes, connected_components, materialize, materialize_by_key, mix64, shingle_sets, text_bytes
+from quarry.llm.common import WordHashes, connected_components, free_names, materialize, materialize_by_key, mix64, shingle_sets, text_bytes
 
 _BITS = 1 << 23
 _SEEDS = 16  # cuts of one set; band and cut fill the last ten bits of a token
@@ -345,27 +345,28 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows with an empty set are all kept.
     """
     cols = docs.columns
+    cls_, of_, keep_, text_, at_, row_ = free_names(docs, "__cls", "__of", "__keep", "__text", "__at", "__row")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             cls = [_class_key(s) if len(s) else None for s in shingle_sets(b.column(b.num_columns - 1).to_pylist(), n, hashes)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cls, pa.int64())], [*cols, "__cls"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(cls, pa.int64())], [*cols, cls_])
 
     from pyspark.sql.types import LongType, StructType
-    schema = StructType([*docs.schema.fields]).add("__cls", LongType())
+    schema = StructType([*docs.schema.fields]).add(cls_, LongType())
     rows = materialize(class_of_rows(docs, id_col, text_col, n).where(F.col("_cls").isNotNull()), "ngram-rows")
     named = _row_components(rows, class_components(docs, text_col, n, percent, _sizes(rows)))
     first = F.min(F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("id"), F.col("_cls").alias("cls")))
     keep = materialize(named.groupBy("_comp").agg(first.alias("k"))
-                       .select(F.col("k.cls").alias("__of"), F.col("k.id").alias("__keep")), "ngram-keep")
+                       .select(F.col("k.cls").alias(of_), F.col("k.id").alias(keep_)), "ngram-keep")
     # rows without a set meet nothing: a hash of their id spreads them over the join
-    marked = (docs.withColumn("__text", text_bytes(F.col(text_col))).mapInArrow(work, schema)
-              .withColumn("__at", F.coalesce("__cls", F.xxhash64(id_col))))
-    kept = (marked.join(keep, (marked["__at"] == keep["__of"]) & marked[id_col].eqNullSafe(keep["__keep"]), "left")
-            .where(F.col("__cls").isNull() | F.col("__of").isNotNull()))
+    marked = (docs.withColumn(text_, text_bytes(F.col(text_col))).mapInArrow(work, schema)
+              .withColumn(at_, F.coalesce(cls_, F.xxhash64(id_col))))
+    kept = (marked.join(keep, (marked[at_] == keep[of_]) & marked[id_col].eqNullSafe(keep[keep_]), "left")
+            .where(F.col(cls_).isNull() | F.col(of_).isNotNull()))
     if not rows.groupBy("_id", "_cls").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         # repeated rows: one of each, and every row without a set
-        kept = (kept.withColumn("__row", F.when(F.col("__cls").isNull(), F.monotonically_increasing_id()))
-                .dropDuplicates(["__cls", "__row"]))
+        kept = (kept.withColumn(row_, F.when(F.col(cls_).isNull(), F.monotonically_increasing_id()))
+                .dropDuplicates([cls_, row_]))
     return kept.select(*cols)
