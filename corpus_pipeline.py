@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, line_dedup, mixing, ngram_join, toxicity
-from quarry.llm.common import materialize
+from quarry.llm.common import free_names, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +21,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages cut out; ``n_chars`` follows the text; a text that loses all is dropped."""
-    out = line_dedup.dedup_passages(docs, units_col="__units_had", removed_col="__units_cut")
+    (cut,) = free_names(docs, "__units_cut")
+    out = line_dedup.dedup_passages(docs, units_col=None, removed_col=cut)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__units_cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.where((F.col("__units_cut") < F.col("__units_had")) | (F.col("__units_cut") == 0)).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(cut) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.where(F.col(cut) >= 0).select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
