@@ -70,9 +70,9 @@ _MOST_BITS = 27  # a bitmap never takes more than 16 MB, so it may be broadcast
 class HashBitmap:
     """Bits of the 64-bit hashes of some rows: finds candidates for an exact join among many more rows.
 
-    Built from grouped sums, broadcast as rows of 512 words; its size has a fixed bound.  A row whose
-    hash is in the set is always found; with very many hashes the bits fill up and more other rows pass,
-    which the exact join behind it leaves out.
+    Built by Spark's bitmap aggregate and broadcast as rows of 4 KB; its size has a fixed bound.  A row
+    whose hash is in the set is always found; with very many hashes the bits fill up and more other rows
+    pass, which the exact join behind it leaves out.
     """
 
     def __init__(self, hashes: DataFrame, col: str, name: str):
@@ -80,12 +80,8 @@ class HashBitmap:
         self.empty = n == 0
         self.mask = (1 << min(_MOST_BITS, max(15, (32 * n).bit_length()))) - 1
         at = F.col(col).bitwiseAND(F.lit(self.mask))
-        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
-        words = hashes.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(one).alias("v"))
-        rows = words.groupBy(F.shiftright("w", 9).alias("block")).agg(F.map_from_entries(F.collect_list(
-            F.struct(F.col("w").bitwiseAND(511).cast("int"), "v"))).alias("m"))
-        bits = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
-        self.rows = materialize(rows.select("block", bits.alias("bits")), name)
+        self.rows = materialize(hashes.groupBy(F.shiftright(at, 15).alias("block"))
+                                .agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("bits")), name)
 
     def mark(self, df: DataFrame, hashed: Column, name: str) -> DataFrame:
         """``df`` with a boolean: whether the row's hash may be in the set."""
@@ -95,8 +91,9 @@ class HashBitmap:
         rows = self.rows.select(F.col("block").alias(block), F.col("bits").alias(bits))
         out = df.withColumn(at, hashed.bitwiseAND(F.lit(self.mask)))
         out = out.join(F.broadcast(rows), F.shiftright(at, 15) == F.col(block), "left")
-        word = F.get(F.col(bits), F.shiftright(at, 6).bitwiseAND(511).cast("int"))
-        return out.withColumn(name, F.coalesce(F.getbit(word, F.col(at).bitwiseAND(63).cast("int")) == 1, F.lit(False))).drop(at, block, bits)
+        place = F.col(at).bitwiseAND(32767)
+        byte = F.conv(F.hex(F.substr(F.col(bits), (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+        return out.withColumn(name, F.coalesce(F.getbit(byte, place.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop(at, block, bits)
 
 
 def id_fold(doc_id: Column, folds: int) -> Column:

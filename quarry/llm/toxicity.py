@@ -134,11 +134,11 @@ def _fit_curve(rows: list, share: float) -> tuple[float, float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", fold: int = 1, folds: int = 3, max_toxic: int = 5000,
-        max_ordinary: int = 15_000, max_words: int | None = None) -> Model:
+        max_ordinary: int = 15_000, max_words: int | None = 200_000) -> Model:
     """Fit the two models and the curve on labelled rows outside fold ``fold``.
 
-    All words of the sample are in the models, also those met once (``max_words`` keeps only the most
-    frequent); the sample of at most ``max_toxic`` + ``max_ordinary`` texts bounds them.  NULL texts count
+    The table holds the ``max_words`` most frequent words of the sample (None: all, also those met
+    once); other words are scored as unknown.  The sample has at most ``max_toxic`` + ``max_ordinary`` texts.  NULL texts count
     as empty, NULL labels and ids as none; without documents or labels of both classes the model gives
     every text the share of label 1.
     """
