@@ -14,7 +14,7 @@ from quarry.llm.common import free_names, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under 0.7 by the class-conditional Kneser-Ney models."""
+    """Documents scored under 0.7 by the class-conditional Kneser-Ney models (NULL texts count as empty)."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model, threshold=0.7)
 
@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("ngram_jaccard", keep_one_of_each),
           ("decontaminate", drop_contaminated), ("mix", mix)]
 
-# model fitting, signatures and hashed permutations are outside SQL; tests hold a brute-force version
+# model fitting, signatures and hashed permutations are outside SQL; tests run the stages on planted rows
 ORACLE_SQL = None
 
 
