@@ -7,13 +7,13 @@ is (c + 0.5) / (N_class + 0.5 (V_class + 1)) with exact counts of every training
 emission tables stay bounded while the vocabulary grows with the corpus.
 
 Training: each task runs forward-backward over its documents and returns expected counts; Spark sums
-them and the driver renormalises tables of fixed size (states x classes).  All ``warm_rounds`` +
-``rounds`` rounds read all training documents, written once as class numbers; only a ``warm_share``
-over 1 makes the warm rounds read a hashed share.  In training a document is cut into stretches of ``stretch`` words; a later stretch starts from its own learned
-start distribution.
+them and the driver renormalises tables of fixed size (states x classes).  All ``rounds`` rounds read
+all training documents, written once as class numbers.  In training a document is cut into stretches
+of ``stretch`` words; a later stretch starts from its own learned start distribution.
 
-Scoring is exact for a whole text of any length: stretches are turned into scaled state-transfer
-matrices (all stretches of a batch advance together), then multiplied in order.
+Scoring is exact for a whole text of any length: all texts of a batch carry their state vector along
+together over their first ``head`` words; later pieces of longer texts become scaled state-transfer
+matrices, which are then applied in order.
 
 Word counts of rare words never travel to the driver or a broadcast: tail words of each document are
 joined with the count table and summed per document.
@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,17 +51,26 @@ class Vocabulary:
         self.first_tail = min(top_words, len(hot))
         self.end = self.first_tail + tail_classes
         self.classes = self.end + 1
-        self.count = dict(hot)
-        self.known = {w: i if i < self.first_tail else self.tail(w) for i, (w, _) in enumerate(hot)}
+        self.place = {w: i for i, (w, _) in enumerate(hot)}
+        self.by_place = np.array([i if i < self.first_tail else self.tail(w) for i, (w, _) in enumerate(hot)] + [0], np.int32)
 
     def tail(self, word: bytes) -> int:
         return self.first_tail + zlib.crc32(word[-3:]) % self.tail_classes
 
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Classes (with the end), places among the hot words (-1: not one of them), and the words that are not."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int32, len(words))
+        out = np.empty(len(words) + 1, np.int32)
+        out[:-1] = self.by_place[at]
+        out[-1] = self.end
+        miss = np.flatnonzero(at < 0)
+        others = [words[i] for i in miss.tolist()]
+        crc, first, n = zlib.crc32, self.first_tail, self.tail_classes
+        out[miss] = [first + crc(w[-3:]) % n for w in others]
+        return out, at, others
+
     def sequence(self, words: list[bytes]) -> np.ndarray:
-        known, tail = self.known, self.tail
-        out = [c if (c := known.get(w)) is not None else tail(w) for w in words]
-        out.append(self.end)
-        return np.array(out, np.int32)
+        return self.look_up(words)[0]
 
     @property
     def kind(self) -> type:
@@ -93,8 +103,7 @@ def count_words(train: DataFrame) -> DataFrame:
 
 def _tail_totals(counts: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each tail class."""
-    top = [w for w, c in vocab.known.items() if c < vocab.first_tail]
-    own = set(top)
+    own = {w for w, i in vocab.place.items() if i < vocab.first_tail}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(vocab.tail_classes, np.int64), np.zeros(vocab.tail_classes, np.int64)
@@ -117,41 +126,54 @@ def _tail_totals(counts: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, np.n
 
 # --------------------------------------------------------------------------- Baum-Welch
 
-def expected_counts(seqs: list[np.ndarray], fresh: np.ndarray, p: Params) -> tuple:
+def expected_counts(seqs: list[np.ndarray], fresh: np.ndarray, p: Params, every: int = 4) -> tuple:
     """Expected start, continued-start, move and emission counts and the log-likelihood of stretches.
 
     ``seqs`` are sorted by falling length; at step t only the first ``alive[t]`` of them go on.
+    Vectors are rescaled at each ``every``-th step and where a stretch ends; the scales cancel.
     """
     states, classes = p.emit.shape
     lens = np.array([len(s) for s in seqs])
-    alive = np.searchsorted(-lens, -np.arange(lens[0]), side="left")
-    grid = np.zeros((lens[0], len(seqs)), np.int32)
+    steps, n = int(lens[0]), len(seqs)
+    alive = np.searchsorted(-lens, -np.arange(steps + 1), side="left")
+    rows = np.zeros((n, steps), np.int32)
     for i, s in enumerate(seqs):
-        grid[:len(s), i] = s
-    emit = np.ascontiguousarray(p.emit.T)
-    alpha = np.zeros((lens[0], len(seqs), states))
-    scale = np.ones((lens[0], len(seqs)))
-    cur = np.where(fresh[:, None], p.start, p.cont)
-    for t in range(lens[0]):
-        a = alive[t]
-        cur = (cur[:a] if t == 0 else alpha[t - 1, :a] @ p.move) * emit[grid[t, :a]]
-        scale[t, :a] = cur.sum(axis=1)
-        alpha[t, :a] = cur / scale[t, :a, None]
+        rows[i, :lens[i]] = s
+    grid = np.ascontiguousarray(rows.T)
+    seen = np.ascontiguousarray(p.emit.T)[grid]
+    back_move, ones = np.ascontiguousarray(p.move.T), np.ones(states)
+    alpha = np.empty((steps, n, states))
+    shrink: dict[int, np.ndarray] = {}
+    loglik = 0.0
+    np.multiply(np.where(fresh[:, None], p.start, p.cont), seen[0], out=alpha[0])
+    for t in range(steps):
+        cur = alpha[t, :alive[t]]
+        if t:
+            np.matmul(alpha[t - 1, :alive[t]], p.move, out=cur)
+            cur *= seen[t, :alive[t]]
+        if t % every == every - 1 or alive[t + 1] < alive[t]:
+            size = cur @ ones
+            shrink[t] = (1.0 / size)[:, None]
+            cur *= shrink[t]
+            loglik += float(np.log(size).sum())
     xi = np.zeros((states, states))
-    beta = np.ones((len(seqs), states))
+    beta = np.ones((n, states))
     gamma = alpha  # turned into posteriors from the back
-    for t in range(lens[0] - 1, 0, -1):
+    for t in range(steps - 1, 0, -1):
         a = alive[t]
-        back = emit[grid[t, :a]] * beta[:a] / scale[t, :a, None]
-        xi += p.move * (alpha[t - 1, :a].T @ back)
+        back = seen[t, :a]
+        back *= beta[:a]
+        if t in shrink:
+            back *= shrink[t]
+        xi += alpha[t - 1, :a].T @ back
         gamma[t, :a] *= beta[:a]
-        beta[:a] = back @ p.move.T
+        np.matmul(back, back_move, out=beta[:a])
     gamma[0] *= beta
-    mask = np.arange(lens[0])[:, None] < lens[None, :]
+    mask = np.arange(steps)[:, None] < lens[None, :]
     flat = grid[mask]
     g = gamma[mask]
     out = np.stack([np.bincount(flat, weights=g[:, k], minlength=classes) for k in range(states)])
-    return gamma[0][fresh].sum(axis=0), gamma[0][~fresh].sum(axis=0), xi, out, float(np.log(scale[mask]).sum())
+    return gamma[0][fresh].sum(axis=0), gamma[0][~fresh].sum(axis=0), p.move * xi, out, loglik
 
 
 def _pack(start, cont, xi, emit, loglik) -> np.ndarray:
@@ -164,13 +186,13 @@ def _unpack(v: np.ndarray, states: int) -> tuple:
 
 
 def class_sequences(train: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``_seq`` (class numbers, as bytes) and ``_warm`` of each training text, written once for all rounds."""
+    """``_seq`` (class numbers, as bytes) of each training text, written once for all rounds."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seqs = [vocab.sequence(text.lower().split()).astype(vocab.kind).tobytes() for text in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary()), b.column(1)], ["_seq", "_warm"])
+            yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.binary())], ["_seq"])
 
-    return materialize(train.select("_text", "_warm").mapInArrow(work, "_seq binary, _warm boolean"), "lm-seqs")
+    return materialize(train.select("_text").mapInArrow(work, "_seq binary"), "lm-seqs")
 
 
 def baum_welch_round(train: DataFrame, vocab: Vocabulary, p: Params, stretch: int, batch_words: int) -> tuple[Params, float]:
@@ -225,44 +247,77 @@ def initial_params(vocab: Vocabulary, states: int, unigram: np.ndarray, seed: in
 
 # --------------------------------------------------------------------------- forward scoring
 
-def log_likelihoods(seqs: list[np.ndarray], p: Params, stretch: int) -> np.ndarray:
-    """Exact natural-log likelihood of each whole sequence."""
+def _grid(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of falling length side by side, and how many go on at each step."""
+    lens = np.array([len(x) for x in pieces])
+    rows = np.zeros((len(pieces), int(lens[0])), np.int32)
+    for i, x in enumerate(pieces):
+        rows[i, :len(x)] = x
+    return np.ascontiguousarray(rows.T), np.searchsorted(-lens, -np.arange(lens[0] + 1), side="left")
+
+
+def _carry(pieces: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """State vector after each first piece, with its scale's logarithm."""
+    order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+    grid, alive = _grid([pieces[i] for i in order])
+    emit, ones = np.ascontiguousarray(p.emit.T), np.ones(p.emit.shape[0])
+    vec = p.start * emit[grid[0]]
+    logs = np.zeros(len(pieces))
+    for t in range(len(grid)):
+        cur = vec[:alive[t]]
+        if t:
+            cur[:] = (cur @ p.move) * emit[grid[t, :alive[t]]]
+        if t % 8 == 7 or alive[t + 1] < alive[t]:
+            size = cur @ ones
+            cur /= size[:, None]
+            logs[:alive[t]] += np.log(size)
+    back = np.argsort(order)
+    return vec[back], logs[back]
+
+
+def _transfer(pieces: list[np.ndarray], p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled state-transfer matrix of each later piece, with its scale's logarithm."""
     states = p.emit.shape[0]
-    parts = [(i, at) for i, s in enumerate(seqs) for at in range(0, len(s), stretch)]
-    lens = np.array([min(stretch, len(seqs[i]) - at) for i, at in parts])
-    order = np.argsort(-lens, kind="stable")
-    alive = np.searchsorted(-lens[order], -np.arange(lens.max()), side="left")
-    grid = np.zeros((lens.max(), len(parts)), np.int32)
-    for col, j in enumerate(order):
-        i, at = parts[j]
-        grid[:lens[j], col] = seqs[i][at:at + stretch]
-    emit = p.emit.T
-    first = np.array([parts[j][1] == 0 for j in order])
-    prod = np.where(first[:, None, None], np.eye(states), p.move) * emit[grid[0]][:, None, :]
-    logs = np.zeros(len(parts))
-    for t in range(1, lens.max()):
+    order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+    grid, alive = _grid([pieces[i] for i in order])
+    emit = np.ascontiguousarray(p.emit.T)
+    prod = p.move * emit[grid[0]][:, None, :]
+    logs = np.zeros(len(pieces))
+    for t in range(len(grid)):
         a = alive[t]
-        prod[:a] = (prod[:a].reshape(-1, states) @ p.move).reshape(a, states, states) * emit[grid[t, :a]][:, None, :]
-        if t % 8 == 0 or t == lens.max() - 1:
+        if t:
+            prod[:a] = (prod[:a].reshape(-1, states) @ p.move).reshape(a, states, states) * emit[grid[t, :a]][:, None, :]
+        if t % 8 == 7 or alive[t + 1] < a:
             size = prod[:a].sum(axis=(1, 2))
             prod[:a] /= size[:, None, None]
             logs[:a] += np.log(size)
-    back = np.empty(len(parts), np.int64)
-    back[order] = np.arange(len(parts))
-    out = np.zeros(len(seqs))
-    vec = None
-    for j, (i, at) in enumerate(parts):
-        vec = (p.start if at == 0 else vec) @ prod[back[j]]
-        size = vec.sum()
-        out[i] += np.log(size) + logs[back[j]]
-        vec = vec / size
+    back = np.argsort(order)
+    return prod[back], logs[back]
+
+
+def log_likelihoods(seqs: list[np.ndarray], p: Params, stretch: int, head: int | None = None) -> np.ndarray:
+    """Exact natural-log likelihood of each whole sequence.
+
+    The first ``head`` words (default ``stretch``) are a vector recursion; the pieces of ``stretch``
+    words after them are matrices, so that one very long text does not go on alone, word by word.
+    """
+    head = head or stretch
+    vec, out = _carry([s[:head] for s in seqs], p)
+    later = [(i, at) for i, s in enumerate(seqs) for at in range(head, len(s), stretch)]
+    if later:
+        prod, logs = _transfer([seqs[i][at:at + stretch] for i, at in later], p)
+        for j, (i, _) in enumerate(later):
+            nxt = vec[i] @ prod[j]
+            size = nxt.sum()
+            vec[i] = nxt / size
+            out[i] += np.log(size) + logs[j]
     return out
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 1, folds: int = 5,
                 states: int = 5, top_words: int = 8192, hot_words: int = 65_536, tail_classes: int = 1024,
-                warm_share: int = 1, warm_rounds: int = 8, rounds: int = 2, stretch: int = 256,
-                batch_words: int = 100_000) -> DataFrame:
+                rounds: int = 10, stretch: int = 256, head: int = 512, batch_words: int = 100_000,
+                score_words: int = 200_000) -> DataFrame:
     """One row per input row: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     Learns from rows whose id is not in fold ``fold`` (a NULL id is in none).  NULL and empty texts are
@@ -287,20 +342,18 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unigram = np.concatenate([[c for _, c in hot[:vocab.first_tail]], tail_n, [ends]]).astype(float) + 0.5
     p = initial_params(vocab, states, unigram / unigram.sum())
     if ends:
-        seqs = class_sequences(train.withColumn(
-            "_warm", F.pmod(F.xxhash64(F.lit(3), "_id", "_text"), F.lit(warm_share)) == 0), vocab)
-        for data, times in ((seqs.where("_warm"), warm_rounds), (seqs, rounds)):
-            for _ in range(times):
-                p, _loglik = baum_welch_round(data, vocab, p, stretch, batch_words)
+        seqs = class_sequences(train, vocab)
+        for _ in range(rounds):
+            p, _loglik = baum_welch_round(seqs, vocab, p, stretch, batch_words)
 
     log_end = np.log10(ends + 0.5)
     log_den = np.log10(denominator)
     base_den = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    log_count = {w: float(np.log10(c + 0.5)) for w, c in hot}
+    log_count = np.array([float(np.log10(c + 0.5)) for _, c in hot] + [0.0])  # by place, the last for other words
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ids, outs, seqs, sums):
-            ll = log_likelihoods(seqs, p, stretch) / np.log(10)
+            ll = log_likelihoods(seqs, p, stretch, head) / np.log(10)
             tails = [s >= vocab.first_tail for s in seqs]
             adjust = np.array([-log_den[s[t][:-1] - vocab.first_tail].sum() for s, t in zip(seqs, tails)])
             return pa.RecordBatch.from_arrays([
@@ -315,17 +368,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids, outs, seqs, sums, words = [], [], [], [], 0
             for doc_id, out, text in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 ws = text.lower().split()
-                s = vocab.sequence(ws)
-                found = [log_count.get(w) for w in ws]
-                rest = Counter(w for w, x in zip(ws, found) if x is None)
-                got = np.array([0.0 if x is None else x for x in found])
-                own = s[:-1] < vocab.first_tail
+                s, at, others = vocab.look_up(ws)
+                got = log_count[at]
                 # the text end is a class of its own and is always counted from the training rows
-                sums.append((len(ws) - sum(rest.values()) + (ends > 0), float(got.sum()) + log_end,
-                             float(got[~own].sum()), rest))
+                sums.append((len(ws) - len(others) + (ends > 0), float(got.sum()) + log_end,
+                             float(got[at >= vocab.first_tail].sum()), Counter(others)))
                 ids.append(doc_id), outs.append(out), seqs.append(s)
                 words += len(s)
-                if words >= batch_words:
+                if words >= score_words:
                     yield flush(pa.array(ids, b.schema.field(0).type), outs, seqs, sums)
                     ids, outs, seqs, sums, words = [], [], [], [], 0
             if seqs:

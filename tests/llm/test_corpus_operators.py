@@ -30,7 +30,7 @@ def _runs(spark):
     return {
         "pii": lambda d: pii.digest(pii.find_pii(d)),
         "license": lambda d: license_scan.digest(license_scan.scan_licenses(d)),
-        "lm": lambda d: hmm_lm.score_texts(d, warm_rounds=1, rounds=1),
+        "lm": lambda d: hmm_lm.score_texts(d, rounds=2),
         "ngram": lambda d: ngram_join.join_documents(d),
         "mix": lambda d: mixing.mix_sources(d),
         "toxic": lambda d: toxicity.score_toxicity(d, toxicity.fit(d, labels)),
@@ -119,6 +119,40 @@ def test_hmm_forward_equals_sum_over_paths():
             assert math.isclose(got, math.log(total), rel_tol=1e-12)
 
 
+def test_hmm_batches_equal_single_recursions():
+    rng = np.random.default_rng(4)
+    p = hmm_lm.Params(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), rng.dirichlet(np.ones(9), 3))
+    seqs = [rng.integers(0, 9, n).astype(np.int32) for n in (1, 70, 4, 33, 8, 8, 200, 1, 16, 17)]
+
+    def plain(s, start):
+        """Expected counts and log-likelihood by unscaled forward and backward vectors."""
+        f = [start * p.emit[:, s[0]]]
+        for x in s[1:]:
+            f.append((f[-1] @ p.move) * p.emit[:, x])
+        b = [np.ones(3)]
+        for x in s[:0:-1]:
+            b.insert(0, p.move @ (p.emit[:, x] * b[0]))
+        total = f[-1].sum()
+        xi = sum((np.outer(f[t], p.emit[:, s[t + 1]] * b[t + 1]) * p.move for t in range(len(s) - 1)), np.zeros((3, 3))) / total
+        emit = np.zeros((3, 9))
+        for t, x in enumerate(s):
+            emit[:, x] += f[t] * b[t] / total
+        return f[0] * b[0] / total, xi, emit, math.log(total)
+
+    want = [plain(s, p.start)[3] for s in seqs]
+    for stretch, head in ((5, 5), (7, 20), (16, 8), (300, 300)):
+        assert np.allclose(hmm_lm.log_likelihoods(seqs, p, stretch, head), want, rtol=1e-11)
+    order = sorted(seqs, key=lambda s: -len(s))
+    fresh = np.array([i % 3 != 1 for i in range(len(order))])
+    alone = [plain(s, p.start if f else p.cont) for s, f in zip(order, fresh)]
+    for every in (1, 4, 8):
+        start, cont, xi, emit, loglik = hmm_lm.expected_counts(order, fresh, p, every)
+        assert np.allclose(start, sum(a[0] for a, f in zip(alone, fresh) if f))
+        assert np.allclose(cont, sum(a[0] for a, f in zip(alone, fresh) if not f))
+        assert np.allclose(xi, sum(a[1] for a in alone)) and np.allclose(emit, sum(a[2] for a in alone))
+        assert math.isclose(loglik, sum(a[3] for a in alone), rel_tol=1e-12)
+
+
 def test_hmm_production_parameters_fit_small_tables(spark):
     from pyspark.sql import functions as F
     rng = random.Random(6)
@@ -136,7 +170,7 @@ def test_hmm_production_parameters_fit_small_tables(spark):
 def test_hmm_round_without_text_keeps_parameters(spark):
     vocab = hmm_lm.Vocabulary([(b"x", 3), (b"y", 2)], 2, 4)
     p = hmm_lm.initial_params(vocab, 3, np.ones(vocab.classes))
-    train = hmm_lm.class_sequences(spark.createDataFrame([], "_text binary, _warm boolean"), vocab)
+    train = hmm_lm.class_sequences(spark.createDataFrame([], "_text binary"), vocab)
     got, loglik = hmm_lm.baum_welch_round(train, vocab, p, 16, 100)
     assert got is p and loglik == 0.0
 
@@ -146,7 +180,7 @@ def test_hmm_training_raises_likelihood_and_base_is_exact(spark):
     a, b = [f"a{i}" for i in range(12)], [f"b{i}" for i in range(12)]
     rows = [(i, " ".join(rng.choices(a if i % 2 else b, k=40))) for i in range(160)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r for r in hmm_lm.score_texts(docs, states=2, warm_share=1, warm_rounds=6, rounds=2).collect()}
+    got = {r.doc_id: r for r in hmm_lm.score_texts(docs, states=2, rounds=8).collect()}
     counts, ends = Counter(), 0
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 5 != 1:
