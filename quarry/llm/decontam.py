@@ -1,22 +1,27 @@
 """Benchmark decontamination: spaced seeds find places, aligned words verify them.
 
-Fixed masks pick some of the words of every eight-word window; the hashes of the picked words of
-benchmark items and documents are joined, so a hit survives substitutions at the ignored places.
+Fixed masks pick some words of every window; the hashes of the picked words of benchmark items and
+documents are joined, so a hit survives substitutions at the ignored places.
 Around each hit the item is laid along the document (same shift), and the pair counts when some
 stretch of ``overlap`` aligned words (the whole item if shorter) agrees in at least ``share`` of its
-places.  Built from DataFrame functions only.
+places.  With the default ``overlap`` and ``share`` the masks leave no accepted pair without a hit
+(one word in five changed at most: 3 of 16, 2 of 10, 1 of 5 to 9).  Built from DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE, ascii_lower, free_names, materialize
 
-# places of an eight-word window that each mask compares (fixed values)
-MASKS = ((0, 1, 2, 4, 7), (0, 3, 5, 6, 7))
-SPAN = 8
+# places that each mask compares, by the item's number of words (8: eight and more; fixed values)
+MASKS = {5: ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4)),
+         6: ((0, 1, 2, 4), (0, 2, 3, 4)),
+         7: ((0, 1, 2, 3, 4), (0, 1, 2, 3, 5), (0, 1, 3, 4, 5)),
+         8: ((0, 1, 2, 3, 5), (0, 1, 2, 5, 6), (0, 3, 5, 6, 7))}
 
 
 def _word_hashes(text):
@@ -24,14 +29,18 @@ def _word_hashes(text):
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Explode ``_h`` into (``_seed``, ``_pos``); the mask is part of the hash."""
+def _seeds(df: DataFrame, keep: list[str], kind: int) -> DataFrame:
+    """Explode ``_h`` into (``_seed``, ``_pos``) by the masks of ``kind``; the mask is part of the hash."""
+    masks = MASKS[kind]
+    shortest = min(m[-1] for m in masks) + 1
+
     def picked(i):
-        return F.array(*[F.xxhash64(F.lit(m), *[F.get(F.col("_h"), i + k) for k in mask]) for m, mask in enumerate(MASKS)])
+        return F.array(*[F.when(i + m[-1] < F.size("_h"), F.xxhash64(F.lit(kind), F.lit(no), *[F.get(F.col("_h"), i + k) for k in m]))
+                         for no, m in enumerate(masks)])
 
-    windows = F.transform(F.sequence(F.lit(0), F.size("_h") - SPAN), picked)
-    rows = df.where(F.size("_h") >= SPAN).select(*keep, F.posexplode(windows).alias("_pos", "_both"))
-    return rows.select(*keep, "_pos", F.explode("_both").alias("_seed"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("_h") - shortest), picked)
+    rows = df.where(F.size("_h") >= shortest).select(*keep, F.posexplode(windows).alias("_pos", "_each"))
+    return rows.select(*keep, "_pos", F.explode("_each").alias("_seed")).where(F.col("_seed").isNotNull())
 
 
 def contaminated_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -40,16 +49,19 @@ def contaminated_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """(``_id``, ``_th``, ``_item``, ``agree``): verified documents with the best share of agreeing words.
 
     The benchmark's seeds are broadcast only while they number at most ``broadcast_seeds``;
-    beyond that the join is left to the optimizer (a shuffle on the seed).
+    beyond that the join is left to the optimizer (a shuffle on the seed).  Documents are read with the
+    masks of those item lengths that the benchmark holds.
     """
     items = materialize(benchmark.where(F.col(item_col).isNotNull())
                         .select(F.col(item_col).alias("_item"), _word_hashes(F.col(item_text)).alias("_t")).distinct(), "bench")
-    tests = materialize(_seeds(items.withColumn("_h", F.col("_t")), ["_item"])
-                        .select("_item", F.col("_pos").alias("_q"), "_seed"), "bench-seeds")
+    kind = F.least(F.size("_t"), F.lit(max(MASKS)))
+    kinds = sorted(r[0] for r in items.select(kind).distinct().collect() if r[0] in MASKS) or [max(MASKS)]
+    per_item = [_seeds(items.where(kind == k).withColumn("_h", F.col("_t")), ["_item"], k) for k in kinds]
+    tests = materialize(reduce(DataFrame.unionAll, per_item).select("_item", F.col("_pos").alias("_q"), "_seed"), "bench-seeds")
     small = tests.count() <= broadcast_seeds
     hashed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"),
                          _word_hashes(F.col(text_col)).alias("_h"))
-    seeds = _seeds(hashed, ["_id", "_th"])
+    seeds = reduce(DataFrame.unionAll, [_seeds(hashed, ["_id", "_th"], k) for k in kinds])
     hits = (seeds.join(F.broadcast(tests) if small else tests, "_seed")
             .select("_id", "_th", "_item", (F.col("_pos") - F.col("_q")).alias("_shift")).distinct())
     hits = materialize(hits, "bench-hits")
@@ -81,8 +93,8 @@ def mark_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                       **options) -> DataFrame:
     """One row per input row: id, ``contaminated``, ``n_items``, ``item_ids`` (sorted) and ``best``.
 
-    Texts and items under eight words hold no seed and match nothing, as do NULL texts, NULL items
-    and an empty benchmark.  Rows of equal id and text get equal results.
+    Items under five words (the shingle length of this library) match nothing, as do NULL texts, NULL
+    items and an empty benchmark; an item of under ``overlap`` words has to be in the text as a whole.  Rows of equal id and text get equal results.
     """
     found = materialize(contaminated_items(docs, benchmark, id_col, text_col, **options)
                         .groupBy("_id", "_th").agg(F.sort_array(F.collect_list("_item")).alias("item_ids"),

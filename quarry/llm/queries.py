@@ -115,12 +115,13 @@ _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+')"
 _SEED_UNION = " UNION ".join(
     f"SELECT x.doc_id, y.item_id, x.p - y.q AS s FROM dw x JOIN tw y ON " +
-    " AND ".join(f"x.w[x.p + {k + 1}] = y.w[y.q + {k + 1}]" for k in m) for m in decontam.MASKS)
+    " AND ".join(f"x.w[x.p + {k + 1}] = y.w[y.q + {k + 1}]" for k in m) + f" AND least(len(y.w), 8) = {kind}"
+    for kind, masks in decontam.MASKS.items() for m in masks)
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 t AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
-dw AS (SELECT doc_id, w, UNNEST(range(0, len(w) - 7)) AS p FROM d WHERE len(w) >= 8),
-tw AS (SELECT item_id, w, UNNEST(range(0, len(w) - 7)) AS q FROM t WHERE len(w) >= 8),
+dw AS (SELECT doc_id, w, UNNEST(range(0, len(w))) AS p FROM d WHERE len(w) > 0),
+tw AS (SELECT item_id, w, UNNEST(range(0, len(w))) AS q FROM t WHERE len(w) > 0),
 h AS ({_SEED_UNION}),
 v AS (SELECT h.doc_id, h.item_id, least(16, len(t.w)) AS n,
              [CASE WHEN t.w[i + 1] = d.w[i + s + 1] THEN 1 ELSE 0 END

@@ -391,6 +391,43 @@ def test_decontamination_with_substitutions(spark):
     assert {r.doc_id for r in shuffled.collect() if r.contaminated} == {1, 2, 4}
 
 
+def test_decontamination_masks_leave_no_accepted_pair_out():
+    from itertools import combinations
+    for n in range(5, 17):
+        masks = decontam.MASKS[min(n, 8)]
+        for bad in combinations(range(n), n // 5):
+            assert any(all(at + k not in bad for k in m) for m in masks for at in range(n - m[-1])), (n, bad)
+
+
+def test_decontamination_equals_search_without_seeds(spark):
+    rng = random.Random(11)
+    items = {i: [f"w{rng.randrange(400)}" for _ in range(n)] for i, n in enumerate((4, 5, 6, 7, 7, 8, 8, 9, 10, 10, 13, 15, 16, 17, 40))}
+    texts = {0: None, 1: "", 2: " ".join(items[3]), 3: " ".join(items[5])}
+    for doc in range(4, 400):
+        words = list(rng.choice(list(items.values())))
+        words = words[rng.choice((0, 0, 0, 2)):]
+        for at in rng.sample(range(len(words)), min(len(words), rng.randrange(5))):
+            words[at] = f"x{rng.randrange(50)}"
+        fill = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(12))]
+        texts[doc] = " ".join(fill[:6] + words + fill[6:])
+
+    def agree(t, d):
+        n, best = min(16, len(t)), 0.0
+        for shift in range(-len(t), len(d) + 1):
+            e = [t[i] == d[i + shift] for i in range(max(0, -shift), min(len(t), len(d) - shift))]
+            best = max([best, *(sum(e[i:i + n]) / n for i in range(len(e) - n + 1))])
+        return best
+
+    want = {}
+    for doc, text in texts.items():
+        found = {i: x for i, t in items.items() if len(t) >= 5 and (x := agree(t, (text or "").split())) >= 0.8}
+        want[doc] = (",".join(map(str, sorted(found))), max(found.values(), default=0.0))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id bigint, text string")
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: (r.item_ids, r.best) for r in decontam.mark_contaminated(docs, bench).collect()}
+    assert got == want and sum(x != "" for x, _ in want.values()) > 150 and got[2][0] == "3" and got[3][0] == "5"
+
+
 def test_native_plans_hold_no_python(spark, odd):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id bigint, text string")
     for df in (line_dedup.dedup_lines(odd), decontam.mark_contaminated(odd, bench)):
