@@ -61,15 +61,18 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return _later_runs(windows, "lines-first")
 
 
-def _with_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
-    """``docs`` with the ``runs`` to cut (or NULL): only texts that may have some are shuffled."""
+def _with_runs(docs: DataFrame, runs: DataFrame, id_col: str, text_col: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose text may have ``runs`` to cut, shuffled to them (or NULL), and all other rows as they are."""
     th, may, other, other_th = free_names(docs, "__th", "__may", "__id", "__rth")
     bits = HashBitmap(runs.select(F.xxhash64("_id", "_th").alias("h")), "h", "runs-bits")
     marked = bits.mark(docs.withColumn(th, F.xxhash64(text_col)), F.xxhash64(id_col, th), may)
     right = runs.select(F.col("_id").alias(other), F.col("_th").alias(other_th), F.col("runs").alias(name))
     some = marked.where(F.col(may)).join(right.hint("shuffle_merge"), F.col(id_col).eqNullSafe(F.col(other)) & (F.col(th) == F.col(other_th)), "left")
-    rest = marked.where(~F.col(may)).withColumn(name, F.lit(None).cast(right.schema[name].dataType))
-    return some.select(*docs.columns, name).unionByName(rest.select(*docs.columns, name))
+    return some.select(*docs.columns, name), marked.where(~F.col(may)).select(*docs.columns)
+
+
+def _all_rows(some: DataFrame, rest: DataFrame, name: str) -> DataFrame:
+    return some.unionByName(rest.withColumn(name, F.lit(None).cast(some.schema[name].dataType)))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
@@ -84,7 +87,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs = docs.drop(lines_col, removed_col)
     runs_, lines_ = free_names(docs, "__runs", "__lines")
-    both = _with_runs(docs, materialize(repeated_runs(docs, id_col, text_col, min_chars), "lines-runs"), id_col, text_col, runs_)
+    found = materialize(repeated_runs(docs, id_col, text_col, min_chars), "lines-runs")
+    both = _all_rows(*_with_runs(docs, found, id_col, text_col, runs_), runs_)
     lines = F.split(F.col(text_col), "\n")
     n = F.size(lines)
     # the stretches between runs: from the end of one to the start of the next
@@ -149,17 +153,18 @@ def repeated_unit_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40,
                    min_passage: int = 120, units_col: str | None = "n_units",
-                   removed_col: str = "n_removed") -> DataFrame:
+                   removed_col: str = "n_removed", keep_emptied: bool = True) -> DataFrame:
     """``docs`` with repeated runs of units cut out of the text, plus the counts of units and of those removed.
 
     A run goes if it has ``min_chars`` characters and three whole lines, or ``min_passage`` characters.
     Everything else is as in ``dedup_lines``; what is left of a text keeps its own blanks and newlines,
-    but for a newline before a run that ended the text.  With ``units_col=None`` units are counted
-    only where some go, and ``removed_col`` is the number removed, or -1 where all go.
+    but for a newline before a run that ended the text.  With ``units_col=None`` units are not counted.
+    With ``keep_emptied=False`` a row whose text loses all its units is left out (rows of NULL and empty
+    texts lose nothing and stay).
     """
     docs = docs.drop(removed_col, *([units_col] if units_col else []))
     runs_, units_, cut_ = free_names(docs, "__runs", "__units", "__cut")
-    both = _with_runs(docs, materialize(repeated_unit_runs(docs, id_col, text_col), "passages-runs"), id_col, text_col, runs_)
+    some, rest = _with_runs(docs, materialize(repeated_unit_runs(docs, id_col, text_col), "passages-runs"), id_col, text_col, runs_)
     part = lambda s, e: F.array_join(F.slice(F.col(units_), s + 1, e - s), "")
     size = F.size(units_)
 
@@ -175,13 +180,22 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(runs_)), lambda i: part(
         F.least(begin(i), size), F.coalesce(F.get(F.col(runs_), i)["s"], F.greatest(size, begin(i))))), "")
     gone = F.aggregate(runs_, F.lit(0), lambda a, r: a + F.least(r["e"] + 1, size) - r["s"])
-    units = text_units(F.col(text_col))
-    cut, n_gone = F.col(cut_), F.when(F.col(cut_), gone).otherwise(0)
-    out = (both.withColumn(units_, units if units_col else F.when(F.col(runs_).isNotNull(), units))
-           .withColumn(runs_, F.filter(runs_, goes))
-           .withColumn(cut_, F.coalesce(F.size(runs_) > 0, F.lit(False)))
-           .withColumn(removed_col, n_gone if units_col else F.when(cut & (gone >= size), -1).otherwise(n_gone)))
-    if units_col:
-        out = out.withColumn(units_col, F.when(F.col(text_col).isNull(), 0).otherwise(size))
-    out = out.withColumn(text_col, F.when(~cut, F.col(text_col)).when(last, F.regexp_replace(kept, r"\n\z", "")).otherwise(kept))
-    return out.select(*docs.columns, *([units_col] if units_col else []), removed_col)
+    cut, n_units = F.col(cut_), [units_col] if units_col else []
+
+    def counted(df: DataFrame) -> DataFrame:
+        return df.withColumn(units_col, F.when(F.col(text_col).isNull(), 0).otherwise(size)) if units_col else df
+
+    some = (some.withColumn(units_, text_units(F.col(text_col)))
+            .withColumn(runs_, F.filter(runs_, goes))
+            .withColumn(cut_, F.coalesce(F.size(runs_) > 0, F.lit(False)))
+            .withColumn(removed_col, F.when(cut, gone).otherwise(0)))
+    emptied = cut & (F.col(removed_col) >= size)
+    some = counted(some).withColumn(text_col, F.when(~cut, F.col(text_col)).when(last, F.regexp_replace(kept, r"\n\z", "")).otherwise(kept))
+    if not keep_emptied:
+        # written first: a filter over these columns would be pushed below them, units computed again at each mention
+        (empty_,) = free_names(some, "__emptied")
+        some = materialize(some.withColumn(empty_, emptied).select(*docs.columns, *n_units, removed_col, empty_), "passages-cut")
+        some = some.where(~F.col(empty_))
+    rest = counted(rest.withColumn(units_, text_units(F.col(text_col)))).withColumn(removed_col, F.lit(0))
+    columns = [*docs.columns, *n_units, removed_col]
+    return some.select(*columns).unionByName(rest.select(*columns))

@@ -378,6 +378,20 @@ def test_passages_within_lines(spark):
     assert got[16].text == got[12].text  # under min_passage
 
 
+def test_passages_without_emptied_rows(spark):
+    text = "\n".join(f"line {i} of a passage that is told again" for i in range(6))
+    rows = [(1, text, 5), (2, text, 6), (3, "its own words\n" + text, 7), (4, None, 8), (5, "", 9), (None, text, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, __emptied int")
+    every = {r.doc_id: r for r in line_dedup.dedup_passages(docs).collect()}
+    left = {r.doc_id: r for r in line_dedup.dedup_passages(docs, units_col=None, keep_emptied=False).collect()}
+    assert set(every) == {1, 2, 3, 4, 5, None} and set(left) == {1, 3, 4, 5}  # emptied rows are left out, empty ones are not
+    assert all((left[i].text, left[i].n_removed, left[i]["__emptied"]) == (every[i].text, every[i].n_removed, every[i]["__emptied"])
+               for i in left)
+    assert left[1].text == text and left[3].text == "its own words" and "n_units" not in left[1]
+    none = docs.limit(0)
+    assert line_dedup.dedup_passages(none, units_col=None, keep_emptied=False).count() == 0
+
+
 def test_decontamination_with_substitutions(spark):
     item = [f"t{i}" for i in range(30)]
     changed = list(item)
