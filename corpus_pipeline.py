@@ -22,11 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated passages cut out; ``n_chars`` follows the text; a text that loses all is dropped."""
     (cut,) = free_names(docs, "__units_cut")
-    out = line_dedup.dedup_passages(docs, units_col=None, removed_col=cut)
+    out = line_dedup.dedup_passages(docs, units_col=None, removed_col=cut, keep_emptied=False)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(cut) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.where(F.col(cut) >= 0).select(*docs.columns)
+    return out.select(*docs.columns)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
