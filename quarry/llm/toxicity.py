@@ -57,6 +57,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(a + b * mean + c * peak, -40, 40))))
 
 
+class _FewHashes(WordHashes):
+    """Remembers fewer words, as several tasks share an executor's memory."""
+
+    LIMIT = 200_000
+
+
 def _labelled(labels: DataFrame, id_col: str, label_col: str, fold: int, folds: int) -> DataFrame:
     """One 0/1 label per learnable id (any 1 wins); NULL ids and labels teach nothing."""
     return (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()
@@ -67,24 +73,30 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str, fold: int, folds:
 def _count_contexts(train: DataFrame) -> DataFrame:
     """(b, c0, c1, c): per word hash, the different left neighbours in class 0, in class 1, in both together."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        seen: dict[tuple[int, int], int] = {}
+        hashes = _FewHashes()
+        left, right, classes, held = [], [], [], 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.int64()),
-                pa.array([v & 1 for v in seen.values()], pa.int32()),
-                pa.array([v >> 1 for v in seen.values()], pa.int32())], ["a", "b", "s0", "s1"])
-            seen.clear()
-            return out
-
-        for b in batches:
-            for y, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                h = hashes.array(text.lower().split()).view(np.int64).tolist()
-                for pair in set(zip([0, *h[:-1]], h)):
-                    seen[pair] = seen.get(pair, 0) | (1 << y)
-                if len(seen) > 400_000:
+            a, b, y = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, classes))
+            by = np.lexsort((b, a))
+            a, b, bit = a[by], b[by], (1 << y)[by]
+            first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            bits = np.bitwise_or.reduceat(bit, first) if len(a) else bit
+            for x in (left, right, classes):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array((bits & 1).astype(np.int32)),
+                                               pa.array((bits >> 1).astype(np.int32))], ["a", "b", "s0", "s1"])
+
+        for batch in batches:
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h = hashes.array(text.lower().split()).view(np.int64)
+                left.append(np.concatenate([np.zeros(min(1, len(h)), np.int64), h[:-1]]))
+                right.append(h)
+                classes.append(np.full(len(h), y, np.int64))
+                held += len(h)
+                if held > 400_000:
                     yield flush()
+                    held = 0
         yield flush()
 
     pairs = train.select("_y", "_text").mapInArrow(work, "a bigint, b bigint, s0 int, s1 int")
@@ -104,7 +116,7 @@ def _discounts(tally: dict[int, int]) -> np.ndarray:
 
 def _statistics(df: DataFrame, model: Model) -> list:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = _FewHashes()
         for b in batches:
             res = [model.statistics(hashes.array(t.lower().split())) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in res], pa.float64()),
@@ -186,12 +198,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(model.words, model.ratio, model.unknown, _fit_curve(rest, share))
 
 
-class _FewHashes(WordHashes):
-    """Remembers fewer words: scoring runs beside a table's other columns."""
-
-    LIMIT = 200_000
-
-
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
                    score_col: str = "score") -> DataFrame:
     """``docs`` ids with a score from 0 to 1, one row per input row.

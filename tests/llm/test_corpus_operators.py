@@ -378,6 +378,21 @@ def test_passages_within_lines(spark):
     assert got[16].text == got[12].text  # under min_passage
 
 
+def test_left_neighbours_counted_by_class(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(2), " ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(9)))) for _ in range(200)]
+    hashes = common.WordHashes()
+    key = lambda w: int(hashes.array([w.encode()]).view("int64")[0])
+    seen = [set(), set()]
+    for y, text in rows:
+        words = text.split()
+        seen[y] |= set(zip([None, *words], words))
+    want = {key(w): tuple(sum(b == w for _, b in s) for s in (*seen, seen[0] | seen[1])) for w in {b for s in seen for _, b in s}}
+    train = spark.createDataFrame([(y, t.encode()) for y, t in rows], "_y int, _text binary")
+    assert {r.b: (r.c0, r.c1, r.c) for r in toxicity._count_contexts(train).collect()} == want
+    assert toxicity._count_contexts(train.limit(0)).count() == 0
+
+
 def test_passages_without_emptied_rows(spark):
     text = "\n".join(f"line {i} of a passage that is told again" for i in range(6))
     rows = [(1, text, 5), (2, text, 6), (3, "its own words\n" + text, 7), (4, None, 8), (5, "", 9), (None, text, 1)]
