@@ -109,7 +109,7 @@ def text_bytes(text: Column) -> Column:
 class WordHashes(dict):
     """64-bit hash of each word, remembered; emptied when it holds too many words."""
 
-    LIMIT = 1_000_000
+    LIMIT = 300_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
