@@ -8,7 +8,7 @@ from itertools import chain
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import ensure_checkpoint_dir
@@ -24,6 +24,22 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, _UPPER, _UPPER.lower())
 
 
+# batch limits as Spark ships them, and the smaller ones for tasks that share an executor's memory
+_BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+                 "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "4194304b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of 4 MB and 2,000 rows, unless the session has limits of its own.
+
+    A batch is held several times over (Arrow buffers of the JVM and of the worker, Python values), in each
+    of an executor's tasks.  A longer text is a batch of its own.  Results do not depend on it.
+    """
+    for key, (shipped, small) in _BATCH_LIMITS.items():
+        if spark.conf.get(key) == shipped:
+            spark.conf.set(key, small)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 

@@ -71,3 +71,15 @@ def test_lines_and_passages_equal_their_plain_meaning(spark):
             seen.add(w)
         want[i] = ("\n".join(x for k, x in enumerate(part) if k not in gone), len(gone))
     assert {i: (r.text, r.n_removed) for i, r in got.items()} == want
+
+
+def test_batch_limits_of_the_session_stay(spark):
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows), spark.conf.get(size)
+    try:
+        spark.conf.unset(size)
+        spark.conf.set(rows, "777")
+        common.small_batches(spark)
+        assert spark.conf.get(rows) == "777" and spark.conf.get(size) == "4194304b"
+    finally:
+        spark.conf.set(rows, before[0]), spark.conf.set(size, before[1])
