@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontam, line_dedup, mixing, ngram_join, toxicity
-from quarry.llm.common import free_names, materialize
+from quarry.llm.common import free_names, materialize, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.7 by the class-conditional Kneser-Ney models (NULL texts count as empty)."""
+    small_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model, threshold=0.7)
 
@@ -31,6 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word-shingle similarity 0.8 or more."""
+    small_batches(spark)
     return ngram_join.keep_one_of_each(docs, n=5, percent=80)
 
 
