@@ -7,7 +7,8 @@ A document's set is its distinct word shingles, as 64-bit hashes; two documents
 2. Each set is written as tokens: its elements are dealt by hash into parts, and the hash of a part's
    content is a token.  Linked sets differ in at most H elements, so with H + 1 + e parts they have
    at least e + 1 parts in common (sizes are cut into bands, and a set near the top of its band also
-   joins the next band; empty parts make no token, and e leaves room for them).
+   joins the next band; empty parts make no token, and e leaves room for them).  From a set's size
+   follows how many tokens any link needs; sets that share fewer with all others are left out.
 3. Similar classes are partitioned into groups: each class joins the leader it shares most tokens
    with.  Classes are first compared exactly with their leader; linked stars are the group's core.
 4. The token-group matrix has a row for each token and group that holds it.  A class asks groups with
@@ -129,8 +130,7 @@ def class_of_rows(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFr
 
 
 def _shared_parts(docs: DataFrame, text_col: str, n: int, percent: int) -> DataFrame:
-    """(sig, cls) of tokens that at least two classes hold, with the number of holders (copies met in
-    different tasks may count twice, which only favours a leader)."""
+    """(sig, cls) of tokens that at least two classes hold."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
         for b in batches:
@@ -154,7 +154,35 @@ def _shared_parts(docs: DataFrame, text_col: str, n: int, percent: int) -> DataF
     rows = docs.select(text_bytes(F.col(text_col)).alias("_text")).mapInArrow(work, "sig bigint, cls bigint")
     w = Window.partitionBy("sig")
     return (rows.withColumn("low", F.min("cls").over(w)).withColumn("high", F.max("cls").over(w))
-            .withColumn("held", F.count(F.lit(1)).over(w)).where("low < high").select("sig", "cls", "held").distinct())
+            .where("low < high").select("sig", "cls").distinct())
+
+
+def _partner_limit(band, n, percent: int):
+    """Largest size of a set that can link with one of size ``n`` by tokens of this band (Column)."""
+    top = F.array(*[F.lit(_band(i)).cast("long") for i in range(_MAX_BANDS)])
+    return F.least(F.floor(100 * n / percent), F.get(top, band))
+
+
+def _with_enough(shared: DataFrame, sizes: DataFrame, percent: int, max_rounds: int = 8) -> DataFrame:
+    """Rows of ``shared`` that can belong to a link, with ``held`` counted anew.
+
+    Linked sets share at least ``_needed`` tokens of one cut.  A class that has fewer shared tokens of a
+    cut links by none of them, so they go; with them other tokens lose their second holder, and so on.
+    Every round only leaves out tokens without a link, so the number of rounds bears on the work alone.
+    """
+    band, n = F.shiftright("cut", 4), F.col("n")
+    need = _needed(band, n, _partner_limit(band, n, percent), percent)
+    rows = materialize(shared.join(sizes, "cls").select("sig", "cut", "cls", need.alias("need")), "ngram-parts")
+    left = rows.count()
+    for _ in range(max_rounds):
+        few = rows.groupBy("cls", "cut").agg(F.count(F.lit(1)).alias("some"), F.min("need").alias("least")).where("some < least")
+        some = rows.join(few.select("cls", "cut"), ["cls", "cut"], "left_anti")
+        twice = some.groupBy("sig").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        rows = materialize(some.join(twice.select("sig"), "sig", "left_semi"), "ngram-parts")
+        was, left = left, rows.count()
+        if left > 0.9 * was:
+            break
+    return rows.join(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("held")), "sig").select("sig", "cut", "cls", "held")
 
 
 def _sets_for(docs: DataFrame, text_col: str, n: int, wanted: DataFrame) -> DataFrame:
@@ -280,6 +308,7 @@ def class_components(docs: DataFrame, text_col: str, n: int, percent: int, sizes
         raise ValueError("percent must be from 80 to 100")
     cut, band = F.col("sig").bitwiseAND(1023).cast("int"), F.shiftright(F.col("cut"), 4)
     shared = materialize(_shared_parts(docs, text_col, n, percent).withColumn("cut", cut), "ngram-parts")
+    shared = materialize(_with_enough(shared, sizes, percent), "ngram-parts")
     # the original of a family shares every token with some copy: it scores highest and leads
     wanted = shared.groupBy("cls").agg(F.sum(F.col("held") - 1).alias("score"))
     wanted = materialize(wanted.join(sizes, "cls").select("cls", "n", "score"), "ngram-wanted")
@@ -300,7 +329,7 @@ def class_components(docs: DataFrame, text_col: str, n: int, percent: int, sizes
     # the token-group matrix, and the groups that hold enough of a class's tokens
     tokens = shared.select("sig", "cut", "cls").join(named, "cls")
     matrix = tokens.select("sig", F.col("fam").alias("of")).distinct()
-    most = F.floor(100 * F.col("n") / percent)  # no partner is larger
+    most = _partner_limit(band, F.col("n"), percent)
     opened = (tokens.join(matrix, "sig").groupBy("cls", "n", "g", "of", "cut").agg(F.count(F.lit(1)).alias("hits"))
               .where(F.col("hits") >= _needed(band, F.col("n"), most, percent))
               .select("cls", "g", F.col("of").alias("fam")).distinct())

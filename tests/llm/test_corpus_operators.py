@@ -268,6 +268,22 @@ def test_linking_sets_share_a_token():
             assert len(np.intersect1d(ngram_join.signatures(np.unique(a), percent), ngram_join.signatures(np.unique(b), percent)))
 
 
+def test_chance_tokens_open_no_group(spark, monkeypatch):
+    """Texts that share one passage but link with nothing hold too few common tokens for a link; near copies are kept."""
+    rng = random.Random(6)
+    texts = [" ".join([f"w{rng.random()}" for _ in range(10 * k)] + ["one", "two", "three", "four", "five"] + [f"w{rng.random()}" for _ in range(60)])
+             for k in range(1, 40) for _ in range(4)]
+    near = texts[0].split()
+    near[3] = "x"
+    seen = []
+    keep = ngram_join._sets_for
+    monkeypatch.setattr(ngram_join, "_sets_for", lambda d, t, n, wanted: seen.append(wanted.count()) or keep(d, t, n, wanted))
+    df = spark.createDataFrame(list(enumerate([*texts, " ".join(near)])), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join_documents(df, n=5, percent=80).collect()}
+    assert got == {i: i for i in range(len(texts))} | {len(texts): 0}
+    assert seen[0] < 20
+
+
 def test_components_of_long_chain(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000), (2000, 1999), (None, 3)]
     got = dict(common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
