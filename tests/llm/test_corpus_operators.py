@@ -316,6 +316,36 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(df).collect()), key=str)
 
 
+def test_mix_is_the_drawn_shards(spark):
+    """Shards hold what was drawn for them, places are filled once, texts are whole blocks of their source's stream."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"{s}{i}.{j}" for j in range(rng.randint(0, 60))), s)
+            for i, s in enumerate(rng.choices(["a", "b", "c"], k=120))]
+    df = spark.createDataFrame(rows + [(None, None, "a")], "doc_id bigint, text string, source string")
+    opts = dict(block=8, shard_slots=100)
+    got = mixing.mix_blocks(df, **opts).collect()
+    per = {r.doc_id: r for r in mixing.mix_sources(df, **opts).collect()}
+    shards = {r.shard for r in got}
+    assert len(shards) > 3 and shards == set(range(len(shards)))
+    for k in shards:
+        mine = sorted((r for r in got if r.shard == k), key=lambda r: r.place)
+        assert [r.place for r in mine] == list(range(len(mine))) and len(mine) <= 100
+        assert {r.source for r in mine[:len(mine) // 2]} == {"a", "b", "c"}  # mingled, not one source after the other
+    totals = np.array([sum(r.source == s for r in got) for s in "abc"])
+    drawn = mixing.draw_shards(totals, 100, 4096, 11)
+    assert [[sum(r.shard == k and r.source == s for r in got) for s in "abc"] for k in sorted(shards)] == drawn.tolist()
+    uses, first = Counter(), {}
+    for r in got:
+        words = r.text.split()
+        assert len(words) == r.n_words <= 8 and all(w[0] == r.source for w in words)
+        uses.update(words)
+        for i in {int(w[1:].split(".")[0]) for w in words}:
+            first[i] = min(first.get(i, (9e9, 0)), (r.shard, r.place))
+    assert all(per[i].taken == sum(uses[w] for w in t.split()) for i, t, _ in rows)
+    assert all(((per[i].first_shard, per[i].first_place) if i in first else (None, None)) == first.get(i, (None, None)) for i, _, _ in rows)
+    assert max(uses.values()) <= 2
+
+
 # --------------------------------------------------------------------------- 7, 8
 
 def _labelled(spark):
