@@ -204,33 +204,29 @@ def _descend(links: DataFrame, codes: DataFrame, width: int, draw: int, per_cent
 
 
 def build_graph(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", width: int = 40, draw: int = 20,
-                per_centre: int = 6, block: int = 2048, trees: int = 12, settled: float = 0.03, max_rounds: int = 8,
-                copies: int = 21, seed: int = 5) -> Graph | None:
+                per_centre: int = 6, block: int = 256, trees: int = 12, per_block: int = 12, settled: float = 0.03,
+                max_rounds: int = 8, copies: int = 21, seed: int = 5) -> Graph | None:
     """Neighbour graph over all usable vectors; None if there are none.
 
-    ``width`` links a node; descent ends when under ``settled`` of all links are new, or after
-    ``max_rounds``.  Vectors shorter than the longest are padded with zeros.  Tables of at most
-    ``block`` distinct vectors are one block, so their links are exact from the start.
+    ``width`` links a node, at first the ``per_block`` best of each of ``trees`` blocks; descent ends
+    when under ``settled`` of all links are new, or after ``max_rounds``.  Vectors shorter than the
+    longest are padded with zeros.  Steps and parameters are the same for tables of any size.
     """
     nodes = _nodes(valid_vectors(vectors, id_col, vec_col), copies)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
     n, dim, top = nodes.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.max(norm)).first()
     if not n:
         return None
-    trees = 1 if n <= block else trees
     codes = _codes(nodes, dim, top, n, block, trees, seed)
-    per_block = width if n <= 4 * block else max(12, width * 4 * block // n)
     links = _best_links(_first_links(codes, block, per_block), None, width, draw, 0)
-    rounds = 0
-    while n > block and rounds < max_rounds:
-        rounds += 1
+    for rounds in range(1, max_rounds + 1):
         links = _best_links(_descend(links, codes, width, draw, per_centre, rounds), links, width, draw, rounds)
         if links.where("new").count() < settled * n * width:
             break
     return Graph(nodes, codes, links, dim, top, rounds)
 
 
-def greedy_search(graph: Graph, starts: DataFrame, beam: int = 100, opened: int = 16, back: int = 20) -> DataFrame:
+def greedy_search(graph: Graph, starts: DataFrame, beam: int = 160, opened: int = 16, back: int = 20) -> DataFrame:
     """``q``, ``w``, ``score``: the best ``beam`` nodes found for each query node ``q`` of ``starts``.
 
     A node's list holds its links and the ``back`` best links to it, so that nodes nobody links to are
@@ -284,7 +280,7 @@ def _dot(a: str, b: str) -> Column:
 
 
 def nearest_vectors(vectors: DataFrame, queries: Column | None = None, k: int = 20, id_col: str = "vec_id",
-                    vec_col: str = "embedding", beam: int = 100, spare: int = 20, **graph_options) -> DataFrame:
+                    vec_col: str = "embedding", beam: int = 160, spare: int = 20, **graph_options) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the ``k`` nearest found of each query.
 
     ``queries`` is a condition on ``vec_id`` (by default the ids divisible by 20); candidates are all

@@ -150,7 +150,7 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
                         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
 FROM w"""
 
-# all pairs: what the search returns whole where a table is one block (up to 2,048 distinct vectors)
+# all pairs: what the search returns where it misses none, as it does on the tables of sf0.001 to sf0.1
 OP12_SQL = r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0

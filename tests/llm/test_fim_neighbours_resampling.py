@@ -190,3 +190,15 @@ def test_descent_and_search_recall(spark):
     want = brute(rows, 20, lambda i: i % 20 == 0)
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
     assert set(got) == set(want) and hits >= 0.9 * 20 * len(want)
+
+
+def test_small_tables_take_the_same_steps(spark, monkeypatch):
+    """A table under one block's size: as many trees and links a block as any other, and a descent."""
+    rng = np.random.default_rng(7)
+    df = spark.createDataFrame([(i, rng.standard_normal(6).tolist()) for i in range(90)], "vec_id bigint, embedding array<double>")
+    trees, per_block, first = [], [], nn_descent._first_links
+    monkeypatch.setattr(nn_descent, "_first_links", lambda c, b, p: trees.append(len(c.first()["cells"])) or per_block.append(p) or first(c, b, p))
+    graph = nn_descent.build_graph(df, block=128, trees=3)
+    assert graph.rounds >= 1 and trees == [3]
+    nn_descent.build_graph(df, block=16, trees=3)
+    assert trees == [3, 3] and per_block[0] == per_block[1]
