@@ -129,14 +129,16 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
         key = mix64((salt.to_numpy(np.int64) * 1_000_003 + kk // nn + seed).astype(np.uint64))
         return pd.Series(permute(kk % nn, nn, key))
 
-    # salts of shards are negative, those of sources are not; long plan rows are unrolled in two steps
+    # salts of shards are negative, those of sources are not; long plan rows are unrolled in two steps;
+    # the hint is needed as Spark sizes the slots by their few plan rows and would send them all through the driver
     j = F.explode(F.sequence(F.col("_lo"), F.least(F.col("_lo") + 4095, F.col("_count") - 1)))
     slots = (spark.createDataFrame(plan, "shard int, _s int, _n long, _from long, _at long, _slots long, _count long")
              .repartition(max(1, min(len(plan), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
              .withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1, F.lit(4096).cast("long"))))
              .withColumn("_j", j)
              .select("shard", "_s", turned(F.col("_at") + F.col("_j"), "_slots", -F.col("shard").cast("long") - 1).alias("place"),
-                     turned(F.col("_from") + F.col("_j"), "_n", F.col("_s").cast("long")).alias("_b")))
+                     turned(F.col("_from") + F.col("_j"), "_n", F.col("_s").cast("long")).alias("_b"))
+             .hint("merge"))
     return known, piece, slots
 
 

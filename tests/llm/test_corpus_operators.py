@@ -346,6 +346,26 @@ def test_mix_is_the_drawn_shards(spark):
     assert max(uses.values()) <= 2
 
 
+def _sent_to_driver(df):
+    """Subtrees of the plan that ran, below each broadcast."""
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    return ["\n".join(lines[i:next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))])
+            for i, x in enumerate(lines) if "BroadcastExchange" in x]
+
+
+def _mixable(spark):
+    return spark.createDataFrame([(i, f"w{i} " * 40, "abc"[i % 3]) for i in range(60)], "doc_id bigint, text string, source string")
+
+
+def test_mix_stage_sends_no_slots_through_the_driver(spark):
+    import corpus_pipeline
+    sent = _sent_to_driver(corpus_pipeline.STAGES[-1][1](spark, _mixable(spark), None))
+    # slots are numbered in Python; their sums by row may be broadcast, by the size that they turn out to have
+    assert sent and not any("ArrowEvalPython" in x and "Aggregate" not in x for x in sent)
+
+
 # --------------------------------------------------------------------------- 7, 8
 
 def _labelled(spark):
