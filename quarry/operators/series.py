@@ -94,9 +94,10 @@ def seasonal_fit(df: DataFrame, key: Sequence[str], t: str, x: str, train: Colum
     flagged = df.withColumn("_train", F.when(train, F.lit(1)) if train is not None else F.lit(1))
     d = seasonal_design(flagged, key, t, scale_from="_train")
     # center each series on its training means (one bounded series per window), so the
-    # Gram sums stay well conditioned whatever the level of the series
+    # Gram sums stay well conditioned whatever the level of the series; rows in the order
+    # of t, so no sum depends on how Spark joined and dealt them
     cols = SEASONAL_TERMS + [x]
-    g = Window.partitionBy(*key)
+    g = Window.partitionBy(*key).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = d.withColumns({f"_m_{c}": F.avg(F.when(F.col("_train") == 1, F.col(c))).over(g) for c in cols})
     d = d.withColumns({f"_c_{c}": F.col(c) - F.col(f"_m_{c}") for c in cols})
     centered = [f"_c_{c}" for c in SEASONAL_TERMS]
