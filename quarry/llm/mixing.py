@@ -152,7 +152,8 @@ def mix_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known, piece, slots = _deal(docs, id_col, text_col, source_col, weights, share, block, shard_slots, max_shards, seed, True)
     words = F.regexp_extract_all("_text", F.lit(WORD), F.lit(0))
     spans = piece.groupBy("_rid").agg(F.collect_list(F.struct("_s", "_b", "at", "first_word", "n_words")).alias("_p"))
-    cut = (known.join(spans, "_rid").withColumn("_w", words)
+    # a long text has many pieces, of which Spark's sizes know nothing either
+    cut = (known.join(spans.hint("merge"), "_rid").withColumn("_w", words)
            .select("_src", F.explode(F.transform("_p", lambda p: F.struct(
                p["_s"].alias("_s"), p["_b"].alias("_b"), p["at"].alias("at"), p["n_words"].alias("n"),
                F.array_join(F.slice("_w", (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")), " ").alias("t")))).alias("p"))

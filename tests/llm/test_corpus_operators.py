@@ -366,6 +366,11 @@ def test_mix_stage_sends_no_slots_through_the_driver(spark):
     assert sent and not any("ArrowEvalPython" in x and "Aggregate" not in x for x in sent)
 
 
+def test_mix_blocks_sends_neither_slots_nor_pieces_through_the_driver(spark):
+    sent = _sent_to_driver(mixing.mix_blocks(_mixable(spark), block=8, shard_slots=100))
+    assert sent and not any("ArrowEvalPython" in x or "Generate" in x or "_b#" in x for x in sent)
+
+
 # --------------------------------------------------------------------------- 7, 8
 
 def _labelled(spark):
